@@ -29,6 +29,8 @@ from .tokens import slices
 COORDINATES, TREES, LEVELS, SMALL, SKETCH = 64, 12, 4, 12, 0.65
 #: Members of a block of a dense group.
 BLOCK = 256
+#: Members of a dense group that show its usual signature, about.
+SAMPLE = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
 
@@ -122,7 +124,7 @@ def _terminal(classes: DataFrame, trees: int, levels: int, threshold: float, sma
     both = out[0]
     for x in out[1:]:
         both = both.unionByName(x)
-    return both.dropDuplicates(["node", "rep"])
+    return both
 
 
 def _alike(least: float):
@@ -137,9 +139,8 @@ def _alike(least: float):
     return alike
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b of representatives) those with 100 * intersection >= percent * union of their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep and its full set (eight bytes for each shingle, ascending)."""
 
     def sets(batches):
         hashes = kept_in_worker(WordHashes)
@@ -148,7 +149,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 found = [shingles(t, hashes) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f.astype("<u8").tobytes() for f in found], pa.binary())], names=["rep", "found"])
 
-    own = written(keep_ids(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids, "doc_id").mapInArrow(sets, "rep long, found binary"), "sets")
+    return written(keep_ids(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids, "doc_id").mapInArrow(sets, "rep long, found binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b of representatives) those with 100 * intersection >= percent * union of their full sets."""
+    own = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
 
     def check(batches):
         for batch in batches:
@@ -193,44 +199,119 @@ def components(links: DataFrame) -> DataFrame:
     return written(stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component")), "components")
 
 
-def _residual(nodes: DataFrame, classes: DataFrame, small: int) -> DataFrame:
-    """Pairs (a, b) with likely signatures of members of one node that are in different components. nodes: node, rep, n, comp.
+def _to_centre(dense: DataFrame, sig: DataFrame) -> DataFrame:
+    """Pairs of each member of a dense group with its most central one: the member whose signature agrees most with the group's
+    most frequent values, as about SAMPLE of its members have them. Copies made from one original all agree with that. (What is
+    sampled is where to begin; no link depends on it.)"""
+
+    @F.pandas_udf("binary")
+    def usual(sigs: pd.Series) -> pd.Series:
+        out = []
+        for found in sigs:
+            m = np.frombuffer(b"".join(found), "<u4").reshape(-1, COORDINATES)
+            m = np.sort(m, axis=0)
+            best, run = np.ones(COORDINATES, int), np.ones(COORDINATES, int)
+            value = m[0].copy()
+            for k in range(1, len(m)):
+                run = np.where(m[k] == m[k - 1], run + 1, 1)
+                value = np.where(run > best, m[k], value)
+                best = np.maximum(best, run)
+            out.append(value.astype("<u4").tobytes())
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf("double")
+    def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        x, y = (np.frombuffer(b"".join(s), "<u4").reshape(len(s), COORDINATES) for s in (a, b))
+        return pd.Series((x == y).mean(axis=1))
+
+    rows = written(dense.join(sig, "rep"), "dense")
+    some = rows.where(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SAMPLE)) == 0).groupBy("node").agg(F.collect_list("sig").alias("sigs")).select("node", usual("sigs").alias("usual"))
+    near = rows.join(some, "node").select("node", "rep", agreement("sig", "usual").alias("share"))
+    centre = near.groupBy("node").agg(F.max_by("rep", F.struct("share", -F.col("rep"))).alias("centre"))
+    return rows.select("node", "rep").join(centre, "node").where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+
 
-    Small nodes: all such pairs. Dense groups: members outside the group's largest component, in blocks, against all blocks, so
-    that no task gets a group as a whole."""
+def _mixed(nodes: DataFrame) -> DataFrame:
+    """Rows of the nodes that hold several components."""
     mixed = nodes.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("node")
-    rows = written(nodes.join(mixed, "node", "left_semi"), "mixed")
-    alike, sig = _alike(SKETCH), classes.select("rep", "sig")
+    return written(nodes.join(mixed, "node", "left_semi"), "mixed")
+
+
+def _of_small(rows: DataFrame, sig: DataFrame, small: int) -> DataFrame:
+    """Pairs (a, b) with likely signatures of members of one small node that are in different components."""
     few = rows.where(F.col("n") <= small).select("node", "rep", "comp")
     other = few.select("node", F.col("rep").alias("b"), F.col("comp").alias("cb"))
     pairs = few.join(other, "node").where("rep < b and comp != cb").select(F.col("rep").alias("a"), "b").distinct()
-    pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").where(alike("sa", "sb")).select("a", "b")
-    dense = rows.where(F.col("n") > small)
-    if not dense.limit(1).count():
-        return pairs
-    most = dense.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.sum("c").alias("size"))
-    members = dense.join(most, "node").join(sig, "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    own = F.struct("rep", "comp", "sig")
-    # a group (node, i, j): members of block i, and of block j those that are not in the main component
-    left = members.select("node", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("all"), own.alias("m"))
-    there = members.where("comp != main").select("node", F.col("block").alias("j")).distinct()
-    left = left.join(there, ["node", "j"], "left_semi").select("node", "i", "j", "all", "m")
-    right = members.where("comp != main").select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("all"), own.alias("m"))
+    return _likely(pairs, sig)
 
-    def compare(pdf):
 
+def _likely(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    pairs = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    return pairs.where(_alike(SKETCH)("sa", "sb")).select("a", "b")
 
-        x, y = pdf[pdf["all"]], pdf[~pdf["all"]]
-        out = []
-        if len(x) and len(y):
-            sx, sy = (np.frombuffer(b"".join(s), "<u4").reshape(-1, COORDINATES) for s in (x["sig"], y["sig"]))
-            for rep, comp, own in zip(y["rep"], y["comp"], sy):
-                hit = ((sx == own).mean(axis=1) >= SKETCH) & (x["comp"].to_numpy() != comp)
-                out += [(min(rep, o), max(rep, o)) for o in x["rep"].to_numpy()[hit]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    blocks = left.unionByName(right).select("node", "i", "j", "all", "m.rep", "m.comp", "m.sig")
-    return pairs.unionByName(blocks.groupBy("node", "i", "j").applyInPandas(compare, "a long, b long")).distinct()
+def intersections(xs: list[np.ndarray], ys: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each of xs with each of ys (sorted sets), by products of 0-1 matrices over the elements that
+    both sides have, `width` at a time."""
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    common = np.intersect1d(np.unique(np.concatenate(xs)), np.unique(np.concatenate(ys)), assume_unique=True)
+    if not len(common):
+        return out
+
+    def places(sets):
+        found = []
+        for s in sets:
+            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+            found.append(at[common[at] == s])
+        return found
+
+    px, py = places(xs), places(ys)
+    for low in range(0, len(common), width):
+        sides = []
+        for found in (px, py):
+            m = np.zeros((len(found), min(width, len(common) - low)), np.float32)
+            for k, at in enumerate(found):
+                m[k, at[np.searchsorted(at, low) : np.searchsorted(at, low + width)] - low] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _of_dense(rows: DataFrame, docs: DataFrame, small: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between different components of dense groups: the members outside a group's largest component are compared, by
+    their full sets, with all members, in blocks, so that no task gets a group as a whole. Of a block's links between two
+    components one is given."""
+    dense = rows.where(F.col("n") > small)
+    if not dense.limit(1).count():
+        return None
+    most = dense.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.sum("c").alias("size"), F.max("c").alias("c"))
+    most = most.select("node", "main", F.ceil(F.col("size") / BLOCK).alias("bi"), F.ceil((F.col("size") - F.col("c")) / BLOCK).alias("bj"))
+    members = written(dense.join(most, "node").select("node", "rep", "comp", F.col("comp") != F.col("main"), "bi", "bj").toDF("node", "rep", "comp", "rest", "bi", "bj"), "dense")
+    own = F.struct("rep", "comp")
+    # a group (node, i, j): members of block i, and of block j of those that are not in the largest component
+    left = members.select("node", F.pmod(F.xxhash64("rep"), "bi").alias("i"), F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("j"), F.lit(True).alias("all"), own.alias("m"))
+    right = members.where("rest").select("node", F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), "bj").alias("j"), F.lit(False).alias("all"), own.alias("m"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["all"] == side].sort_values("rep") for side in (True, False)]
+        if not len(sides[0]) or not len(sides[1]):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        xs, ys = ([np.frombuffer(f, "<u8") for f in side["found"]] for side in sides)
+        common = intersections(xs, ys)
+        total = np.array([len(x) for x in xs])[:, None] + np.array([len(y) for y in ys])[None, :]
+        cx, cy = (side["comp"].to_numpy() for side in sides)
+        i, j = np.nonzero((100 * common >= percent * (total - common)) & (cx[:, None] != cy[None, :]))
+        if not len(i):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        first = np.unique(np.stack([cx[i], cy[j]]), axis=1, return_index=True)[1]
+        a, b = sides[0]["rep"].to_numpy()[i[first]], sides[1]["rep"].to_numpy()[j[first]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
+
+    sets = _sets(members.select(F.col("rep").alias("doc_id")).distinct(), docs)
+    groups = left.unionByName(right).select("node", "i", "j", "all", "m.rep", "m.comp").join(sets, "rep")
+    return written(groups.groupBy("node", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
@@ -249,13 +330,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, leve
     ends = written(_terminal(classes, trees, levels, percent / 100, small), "ends")
     known = own.where("doc_id is not null")
     sig = named.select("rep", "sig")
-    star = ends.where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    star = star.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b").where(_alike(SKETCH)("sa", "sb")).select("a", "b")
-    links = _confirmed(written(star, "stars"), known, percent)
+    star = ends.where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    star = star.unionByName(_to_centre(ends.where(F.col("n") > small).select("node", "rep", "n"), sig)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _confirmed(written(_likely(star, sig), "stars"), known, percent)
     found = components(links)
-    nodes = ends.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    more = _confirmed(written(_residual(nodes, named, small), "residual"), known, percent)
-    found = components(links.unionByName(more).unionByName(copies))
+    nodes = _mixed(ends.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+    links = links.unionByName(copies).unionByName(_confirmed(written(_of_small(nodes, sig, small), "residual"), known, percent))
+    dense = _of_dense(nodes, known, small, percent)
+    found = components(links if dense is None else links.unionByName(dense))
     out = table.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SPACES = b"\t\n\x0b\x0c\r "
 #: A filter side of at most this many (long id) rows may be broadcast: 16 bytes each, 16 MB. Larger ones are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Bytes of a batch that goes to a Python worker, about.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +34,19 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Spark hands to a Python worker at once by bytes, so that batches of long texts take no more memory. A session
+    setting; one that is already lower stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(c for c in spark.conf.get(name, "2147483647") if c.isdigit()) or 0) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: its lineage ends there, so a lost executor costs only the
     tasks that run, and what it was made from can be freed."""
     spark = df.sparkSession
+    small_batches(spark)
     df.write.parquet(path := fresh_dir(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     return out
@@ -58,6 +69,7 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, most: int = BROADCAST_IDS)
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and text ('' for null), and no other column but those asked for: extra columns can't clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
