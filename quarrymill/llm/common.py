@@ -15,7 +15,7 @@ SPACES = b"\t\n\x0b\x0c\r "
 #: A filter side of at most this many (long id) rows may be broadcast: 16 bytes each, 16 MB. Larger ones are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Bytes of a batch that goes to a Python worker, about.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -142,10 +142,16 @@ def dropped(*tables: DataFrame) -> None:
 class WordHashes:
     """64-bit hashes of words: two independent streams, remembered for words seen before."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         import xxhash
 
         self.of = Bounded(xxhash.xxh3_64_intdigest, most)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.of.__getitem__, words), np.uint64, len(words))
+
+
+def arrays(column: pa.Array) -> list[np.ndarray | None]:
+    """The lists of an Arrow list column as numpy arrays over shared memory."""
+    flat, at, there = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_valid().to_pylist()
+    return [flat[a:b] if ok else None for a, b, ok in zip(at[:-1], at[1:], there)]

@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_IDS, GOLD, WordHashes, dropped, kept_in_worker, mix, written
+from .common import BROADCAST_IDS, GOLD, WordHashes, arrays, dropped, kept_in_worker, mix, written
 from .tokens import slices
 
 _LOW = -(1 << 63)
@@ -48,13 +48,21 @@ def base_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
-def least(h: np.ndarray, width: int) -> np.ndarray:
-    """Places that hold the least value (the first of equals) of some `width` neighbouring ones."""
-    if len(h) <= width:
-        return np.array([int(h.argmin())])
-    view = np.lib.stride_tricks.sliding_window_view(h, width)
-    found = [at + view[at : at + 65536].argmin(axis=1) + np.arange(min(65536, len(view) - at)) for at in range(0, len(view), 65536)]
-    return np.unique(np.concatenate(found))
+def spread(x: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
+    """The least (or, of=np.maximum, greatest) of each `width` neighbours, by doubling."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x, have = of(x[: len(x) - step], x[step:]), have + step
+    return x
+
+
+def least(h: np.ndarray, width: int, valid: np.ndarray) -> np.ndarray:
+    """Places that hold the least value of some `width` neighbouring ones that start at a valid place. A place does if the greatest
+    of its windows' least values is its own."""
+    low = np.where(valid, spread(h, width), np.uint64(0))
+    edge = np.zeros(width - 1, np.uint64)
+    return np.flatnonzero((spread(np.concatenate([edge, low, edge]), width, np.maximum) == h) & (h != 0))
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -85,22 +93,26 @@ def grams(rows: DataFrame, window: int) -> DataFrame:
         hashes = kept_in_worker(WordHashes)
         for batch in batches:
             for part in slices(batch):
-                out = [[] for _ in range(6)]
-                for o, text, k in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+                o, k, n, found = [], [], [], []
+                for own, text, short_k in zip(*(part.column(i).to_pylist() for i in range(3))):
                     words = text.encode("utf-8", "surrogatepass").split()
-                    if len(words) < window:
-                        continue
-                    h = base_hashes(hashes(words), base)
-                    two = doubled(h, half - base, len(words) - half + 1)
-                    at = least(h, width)
-                    alone = mix(np.uint64(o & (2**64 - 1)) ^ mix(at.astype(np.uint64)))
-                    right = np.where(at < len(two), two[np.minimum(at, len(two) - 1)], alone)
-                    left = np.where(at >= half - base, two[np.maximum(at - (half - base), 0)], ~alone)
-                    for col, x in zip(out, (h[at], right, left, np.full(len(at), o, np.int64), np.full(len(at), k, np.int32), at.astype(np.int32))):
-                        col.append(x)
-                if out[0]:
-                    cols = [np.concatenate(c) for c in out]
-                    yield _batch(GRAMS, *[c.view(np.int64) if c.dtype == np.uint64 else c for c in cols])
+                    if len(words) >= window:
+                        found.append(hashes(words))
+                        for col, x in zip((o, k, n), (own, short_k, len(words))):
+                            col.append(x)
+                if not found:
+                    continue
+                words, n = np.concatenate(found), np.array(n)
+                stop = np.repeat(np.cumsum(n), n)  # the end of each word's document
+                h = base_hashes(words, base)
+                two = doubled(h, half - base, len(words) - half + 1)
+                at = least(h, width, np.arange(len(words) - window + 1) + window <= stop[: len(words) - window + 1])
+                doc = np.repeat(np.arange(len(n)), n)[at]
+                o, k, pos = np.array(o, np.int64)[doc], np.array(k, np.int32)[doc], (at - (np.cumsum(n) - n)[doc]).astype(np.int32)
+                alone = mix(o.view(np.uint64) ^ mix(pos.astype(np.uint64)))
+                right = np.where(at + half <= stop[at], two[np.minimum(at, len(two) - 1)], alone)
+                left = np.where(pos >= half - base, two[np.maximum(at - (half - base), 0)], ~alone)
+                yield _batch(GRAMS, *[c.view(np.int64) if c.dtype == np.uint64 else c for c in (h[at], right, left, o, k, pos)])
 
     return rows.select("o", "text", short("k").alias("k")).mapInArrow(run, GRAMS)
 
@@ -116,7 +128,8 @@ WINDOWS = "a long, b long, o long, k int, pos int"
 
 
 def windows(rows: DataFrame, places: DataFrame, window: int) -> DataFrame:
-    """128-bit hashes of the W-word windows around surviving places. places: o, k and an array of (pos, right, left)."""
+    """128-bit hashes of the W-word windows around surviving places. places: o, k and an array of
+    4 * place + 2 * (whether the extension to the right is repeated) + the same to the left."""
     base, half, _ = lengths(window)
 
     def run(batches):
@@ -124,20 +137,19 @@ def windows(rows: DataFrame, places: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 out = [[] for _ in range(5)]
-                for o, text, k, k_of, found in zip(*(part.column(i).to_pylist() for i in range(5))):
+                for o, text, k, k_of, found in zip(*(part.column(i).to_pylist() for i in range(4)), arrays(part.column(4))):
                     words = text.encode("utf-8", "surrogatepass").split()
                     n = len(words) - window + 1
                     if k != k_of or n < 1:
                         continue
                     marks = np.zeros(n + 1, np.int64)
-                    for x in found:
-                        p, right, left = x["pos"], x["r"], x["l"]
-                        # a window that starts at s holds [p, p + half) if s >= p + half - window, else [p + base - half, p + base)
-                        for there, lo, hi in ((right, p + half - window, p), (left, p + base - window, p + base - half)):
-                            lo, hi = max(lo, 0), min(hi, n - 1)
-                            if there and lo <= hi:
-                                marks[lo] += 1
-                                marks[hi + 1] -= 1
+                    p = found >> 2
+                    # a window that starts at s holds [p, p + half) if s >= p + half - window, else [p + base - half, p + base)
+                    for there, low, high in ((found & 2, p + half - window, p), (found & 1, p + base - window, p + base - half)):
+                        low, high = np.maximum(low, 0), np.minimum(high, n - 1)
+                        ok = (there != 0) & (low <= high)
+                        np.add.at(marks, low[ok], 1)
+                        np.add.at(marks, high[ok] + 1, -1)
                     at = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
                     if not len(at):
                         continue
@@ -167,7 +179,7 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, Data
     dropped(level1)
     sides = level2.select("o", "k", "pos", F.explode(F.array(F.struct(F.col("r").alias("e"), F.lit(True).alias("right")), F.struct(F.col("l").alias("e"), F.lit(False).alias("right")))).alias("s")).select("o", "k", "pos", "s.e", "s.right")
     kept = repeated(sides, "e").groupBy("o", "k", "pos").agg(F.max("right").alias("r"), F.max(~F.col("right")).alias("l"))
-    places = written(kept.groupBy("o", "k").agg(F.collect_list(F.struct("pos", "r", "l")).alias("found")), "places")
+    places = written(kept.groupBy("o", "k").agg(F.collect_list(F.col("pos").cast("long") * 4 + F.col("r").cast("long") * 2 + F.col("l").cast("long")).alias("found")), "places")
     dropped(level2)
     level3 = written(windows(own, places, window), "windows")
     dropped(places)
@@ -207,11 +219,11 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False)
         for batch in batches:
             for part in slices(batch):
                 out = [[] for _ in range(5)]
-                for o, text, copy, starts in zip(*(part.column(i).to_pylist() for i in range(4))):
+                for o, text, copy, starts in zip(*(part.column(i).to_pylist() for i in range(3)), arrays(part.column(3))):
                     words = text.encode("utf-8", "surrogatepass").split()
                     kept = words
                     if len(words) >= window:
-                        kept = [] if copy else kept_words(words, starts, window) if starts else words
+                        kept = [] if copy else kept_words(words, starts, window) if starts is not None else words
                     data = b" ".join(kept)
                     for col, x in zip(out, (o, len(words), len(words) - len(kept), hashlib.sha256(data).hexdigest(), data)):
                         col.append(x)

@@ -76,7 +76,7 @@ class ByteEncoder:
         return out
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20):
     """Parts of a batch whose texts have about so many bytes, so that a batch of long texts needs no more memory."""
     size = batch.nbytes
     rows = batch.num_rows
