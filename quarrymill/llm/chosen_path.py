@@ -104,7 +104,7 @@ def _children(rows: DataFrame, trees: int, threshold: float, root: bool) -> Data
 
 def _counted(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two members or more: node, rep, n (members) and low (the least)."""
-    size = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
+    size = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1"), "sizes")
     return rows.join(size, "node")
 
 
@@ -112,7 +112,9 @@ def _terminal(classes: DataFrame, trees: int, levels: int, threshold: float, sma
     """node, rep, n, low of the nodes in which the trees end. A child has the seed of its path, so the trees stay apart."""
     out, rows = [], _children(classes.select("rep", "sig"), trees, threshold, True)
     for level in range(1, levels + 1):
+        rows = written(rows, "rows")
         found = written(_counted(rows), "nodes")
+        dropped(rows)
         large = found.where(F.col("n") > small)
         if level == levels:
             out.append(found)
@@ -236,6 +238,7 @@ def _to_centre(dense: DataFrame, sig: DataFrame) -> DataFrame:
 def _mixed(nodes: DataFrame) -> DataFrame:
     """Rows of the nodes that hold several components."""
     mixed = nodes.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("node")
+    mixed = written(mixed, "mixed")
     return written(nodes.join(mixed, "node", "left_semi"), "mixed")
 
 

@@ -5,7 +5,7 @@ which one in each W-word window is enough: the one with the least hash, which eq
 one occurs twice, it is extended, to the right and to the left, to the windows of twice its length that hold it; where
 those occur twice, to the windows of W words that hold them. A level that nothing survives ends the search. Each level
 counts the survivors of the one before alone, so what is moved shrinks to the text that does repeat. The last level has
-128-bit hashes.
+96-bit hashes.
 
 Rows of equal text are one row with a count from the start: their words need no counting.
 """
@@ -118,17 +118,17 @@ def grams(rows: DataFrame, window: int) -> DataFrame:
 
 
 def repeated(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose key occurs twice or more. Counts are pre-aggregated; the join's hot keys can be split, since the counted side has
-    one row for each."""
-    twice = df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys)
+    """Rows whose key occurs twice or more. Counts are pre-aggregated and written; so the join's two sides are plain shuffles, of
+    which Spark can split the partitions of hot keys."""
+    twice = written(df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*keys), "twice")
     return df.join(twice, list(keys), "left_semi")
 
 
-WINDOWS = "a long, b long, o long, k int, pos int"
+WINDOWS = "a long, b int, o long, at long"
 
 
 def windows(rows: DataFrame, places: DataFrame, window: int) -> DataFrame:
-    """128-bit hashes of the W-word windows around surviving places. places: o, k and an array of
+    """96-bit hashes (a, b) of the W-word windows around surviving places; at: k << 32 | place. places: o, k and an array of
     4 * place + 2 * (whether the extension to the right is repeated) + the same to the left."""
     base, half, _ = lengths(window)
 
@@ -136,7 +136,7 @@ def windows(rows: DataFrame, places: DataFrame, window: int) -> DataFrame:
         hashes = kept_in_worker(WordHashes)
         for batch in batches:
             for part in slices(batch):
-                out = [[] for _ in range(5)]
+                out = [[] for _ in range(4)]
                 for o, text, k, k_of, found in zip(*(part.column(i).to_pylist() for i in range(4)), arrays(part.column(4))):
                     words = text.encode("utf-8", "surrogatepass").split()
                     n = len(words) - window + 1
@@ -157,8 +157,9 @@ def windows(rows: DataFrame, places: DataFrame, window: int) -> DataFrame:
                     for col, stream in zip(out, (first, mix(first ^ GOLD))):
                         two = doubled(base_hashes(stream, base), half - base, len(words) - half + 1)
                         col.append(doubled(two, window - half, n)[at])
-                    for col, x in zip(out[2:], (np.full(len(at), o, np.int64), np.full(len(at), k, np.int32), at.astype(np.int32))):
-                        col.append(x)
+                    out[1][-1] = (out[1][-1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    out[2].append(np.full(len(at), o, np.int64))
+                    out[3].append((k << 32) + at)
                 if out[0]:
                     cols = [np.concatenate(c) for c in out]
                     yield _batch(WINDOWS, *[c.view(np.int64) if c.dtype == np.uint64 else c for c in cols])
@@ -183,7 +184,7 @@ def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, Data
     dropped(level2)
     level3 = written(windows(own, places, window), "windows")
     dropped(places)
-    found = written(repeated(level3, "a", "b").groupBy("o", "k").agg(F.array_sort(F.collect_list("pos")).alias("starts")), "repeats")
+    found = written(repeated(level3, "a", "b").select("o", F.shiftright("at", 32).cast("int").alias("k"), F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("pos")).groupBy("o", "k").agg(F.array_sort(F.collect_list("pos")).alias("starts")), "repeats")
     dropped(level3)
     return copies, found
 
