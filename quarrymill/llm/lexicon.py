@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Bounded, documents, kept_in_worker, set_env
+from .common import documents, kept_in_worker, mix, set_env
 from .tokens import slices, vocabulary
 
 #: Words in the automaton, chunks of text that a worker remembers, words that a counting task holds.
@@ -29,8 +29,13 @@ WORDS, CACHE, COUNTED = 50_000, 250_000, 300_000
 #: White space of the pre-tokenizer's pattern (the Unicode property); Python's split() also cuts at U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
-#: The pre-tokenizer's pattern for ASCII text, in which a chunk has no white space.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Chunks of ASCII and of Latin letters that are composed and have one lower-case letter each need no library: NFC leaves them as
+#: they are, and this is the pre-tokenizer's pattern for them in lower case.
+_PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]+")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ňŊ-ž]+|[0-9]|[^a-z0-9ß-öø-įı-ňŊ-ž]+")
+
+
+_NONE = 1 << 30
 
 
 def byte_letters() -> list[str]:
@@ -102,7 +107,7 @@ class Automaton:
             at += n
         self.first, self.targets, self.outs, self.at = (v.cast("I") for _, v in views[:4])
         self.ids_view, self.labels_at, self.final = views[4][1].cast("I"), views[5][0], views[6][1]
-        self.states = len(self.final)
+        self.states, self.keys = len(self.final), None
 
     @classmethod
     def map(cls, data: bytes) -> Automaton:
@@ -112,6 +117,31 @@ class Automaton:
         file.flush()
         return cls(mmap.mmap(file.fileno(), len(data), access=mmap.ACCESS_READ))
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """lookup() of many words, a letter of all of them at a time."""
+        found = np.full(len(words), -1, np.int64)
+        if not self.states or not words:
+            return found
+        first, targets, outs = (np.frombuffer(v, np.uint32) for v in (self.first, self.targets, self.outs))
+        labels = np.frombuffer(self.buffer, np.uint8, len(targets), self.labels_at)
+        final = np.frombuffer(self.final, np.uint8)
+        if self.keys is None:  # arcs by state and label, ascending
+            self.keys = (np.repeat(np.arange(self.states, dtype=np.int64), np.diff(first.astype(np.int64))) << 8) | labels
+        data, n = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+        start = np.cumsum(n) - n
+        own, state, number, k = np.arange(len(words)), np.full(len(words), self.states - 1, np.int64), np.zeros(len(words), np.int64), 0
+        while len(own):
+            end = n[own] == k
+            done = end & (final[state] > 0)
+            found[own[done]] = number[done]
+            own, state, number = own[~end], state[~end], number[~end]
+            key = (state << 8) | data[start[own] + k]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            there = self.keys[at] == key
+            own, at = own[there], at[there]
+            state, number, k = targets[at].astype(np.int64), number[there] + outs[at], k + 1
+        return found
+
     def lookup(self, word: bytes) -> int:
         state, number, first, find, base = self.states - 1, 0, self.first, self.buffer.find, self.labels_at
         if state < 0:
@@ -150,23 +180,73 @@ class WordBpe:
         self.token |= {i: t.encode() for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.lexicon = Automaton.map(lexicon) if lexicon else None
-        self.known, self.most, self.word = {}, cache, Bounded(self._word, cache)
+        self.known, self.most, self.word = {}, cache, {}
+        self.letter = np.array([[self.vocab[c + end] for c in self.letters] for end in ("", "</w>")], np.int64)
+        # the rules in an open-addressed table: key (left << 32 | right), rank, and by rank the id that a pair becomes
+        pairs = np.array([(self.vocab[a] << 32) | self.vocab[b] for a, b in self.rank], np.int64)
+        self.becomes = np.array([self.vocab[a + b] for a, b in self.rank], np.int64)
+        self.slots, self.slot_rank = np.full(1 << 18, -1, np.int64), np.full(1 << 18, _NONE, np.int64)
+        for rank, (slot, key) in enumerate(zip(self._slot(pairs).tolist(), pairs.tolist())):
+            while self.slots[slot] >= 0:
+                slot = (slot + 1) % len(self.slots)
+            self.slots[slot], self.slot_rank[slot] = key, rank
+
+    @staticmethod
+    def _slot(pairs: np.ndarray) -> np.ndarray:
+        return (mix(pairs.view(np.uint64)) >> np.uint64(46)).astype(np.int64)
+
+    def _ranks(self, pairs: np.ndarray) -> np.ndarray:
+        """The rules' ranks of pairs; _NONE where there is no rule."""
+        slot, out = self._slot(pairs), np.full(len(pairs), _NONE, np.int64)
+        open_ = np.arange(len(pairs))
+        while len(open_):
+            key = self.slots[slot]
+            hit = key == pairs[open_]
+            out[open_[hit]] = self.slot_rank[slot[hit]]
+            more = ~hit & (key >= 0)
+            open_, slot = open_[more], (slot[more] + 1) % len(self.slots)
+        return out
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """merge() of many words at once: in each round every word's earliest rule is applied at its leftmost place."""
+        out: list = [None] * len(words)
+        short = [k for k, w in enumerate(words) if len(w) <= 64]
+        for k, w in enumerate(words):
+            if len(w) > 64:
+                out[k] = self.merge(w)
+        for at in range(0, len(short), 32_768):
+            own = short[at : at + 32_768]
+            n = np.array([len(words[k]) for k in own])
+            data = np.frombuffer(b"".join([words[k] for k in own]), np.uint8)
+            sym, stop = self.letter[0][data], np.cumsum(n)
+            sym[stop - 1] = self.letter[1][data[stop - 1]]
+            own = np.array(own)
+            while len(own):
+                start = np.cumsum(n) - n
+                key = np.full(len(sym), _NONE << 32, np.int64)
+                inner = np.ones(len(sym), bool)
+                inner[start + n - 1] = False
+                place = np.flatnonzero(inner)
+                key[place] = (self._ranks((sym[place] << 32) | sym[place + 1]) << 32) | place
+                best = np.minimum.reduceat(key, start)
+                going = best < _NONE << 32
+                if not going.all():
+                    ended = np.flatnonzero(~going)
+                    flat = sym.tolist()
+                    for k, a, b in zip(own[ended].tolist(), start[ended].tolist(), (start + n)[ended].tolist()):
+                        out[k] = flat[a:b]
+                hit = best[going] & 0xFFFFFFFF
+                sym[hit] = self.becomes[best[going] >> 32]
+                keep = np.repeat(going, n)
+                keep[hit + 1] = False
+                sym, own, n = sym[keep], own[going], n[going] - 1
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: of all neighbouring pairs that the file merges, the earliest rule's first, the leftmost of equals."""
         parts = [self.letters[b] for b in word]
         parts[-1] += "</w>"
         rank, n = self.rank, len(parts)
-        if n <= 24:  # the same rule by plain search
-            get, most = rank.get, len(rank)
-            while len(parts) > 1:
-                found = [get(pair, most) for pair in zip(parts, parts[1:])]
-                best = min(found)
-                if best == most:
-                    break
-                i = found.index(best)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            return [self.vocab[p] for p in parts]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank.get((parts[i], parts[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -186,42 +266,55 @@ class WordBpe:
 
     def words(self, chunk: str) -> list[bytes]:
         """Words of a chunk without white space, as bytes."""
-        if chunk.isascii():
-            return [w.encode() for w in _ASCII.findall(chunk.lower())]
+        if _PLAIN.fullmatch(chunk):
+            return [w.encode() for w in _WORDS.findall(chunk.lower())]
         byte = self.byte
         return [bytes(map(byte.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
     def chunks(self, text: str) -> list[str]:
         return [c for c in _SPACE.split(text) if c] if _ODD.search(text) else text.split()
 
-    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        """(ids, their tokens joined by a space) of a chunk."""
-        found = list(map(self.word.__getitem__, self.words(chunk)))
-        return found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), b" ".join([f[1] for f in found]))
-
-    def _word(self, word: bytes) -> tuple[bytes, bytes]:
-        number = self.lexicon.lookup(word) if self.lexicon else -1
-        ids = self.lexicon.ids(number) if number >= 0 else self.merge(word)
-        return struct.pack(f"<{len(ids)}I", *ids), b" ".join([self.token[i] for i in ids])
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian uint32, the decoded text in UTF-8)."""
+    def learn(self, chunks: list[str]) -> None:
+        """Remembers (ids, their tokens joined by a space) of chunks: words from the automaton, or merged."""
+        if len(self.word) > self.most:
+            self.word.clear()
+        own = [self.words(c) for c in chunks]
+        new = list({w for ws in own for w in ws if w not in self.word})
+        numbers = self.lexicon.numbers(new).tolist() if self.lexicon else [-1] * len(new)
+        merged = iter(self.merge_many([w for w, k in zip(new, numbers) if k < 0]))
+        word, token = self.word, self.token
+        for w, k in zip(new, numbers):
+            ids = next(merged) if k < 0 else self.lexicon.ids(k)
+            word[w] = struct.pack(f"<{len(ids)}I", *ids), b" ".join([token[i] for i in ids])
+        for c, ws in zip(chunks, own):
+            self.known[c] = word[ws[0]] if len(ws) == 1 else (b"".join([word[w][0] for w in ws]), b" ".join([word[w][1] for w in ws]))
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """(ids as little-endian uint32, the decoded text in UTF-8) of each text."""
         known = self.known
         if len(known) > self.most:
             known.clear()
-        got = []
-        for part in self.cut.split(text) if "<|" in text else (text,):
-            if part in self.special:
-                i = self.special[part]
-                got.append((np.array([i], "<u4").tobytes(), part.encode()))
-                continue
-            own = self.chunks(part)
-            for c in set(own):
-                if c not in known:
-                    known[c] = self.chunk(c)
-            got.extend(map(known.__getitem__, own))
-        got = [x for x in got if x[0]]
-        return b"".join([x[0] for x in got]), b" ".join([x[1] for x in got])
+        split, new = [], set()
+        for text in texts:
+            chunks, got = [], []
+            for part in self.cut.split(text) if "<|" in text else (text,):
+                if part in self.special:
+                    chunks.append(part)
+                    got.append((struct.pack("<I", self.special[part]), part.encode()))
+                else:
+                    chunks += (found := self.chunks(part))
+                    got += map(known.get, found)
+            if None in got:
+                new.update([c for c, x in zip(chunks, got) if x is None])
+            split.append((chunks, got))
+        if new:
+            self.learn(list(new))
+        out = []
+        for chunks, got in split:
+            if None in got:
+                got = [known[c] if x is None else x for c, x in zip(chunks, got)]
+            out.append((b"".join([x[0] for x in got]), b" ".join([x[1] for x in got])))
+        return out
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = WORDS) -> list[bytes]:
@@ -264,7 +357,8 @@ def frequent_words(docs: DataFrame, path: str, most: int = WORDS) -> list[bytes]
 
 def build(words: list[bytes], path: str) -> bytes:
     bpe = WordBpe(path)
-    return Automaton.compile({w: bpe.merge(w) for w in words if w})
+    words = [w for w in words if w]
+    return Automaton.compile(dict(zip(words, bpe.merge_many(words))))
 
 
 def encode_decode(docs: DataFrame, vocab: str = "word_bpe_49k.json", words: int = WORDS, with_ids: bool = False) -> DataFrame:
@@ -282,8 +376,7 @@ def encode_decode(docs: DataFrame, vocab: str = "word_bpe_49k.json", words: int
         for batch in batches:
             for part in slices(batch):
                 rows = [[] for _ in range(6)]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids, decoded = bpe.encode(text)
+                for doc, (ids, decoded) in zip(part.column(0).to_pylist(), bpe.encode(part.column(1).to_pylist())):
                     for col, x in zip(rows, (doc, len(ids) // 4, sha(ids).hexdigest(), sha(decoded).hexdigest(), ids if with_ids else None, decoded if with_ids else None)):
                         col.append(x)
                 rows[5] = [x.decode() if with_ids else None for x in rows[5]]
