@@ -49,7 +49,7 @@ def unplanes(found: list[bytes], n: int, mode: str) -> np.ndarray:
 class Writer:
     """Writes ids to an open binary file, a block at a time; holds one block and the index."""
 
-    def __init__(self, out, block: int = 1 << 16, mode: str = "byte", level: int = 3):
+    def __init__(self, out, block: int = 1 << 16, mode: str = "byte", level: int = 1):
         if mode not in ("byte", "bit"):
             raise ValueError("mode is byte or bit")
         self.out, self.block, self.mode = out, block, mode

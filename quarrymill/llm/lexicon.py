@@ -15,16 +15,17 @@ import re
 import struct
 import tempfile
 from collections import Counter
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import documents, kept_in_worker, mix, set_env
+from .common import documents, dropped, kept_in_worker, mix, set_env, written
 from .tokens import slices, vocabulary
 
-#: Words in the automaton, chunks of text that a worker remembers, words that a counting task holds.
-WORDS, CACHE, COUNTED = 50_000, 250_000, 300_000
+#: Chunks whose words the automaton holds, chunks that a worker remembers, and that a counting task holds.
+WORDS, CACHE, COUNTED = 50_000, 400_000, 500_000
 
 #: White space of the pre-tokenizer's pattern (the Unicode property); Python's split() also cuts at U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -36,6 +37,7 @@ _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ňŊ-ž]+|[0-9]|[^
 
 
 _NONE = 1 << 30
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 
 
 def byte_letters() -> list[str]:
@@ -266,7 +268,7 @@ class WordBpe:
 
     def words(self, chunk: str) -> list[bytes]:
         """Words of a chunk without white space, as bytes."""
-        if _PLAIN.fullmatch(chunk):
+        if chunk.isascii() or _PLAIN.fullmatch(chunk):
             return [w.encode() for w in _WORDS.findall(chunk.lower())]
         byte = self.byte
         return [bytes(map(byte.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
@@ -313,46 +315,48 @@ class WordBpe:
         for chunks, got in split:
             if None in got:
                 got = [known[c] if x is None else x for c, x in zip(chunks, got)]
-            out.append((b"".join([x[0] for x in got]), b" ".join([x[1] for x in got])))
+            out.append((b"".join(map(_FIRST, got)), b" ".join(map(_SECOND, got))))
         return out
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = WORDS) -> list[bytes]:
-    """The `most` most frequent words of all texts (ties: by bytes). Counted over the whole corpus; tasks pre-aggregate, and
-    the driver gets `most` words at most."""
+    """The words of the `most` most frequent chunks (what stands between white space) of all texts, as nearly as a count that at
+    most so many chunks reach tells. Counted over the whole corpus; tasks pre-aggregate, and the driver gets a histogram of
+    counts and then `most` chunks at most."""
 
     def run(batches):
         bpe, counts = kept_in_worker(WordBpe, path, None), Counter()
-        cache: dict[str, list[bytes]] = {}
 
         def out():
-            words = list(counts)
-            for at in range(0, len(words), 50_000):
-                own = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([counts[w] for w in own], pa.int64())], names=["word", "n"])
+            for at in range(0, len(own := list(counts)), 50_000):
+                part = own[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[c] for c in part], pa.int64())], names=["chunk", "n"])
             counts.clear()
 
         for batch in batches:
             for part in slices(batch):
-                chunks: Counter = Counter()
                 for text in part.column(1).to_pylist():
-                    for own in bpe.cut.split(text) if "<|" in text else (text,):
-                        if own not in bpe.special:
-                            chunks.update(bpe.chunks(own))
-                for c, n in chunks.items():
-                    words = cache.get(c)
-                    if words is None:
-                        words = cache[c] = bpe.words(c)
-                    for w in words:
-                        counts[w] += n
-                if len(cache) > CACHE:
-                    cache.clear()
+                    counts.update(bpe.chunks(text))
                 if len(counts) > COUNTED:
                     yield from out()
         yield from out()
 
-    counted = documents(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counted = written(documents(docs).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")), "counts")
+    level = F.floor(16 * F.log2("n")).cast("int")  # 16 levels for each doubling: a thousand at most
+    levels = sorted(((r.level, r["count"]) for r in counted.groupBy(level.alias("level")).count().collect()), reverse=True)
+    lowest, total = None, 0
+    for at, n in levels:
+        total += n
+        if total > most:
+            break
+        lowest = at
+    if lowest is None:
+        return []
+    bpe = WordBpe(path)
+    chunks = [r.chunk for r in counted.where(level >= lowest).select("chunk").collect()]
+    out = sorted({w for c in chunks for w in bpe.words(c)})
+    dropped(counted)
+    return out
 
 
 def build(words: list[bytes], path: str) -> bytes:
@@ -364,8 +368,8 @@ def build(words: list[bytes], path: str) -> bytes:
 def encode_decode(docs: DataFrame, vocab: str = "word_bpe_49k.json", words: int = WORDS, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text (and with_ids its ids and decoded text).
 
-    Null text: empty, no tokens. Null doc_id and repeated rows: kept. Other columns are ignored. The compiled lexicon (at
-    most `words` words, so a few MB) is broadcast."""
+    Null text: empty, no tokens. Null doc_id and repeated rows: kept. Other columns are ignored. The compiled lexicon (the
+    words of at most `words` chunks, so a few MB) is broadcast."""
     spark, path = docs.sparkSession, vocabulary(vocab)
     lexicon = spark.sparkContext.broadcast(build(frequent_words(docs, path, words), path))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if with_ids else "")

@@ -24,9 +24,9 @@ class ByteEncoder:
     """encode(texts) gives what Tokenizer.encode(text, add_special_tokens=False).ids gives, as little-endian uint32 bytes.
 
     The pre-tokenizer of a byte-level BPE file starts a new token at each space that stands between two characters which
-    are not white space, and never looks behind; so a text may be cut there, and each piece (with its leading space) has
-    its ids whatever its neighbours are. Pieces are encoded by the library once and then remembered. A text in which a
-    space touches other white space, or which may hold a special token, goes to the library as a whole.
+    are not white space, and before such a line feed, and never looks behind; so a text may be cut there, and each piece (with
+    its leading space or line feed) has its ids whatever its neighbours are. Pieces are encoded by the library once and then remembered. A text in which
+    a space or line feed touches other white space, or which may hold a special token, goes to the library as a whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -45,26 +45,31 @@ class ByteEncoder:
         self.spaced = np.zeros(self.library.get_vocab_size() + 1, bool)  # ids whose token begins with a space
         self.mark = {c: np.array(self.library.encode(c).ids, "<u4").tobytes() for c in _MARKS}
         self.spaced[[i for t, i in letters if t.startswith("Ġ")]] = True
+        self.line = np.zeros_like(self.spaced)
+        self.line[[i for t, i in letters if t.startswith("Ċ")]] = True
 
     def _encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of pieces. Pieces are joined for the library: a token that begins with a space begins a piece, since no
-        piece holds a space. A mark after a letter is a token of its own, so such a piece is made of what is before and the mark."""
+        """Remembers the ids of pieces. Pieces are joined for the library: a token that begins with a space (or, among pieces that
+        begin with one, a line feed) begins a piece, since no piece holds another. A mark after a letter is a token of its own, so
+        such a piece is made of what is before and the mark."""
         ends = {p: p[:-1] for p in pieces if p[-1] in _MARKS and len(p) > 1 and p[-2].isalpha()}
         new = [p for p in {ends.get(p, p) for p in pieces} if p not in self.known]
-        groups = [new[at : at + 128] for at in range(0, len(new), 128)]
-        for at in range(0, len(groups), 64):
-            found = self.library.encode_batch_fast([" " + " ".join(g) for g in groups[at : at + 64]], add_special_tokens=False)
-            for group, e in zip(groups[at : at + 64], found):
-                ids = np.array(e.ids, "<u4")
-                cuts = [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
-                if len(cuts) != len(group) + 1:
-                    self.known.update(zip(group, self._encode([" " + p for p in group])))
-                else:
-                    data = ids.tobytes()
-                    self.known.update(zip(group, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
+        lines = [p for p in new if p[0] == "\n"]
+        for own, before, starts in (([p for p in new if p[0] != "\n"], " ", self.spaced), (lines, "", self.line)):
+            groups = [own[at : at + 128] for at in range(0, len(own), 128)]
+            for at in range(0, len(groups), 64):
+                found = self.library.encode_batch_fast([before + before.join(g) for g in groups[at : at + 64]], add_special_tokens=False)
+                for group, e in zip(groups[at : at + 64], found):
+                    ids = np.array(e.ids, "<u4")
+                    cuts = [*(4 * np.flatnonzero(starts[ids])).tolist(), 4 * len(ids)]
+                    if len(cuts) != len(group) + 1:
+                        self.known.update(zip(group, self._encode([before + p for p in group])))
+                    else:
+                        data = ids.tobytes()
+                        self.known.update(zip(group, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
         for p, stem in ends.items():
             self.known[p] = self.known[stem] + self.mark[p[-1]]
 
@@ -78,11 +83,11 @@ class ByteEncoder:
             if any(s in text for s in self.special):
                 whole.append(i)
                 continue
-            pieces = text.split(" ")
+            pieces = text.replace("\n", " \n").split(" ")
             got = list(map(known.get, pieces))  # hashed and looked up once
             if None in got:
                 unseen = {p for p, ids in zip(pieces, got) if ids is None}
-                if "" in unseen or any(p[0].isspace() or p[-1].isspace() for p in unseen):
+                if "" in unseen or any(p[-1].isspace() or p[0].isspace() and (p[0] != "\n" or p[1].isspace()) for p in unseen):
                     whole.append(i)
                     continue
                 new |= unseen
