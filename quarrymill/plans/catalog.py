@@ -1,4 +1,241 @@
-"""Queries over the tables, and their SQL."""
+"""Queries over the tables, and the SQL that gives the same rows.
+
+Views that several queries share: boxes (an image is an order, a box a line item), items (documents), history (orders by
+month), progress (events), files (parts). Their SQL is the same in Spark and DuckDB.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import boxes as geo, values as val
+from ..operators import annotations as ann, groups, rounds
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+BOXES = """SELECT l_orderkey AS img, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS ord,
+ CAST(l_suppkey % 10 AS INT) AS cls_id, (l_partkey % 1000) / 1000.0e0 AS cx, (l_suppkey % 100) / 100.0e0 AS cy, 0.05e0 + l_discount * 3 AS w, 0.05e0 + l_tax * 3 AS h, l_quantity / 50.0e0 AS conf
+ FROM lineitem"""
+CORNERS = "SELECT *, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2 FROM (" + BOXES + ")"
+HISTORY = """SELECT CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INT) AS round, count(*) AS images,
+ round(sum(CASE WHEN o_orderstatus = 'F' THEN 1.0e0 ELSE 0.0e0 END) / count(*), 6) AS map FROM orders GROUP BY 1"""
+CLASSES = "SELECT CAST(n_nationkey AS INT) AS cls_id, n_name AS name FROM nation WHERE n_nationkey < 8"
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    for n in names:
+        spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def both(name: str, sql: str, *names: str) -> None:
+    """A query that is the same text in Spark and DuckDB."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables(spark, sf_dir, *names)
+        return spark.sql(sql)
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+def view(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    tables(spark, sf_dir, *names)
+    return spark.sql(sql)
+
+
+# Scans and filters of annotations
+both("c4_confident_boxes", f"SELECT img, ord, cls_id, conf FROM ({BOXES}) b WHERE conf > 0.25e0", "lineitem")
+both("c5_whole_boxes", f"SELECT img, ord FROM ({CORNERS}) b WHERE least(x2, 1.0e0) > greatest(x1, 0.0e0) AND least(y2, 1.0e0) > greatest(y1, 0.0e0)", "lineitem")
+both("c8_find", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%a%'", "part")
+both("c9_first_match", "SELECT min(p_partkey) AS first_match FROM part WHERE lower(p_name) LIKE '%a%'", "part")
+both("c14_inference_gate", "SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE CASE WHEN l.doc_id IS NULL THEN true ELSE d.doc_id % 2 = 0 END", "documents", "labels")
+both("d5_unlabelled", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)", "documents", "labels")
+both("d6_labelled", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)", "documents", "labels")
+both("d1_item_labels", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "documents", "labels")
+both("c13_d2_d3_known_annotations", f"SELECT b.img, b.ord, o.o_orderstatus, c.name FROM ({BOXES}) b JOIN orders o ON o.o_orderkey = b.img JOIN ({CLASSES}) c ON c.cls_id = b.cls_id", "lineitem", "orders", "nation")
+both("e2_boxes_per_image", f"SELECT img, count(*) AS n, round(max(conf), 6) AS best FROM ({BOXES}) b GROUP BY img", "lineitem")
+both("e12_item_stats", "SELECT count(*) AS total, count(l.doc_id) AS labelled, count(*) - count(l.doc_id) AS pending FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id", "documents", "labels")
+both("e15_epoch_means", "SELECT event_type AS run, round(avg(value), 6) AS mean_loss, count(*) AS steps FROM events GROUP BY event_type", "events")
+both("f1_round_deltas", f"SELECT round, map, round(map - lag(map) OVER (ORDER BY round), 6) AS delta FROM ({HISTORY}) h", "orders")
+both("f8_models_by_score", f"SELECT round, map, row_number() OVER (ORDER BY map DESC, round) AS place FROM ({HISTORY}) h", "orders")
+both("f10_largest_classes", f"SELECT cls_id, count(*) AS n FROM ({BOXES}) b GROUP BY cls_id ORDER BY n DESC, cls_id LIMIT 8", "lineitem")
+both("e5_totals", f"SELECT count(*) AS rounds, CAST(sum(images) AS BIGINT) AS images, round(max(map), 6) AS best FROM ({HISTORY}) h", "orders")
+both("g5_unmatched_names", f"SELECT DISTINCT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT cls_id FROM ({CLASSES}) c)", "nation")
+both("b7_history_last_wins", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) x WHERE n = 1", "orders")
+both("b12_backups_to_drop", "SELECT s_nationkey, s_suppkey FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS n FROM supplier) x WHERE n > 3", "supplier")
+both("f5_file_order", "SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN quality = 1 THEN 0 WHEN quality = 0 THEN 1 ELSE 2 END, doc_id) AS place FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) x", "documents", "labels")
+both("d4_f3_dense_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS image_id FROM orders WHERE o_orderstatus = 'F'", "orders")
+
+
+@query("e1_exact_duplicates", """WITH r AS (SELECT doc_id, sha256(text) AS digest FROM documents), g AS (SELECT digest, min(doc_id) AS f FROM r GROUP BY digest HAVING count(*) > 1),
+n AS (SELECT digest, row_number() OVER (ORDER BY f) - 1 AS gid FROM g)
+SELECT gid, row_number() OVER (PARTITION BY r.digest ORDER BY doc_id) - 1 AS pos, doc_id, r.digest FROM r JOIN n ON r.digest = n.digest""")
+def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.exact_groups(view(spark, sf_dir, "SELECT doc_id, text FROM documents", "documents"), F.col("text"), "doc_id")
+
+
+@query("e8_g3_survivors", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(text)")
+def e8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = view(spark, sf_dir, "SELECT doc_id, text FROM documents", "documents")
+    return groups.survivors(docs, groups.exact_groups(docs, F.col("text"), "doc_id").where("pos > 0"), "doc_id").select("doc_id")
+
+
+@query("e3_boxes_per_class", f"SELECT b.cls_id, coalesce(c.name, 'class_' || b.cls_id) AS name, count(*) AS n, round(count(*) * 100.0e0 / (SELECT count(*) FROM lineitem), 6) AS share FROM ({BOXES}) b LEFT JOIN ({CLASSES}) c ON c.cls_id = b.cls_id GROUP BY 1, 2")
+def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ann.per_class(view(spark, sf_dir, BOXES, "lineitem"), view(spark, sf_dir, CLASSES, "nation"))
+    return out.withColumn("share", F.round("share", 6))
+
+
+@query("a7_yolo_corners", f"SELECT img, ord, round(least(greatest(x1 * 640, 0), 640), 6) AS xmin, round(least(greatest(y1 * 480, 0), 480), 6) AS ymin, round(least(greatest(x2 * 640, 0), 640), 6) AS xmax, round(least(greatest(y2 * 480, 0), 480), 6) AS ymax FROM ({CORNERS}) b")
+def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = [F.col(x) for x in ("cx", "cy", "w", "h")]
+    cols = geo.yolo_to_corners(*c, F.lit(640.0), F.lit(480.0))
+    return view(spark, sf_dir, BOXES, "lineitem").select("img", "ord", *[F.round(x, 6).alias(n) for x, n in zip(cols, ("xmin", "ymin", "xmax", "ymax"))])
+
+
+@query("b1_canvas_to_yolo", f"SELECT img, ord, round((a + c) / 2, 6) AS cx, round((b + d) / 2, 6) AS cy, round(c - a, 6) AS w, round(d - b, 6) AS h FROM (SELECT img, ord, least(greatest(x1, 0), 1) AS a, least(greatest(y1, 0), 1) AS b, least(greatest(x2, 0), 1) AS c, least(greatest(y2, 0), 1) AS d FROM ({CORNERS}) b) q")
+def b1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = [F.col(x) for x in ("x1", "y1", "w", "h")]
+    cols = geo.rect_to_yolo(*c, F.lit(1.0), F.lit(1.0))
+    return view(spark, sf_dir, CORNERS, "lineitem").select("img", "ord", *[F.round(x, 6).alias(n) for x, n in zip(cols, ("cx", "cy", "w", "h"))])
+
+
+@query("d15_class_remap", f"SELECT img, ord, CAST(CASE cls_id WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 3 THEN 1 END AS INT) AS cls_id FROM ({BOXES}) b WHERE cls_id IN (0, 1, 3)")
+def d15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = spark.createDataFrame([(0, 3), (1, 0), (3, 1)], "old_id int, new_id int")
+    return ann.remapped(view(spark, sf_dir, BOXES, "lineitem"), F.broadcast(mapping)).select("img", "ord", "cls_id")
+
+
+@query("d13_mapped_predictions", f"SELECT img, ord, CASE WHEN b.cls_id < 8 THEN b.cls_id ELSE 0 END AS cls_id, c.cls_id IS NOT NULL AS matched FROM ({BOXES}) b LEFT JOIN ({CLASSES}) c ON c.cls_id = b.cls_id")
+def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = view(spark, sf_dir, CLASSES, "nation")
+    names = view(spark, sf_dir, "SELECT CAST(n_nationkey AS INT) AS cls_id, n_name AS name FROM nation", "nation")
+    return ann.mapped_predictions(view(spark, sf_dir, BOXES, "lineitem"), own, names).select("img", "ord", "cls_id", "matched")
+
+
+@query("g2_class_union", "SELECT row_number() OVER (ORDER BY place) - 1 AS cls_id, name FROM (SELECT name, min(side * 1000000000 + place) AS place FROM (SELECT r_name AS name, 0 AS side, r_regionkey AS place FROM region UNION ALL SELECT n_name, 1, n_nationkey FROM nation) GROUP BY name)")
+def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.class_union(view(spark, sf_dir, "SELECT r_regionkey AS cls_id, r_name AS name FROM region", "region"), view(spark, sf_dir, "SELECT n_name AS name, n_nationkey AS ord FROM nation", "nation"))
+
+
+@query("c2_rejected_names", "SELECT DISTINCT p_type AS name FROM part WHERE NOT (length(p_type) >= 2 AND regexp_matches(p_type, '^[A-Za-z0-9_-]+$'))")
+def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.accepted(view(spark, sf_dir, "SELECT p_type AS name FROM part", "part"))[1]
+
+
+@query("e14_overlap", "SELECT count(r) AS matched, count(*) AS total, round(count(r) / count(*), 6) AS ratio, count(r) >= 1 AND count(r) / count(*) >= 0.5 AS recommended FROM (SELECT CASE WHEN n_nationkey % 3 = 0 THEN 1 END AS r FROM nation)")
+def e14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = view(spark, sf_dir, "SELECT n_name AS name FROM nation", "nation")
+    known = view(spark, sf_dir, "SELECT lower(n_name) AS name FROM nation WHERE n_nationkey % 3 = 0", "nation")
+    return ann.overlap(names, known, spark.createDataFrame([], "name string, standard string")).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("s2_round_names", "SELECT round, 'best_m_r' || round || '_m' || lpad(CAST(CAST(round_even(map * 1000, 0) AS INT) AS VARCHAR), 4, '0') || '.pt' AS name FROM (" + HISTORY + ")")
+def s2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, HISTORY, "orders").select("round", val.round_name(F.lit("m"), F.col("round"), F.col("map")).alias("name"))
+
+
+IOU = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
+
+
+@query("l6_suppressed_boxes", f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY conf DESC, ord) AS k FROM ({CORNERS}) q WHERE conf > 0.25),
+e AS (SELECT b.img, b.k, list(a.k) AS over FROM (SELECT *, (x2 - x1) * (y2 - y1) AS s FROM p) a JOIN (SELECT *, (x2 - x1) * (y2 - y1) AS s FROM p) b ON a.img = b.img AND a.k < b.k WHERE {IOU} > 0.45 * (a.s + b.s - {IOU}) GROUP BY ALL),
+n AS (SELECT p.img, p.k, coalesce(e.over, []) AS over FROM p LEFT JOIN e ON e.img = p.img AND e.k = p.k),
+r AS (SELECT img, k, [k] AS kept FROM n WHERE k = 1 UNION ALL
+ SELECT r.img, n.k, CASE WHEN len(list_intersect(r.kept, n.over)) > 0 THEN r.kept ELSE list_append(r.kept, n.k) END FROM r JOIN n ON n.img = r.img AND n.k = r.k + 1)
+SELECT p.img, p.ord, round(p.conf, 6) AS conf FROM p JOIN (SELECT img, max_by(kept, k) AS kept FROM r GROUP BY img) z ON z.img = p.img AND list_contains(z.kept, p.k)""")
+def l6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.suppressed(view(spark, sf_dir, CORNERS, "lineitem")).select("img", "ord", F.round("conf", 6).alias("conf"))
+
+
+UNIT = "SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-8)) AS v, label FROM embeddings"
+LEADERS = """n AS (SELECT u.id, coalesce(e.low, []) AS low, row_number() OVER (ORDER BY u.id) AS k FROM u LEFT JOIN (SELECT j, list(i) AS low FROM e GROUP BY j) e ON e.j = u.id),
+r AS (SELECT k, [id] AS leads, id AS leader FROM n WHERE k = 1 UNION ALL
+ SELECT n.k, CASE WHEN len(list_intersect(r.leads, n.low)) > 0 THEN r.leads ELSE list_append(r.leads, n.id) END, coalesce(list_min(list_intersect(r.leads, n.low)), n.id) FROM r JOIN n ON n.k = r.k + 1)
+SELECT n.id, r.leader FROM r JOIN n ON n.k = r.k"""
+
+
+def unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "SELECT vec_id AS id, embedding, label FROM embeddings", "embeddings").select("id", val.unit(val.doubles(F.col("embedding"))).alias("v"), "label")
+
+
+@query("d9_cosine_leaders", f"WITH RECURSIVE u AS ({UNIT}), e AS (SELECT a.id AS i, b.id AS j FROM u a JOIN u b ON a.id < b.id WHERE list_dot_product(a.v, b.v) >= 0.35), {LEADERS}")
+def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = unit(spark, sf_dir)
+    return groups.leaders(groups.cosine_edges(v.select("id", "v"), 0.35), v.select("id"))
+
+
+BITS = "SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS h FROM embeddings"
+
+
+@query("d8_hash_leaders", f"WITH RECURSIVE u AS ({BITS}), e AS (SELECT a.id AS i, b.id AS j FROM u a JOIN u b ON a.id < b.id WHERE len(list_filter(list_zip(a.h, b.h), lambda p: p[1] != p[2])) <= 17), {LEADERS}")
+def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "SELECT vec_id AS id, embedding FROM embeddings", "embeddings").select("id", val.sign_bits(F.col("embedding")).alias("h"))
+    return groups.leaders(groups.hash_edges(rows, 17), rows.select("id"))
+
+
+@query("e9_medoids", f"WITH u AS ({UNIT}), s AS (SELECT a.label AS cluster, a.id, round(avg(list_dot_product(a.v, b.v)), 9) AS s FROM u a JOIN u b ON a.label = b.label GROUP BY ALL) SELECT cluster, arg_max(id, s * 1000000 - id / 1e12) AS medoid, round(max(s), 6) AS score FROM s GROUP BY cluster")
+def e9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.medoids(unit(spark, sf_dir).select(F.col("label").alias("cluster"), "id", "v")).withColumn("score", F.round("score", 6))
+
+
+@query("e11_redundancy", f"WITH u AS ({UNIT}) SELECT a.id, round(avg(list_dot_product(a.v, b.v)), 6) AS redundancy FROM u a CROSS JOIN u b GROUP BY a.id")
+def e11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = unit(spark, sf_dir).select("id", "v")
+    mu = groups.mean_vector(u)
+    return u.join(F.broadcast(mu)).select("id", F.round(val.dot(F.col("v"), F.col("mu")), 6).alias("redundancy"))
+
+
+@query("m7_coreset", f"""WITH RECURSIVE u AS ({UNIT}), r AS (SELECT 0 AS rank, min(id) AS id, [min(id)] AS chosen FROM u UNION ALL
+ SELECT r.rank + 1, x.id, list_append(r.chosen, x.id) FROM r, LATERAL (SELECT f.id FROM (SELECT a.id, min(round(1 - list_dot_product(a.v, c.v), 12)) AS d FROM u a JOIN u c ON list_contains(r.chosen, c.id) WHERE NOT list_contains(r.chosen, a.id) GROUP BY a.id) f ORDER BY d DESC, f.id LIMIT 1) x WHERE r.rank < 9)
+SELECT rank, id FROM r""")
+def m7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.coreset(unit(spark, sf_dir).select("id", "v"), 10)
+
+
+@query("m1_average_linkage")
+def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.average_linkage(unit(spark, sf_dir).select("id", "v"), 0.2)
+
+
+@query("d11_nearest_centre", f"WITH u AS ({UNIT}), d AS (SELECT a.id, c.id AS centre, round(1 - list_dot_product(a.v, c.v), 9) AS d FROM u a JOIN u c ON c.id < 8), m AS (SELECT id, centre, d, row_number() OVER (PARTITION BY id ORDER BY d, centre) AS n FROM d) SELECT id, centre, round(abs(d), 6) AS distance FROM m WHERE n = 1")
+def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = unit(spark, sf_dir)
+    return groups.nearest(u.select("id", "v"), u.where("id < 8").select(F.col("id").alias("rank"), "v")).withColumn("distance", F.round(F.abs("distance"), 6))
+
+
+@query("e10_diversity", f"WITH u AS (SELECT * FROM ({UNIT}) WHERE id < 50) SELECT round(avg(1 - m), 6) AS diversity FROM (SELECT a.id, max(list_dot_product(a.v, b.v)) AS m FROM u a JOIN u b ON a.id != b.id GROUP BY a.id)")
+def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reps = unit(spark, sf_dir).where("id < 50").select("id", "v")  # representatives: a small table by nature
+    pairs = groups.cosine_edges(reps, -1.0)
+    ends = pairs.select(F.col("i").alias("id"), "sim").union(pairs.select("j", "sim"))
+    return ends.groupBy("id").agg(F.max("sim").alias("m")).agg(F.round(F.avg(1 - F.col("m")), 6).alias("diversity"))
+
+
+@query("e16_average_precision")
+def e16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = view(spark, sf_dir, CORNERS, "lineitem")
+    return ann.average_precision(b, b.where("ord % 2 = 1"))
+
+
+@query("f7_best_model", f"SELECT arg_max(round, map * 1000000 + round) AS model, 'history' AS source FROM ({HISTORY}) WHERE round % 2 = 0")
+def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = view(spark, sf_dir, HISTORY, "orders").select(F.col("round").alias("model"), "round", F.col("map").alias("mAP"))
+    return rounds.best_model(h, h.where("round % 2 = 0").select("model", F.col("round").alias("modified")))
+
+
+@query("s4_round_progress", "WITH c AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 10 = 0), l AS (SELECT DISTINCT doc_id FROM labels) SELECT count(c.doc_id) AS reps_done, count(*) FILTER (c.doc_id IS NULL AND l.doc_id > 100) AS extras, (SELECT count(*) FROM c) AS target, count(c.doc_id) + count(*) FILTER (c.doc_id IS NULL AND l.doc_id > 100) AS done FROM l LEFT JOIN c ON c.doc_id = l.doc_id")
+def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reps = view(spark, sf_dir, "SELECT doc_id AS representative FROM documents WHERE doc_id % 10 = 0", "documents")
+    done = view(spark, sf_dir, "SELECT DISTINCT doc_id AS path, doc_id AS modified FROM labels", "labels")
+    return rounds.progress(reps, done, F.lit(100)).select("reps_done", "extras", "target", "done")
