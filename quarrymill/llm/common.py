@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -81,6 +82,12 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def trim() -> None:
+    """Gives memory that this process has freed back to the system, where the C library can: workers live on between tasks."""
+    if _TRIM:
+        _TRIM(0)
+
+
 class Bounded(dict):
     """A cache of computed values: forgets all when it holds `most`."""
 
@@ -95,6 +102,12 @@ class Bounded(dict):
         return out
 
 
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+pa.set_memory_pool(pa.system_memory_pool())  # so that trim() reaches Arrow's buffers, too
+
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACES, keep_ids
+from .common import SPACES, keep_ids, small_batches, trim
 
 #: value = scale * count / base, in whole steps of the grid: rule, count, base, steps a unit, highest step.
 RULES = (("symbols", "n_symbols", "n_words", 50, 100), ("duplicate_lines", "n_dup_lines", "n_lines", 50, 50), ("repeated_words", "n_repeat_words", "n_words", 50, 50), ("capitals", "n_upper", "word_chars", 50, 50))
@@ -80,6 +80,7 @@ def metrics_udf():
     def metrics(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in METRICS.split(", ")]
         for text in batches:
+            trim()
             yield pd.DataFrame([measure(t or "") for t in text], columns=names, dtype="int64")
 
     return metrics
@@ -143,6 +144,7 @@ def cutoffs(docs: DataFrame, labels: DataFrame, limit: float = 0.005, delta: flo
 def judged(docs: DataFrame, labels: DataFrame, name: str = "quality", limit: float = 0.005, delta: float = 0.05) -> DataFrame:
     """docs with a struct `name`: METRICS, base_failed, kept. A document of a stratum without labelled ones is judged by the base
     rules alone. Null text: no words, so base_failed. Null lang: the stratum ''. Null doc_id: judged as any other."""
+    small_batches(docs.sparkSession)
     found = cutoffs(docs, labels, limit, delta)
     few = found.limit(STRATA_BROADCAST + 1).collect()
     if len(few) <= STRATA_BROADCAST:

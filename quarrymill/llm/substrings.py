@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_IDS, GOLD, WordHashes, arrays, dropped, kept_in_worker, mix, written
+from .common import BROADCAST_IDS, GOLD, WordHashes, arrays, dropped, kept_in_worker, mix, trim, written
 from .tokens import slices
 
 _LOW = -(1 << 63)
@@ -253,6 +253,7 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
                 words = (t or "").encode("utf-8", "surrogatepass").split()
                 hit = len(words) >= window and (copy is True or found is not None)
                 out.append((b"" if copy is True else b" ".join(kept_words(words, found, window))).decode("utf-8", "surrogatepass") if hit else None)
+            trim()
             yield pd.Series(out, dtype=object)
 
     out = _marked(docs, rows, window, (o, k, k2)).withColumn(new, changed("text", "__copy", "__starts")).where(F.col(new).isNull() | (F.col(new) != ""))

@@ -7,10 +7,10 @@ import json
 import numpy as np
 import pyarrow as pa
 
-from .common import set_env
+from .common import set_env, trim
 
 #: Pieces that a worker keeps; about 210 bytes each.
-CACHE = 1_200_000
+CACHE = 900_000
 _MARKS = ".,;:!?"
 
 
@@ -104,10 +104,11 @@ class ByteEncoder:
         return out
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20):
+def slices(batch: pa.RecordBatch, most_bytes: int = 2 << 20):
     """Parts of a batch whose texts have about so many bytes, so that a batch of long texts needs no more memory."""
     size = batch.nbytes
     rows = batch.num_rows
     step = max(1, min(rows, int(rows * most_bytes / max(size, 1)))) if rows else 1
     for at in range(0, rows, step):
         yield batch.slice(at, step)
+    trim()
