@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 ORIENTATIONS = ("identity", "rot90", "rot180", "rot270", "flip", "flip_rot90", "flip_rot180", "flip_rot270")
 
@@ -83,9 +83,7 @@ def sharpness(x: np.ndarray) -> float:
     return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * x).var())
 
 
-@F.pandas_udf("struct<hash:array<boolean>,sharpness:double,gray:array<float>>")
-def described(image: pd.DataFrame) -> pd.DataFrame:
-    """Hash, sharpness and 128 x 128 gray of images as Spark's image source has them; null for unreadable ones."""
+def _describe(image: pd.DataFrame) -> pd.DataFrame:
     out = []
     for r in image.itertuples():
         if r.height <= 0:
@@ -94,3 +92,8 @@ def described(image: pd.DataFrame) -> pd.DataFrame:
         x = gray(r.data, r.height, r.width, r.nChannels)
         out.append((perceptual_hash(x).tolist(), sharpness(x), resized(x, 128).astype(np.float32).ravel().tolist()))
     return pd.DataFrame(out, columns=["hash", "sharpness", "gray"])
+
+
+def described(image: Column) -> Column:
+    """Hash, sharpness and 128 x 128 gray of images as Spark's image source has them; null for unreadable ones."""
+    return F.pandas_udf(_describe, "struct<hash:array<boolean>,sharpness:double,gray:array<float>>")(image)
