@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrymill.llm import chosen_path, packing, quality, secrets, substrings
@@ -16,8 +18,9 @@ from quarrymill.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "__quality")
-    return judged.where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = "quality" + uuid.uuid4().hex
+    judged = quality.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), name)
+    return judged.where(f"{name}.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,13 +198,14 @@ def kept_words(words: list[bytes], starts, window: int) -> list[bytes]:
 
 
 def _marked(docs: DataFrame, rows: DataFrame, window: int, names: tuple[str, ...]) -> DataFrame:
-    """docs with two columns: whether the text is a copy, and the starts of its repeated windows (null: none)."""
+    """rows with two columns: whether the text is a copy, and the starts of its repeated windows (null: none). names: of o, k and k2 in
+    rows, then of the two."""
     copies, found = repeated_windows(docs, window)
     few = copies.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2
-    c = copies.select(F.col("k").alias("__ck"), F.col("k2").alias("__ck2"), F.lit(True).alias("__copy"))
-    out = rows.join(F.broadcast(c) if few else c, (F.col(names[1]) == F.col("__ck")) & (F.col(names[2]) == F.col("__ck2")), "left").drop("__ck", "__ck2")
-    f = found.select(F.col("o").alias("__fo"), F.col("k").alias("__fk"), F.col("starts").alias("__starts"))
-    return out.join(f, (F.col(names[0]) == F.col("__fo")) & (short(names[1]) == F.col("__fk")), "left").drop("__fo", "__fk")
+    c = copies.select(F.col("k").alias(names[1] + "c"), F.col("k2").alias(names[2] + "c"), F.lit(True).alias(names[3]))
+    out = rows.join(F.broadcast(c) if few else c, (F.col(names[1]) == F.col(names[1] + "c")) & (F.col(names[2]) == F.col(names[2] + "c")), "left").drop(names[1] + "c", names[2] + "c")
+    f = found.select(F.col("o").alias(names[0] + "f"), F.col("k").alias(names[1] + "f"), F.col("starts").alias(names[4]))
+    return out.join(f, (F.col(names[0]) == F.col(names[0] + "f")) & (short(names[1]) == F.col(names[1] + "f")), "left").drop(names[0] + "f", names[1] + "f")
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
@@ -232,7 +233,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False)
                 n = 5 if with_text else 4
                 yield _batch(schema, *[pa.array(c, t) for c, t in zip(out[:n], types[:n])])
 
-    marked = _marked(docs, rows, window, ("o", "k", "k2")).select("o", "text", F.col("__copy"), F.col("__starts"))
+    marked = _marked(docs, rows, window, ("o", "k", "k2", "copy", "starts")).select("o", "text", "copy", "starts")
     out = marked.mapInArrow(run, schema)
     return out.select(F.when(F.col("o") != _LOW, F.col("o")).alias("doc_id"), *out.columns[1:])
 
@@ -241,7 +242,7 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """docs without repeated passages: the words that substring_dedup() removes go from every place. Texts that lose nothing stay as
     they are; others have their kept words joined by one space and n_chars counted anew; rows that keep no word go."""
     tag = uuid.uuid4().hex
-    o, k, k2, new = (f"{x}{tag}" for x in ("o", "k", "h", "n"))
+    o, k, k2, copy, starts, new = (f"{x}{tag}" for x in ("o", "k", "h", "c", "s", "n"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumns({o: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)), k: F.xxhash64(text), k2: F.xxhash64(F.lit(77), text)})
 
@@ -256,7 +257,7 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
             trim()
             yield pd.Series(out, dtype=object)
 
-    out = _marked(docs, rows, window, (o, k, k2)).withColumn(new, changed("text", "__copy", "__starts")).where(F.col(new).isNull() | (F.col(new) != ""))
+    out = _marked(docs, rows, window, (o, k, k2, copy, starts)).withColumn(new, changed("text", copy, starts)).where(F.col(new).isNull() | (F.col(new) != ""))
     return out.select(*[F.coalesce(new, "text").alias("text") if c == "text" else F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
