@@ -85,6 +85,7 @@ def average_precision(predictions: DataFrame, truth: DataFrame, threshold: float
     hit = best.withColumn("first", F.row_number().over(Window.partitionBy("img", "cls_id", "m.box").orderBy(F.desc("conf"), "ord"))).withColumn("tp", ((F.col("m.iou") >= threshold) & (F.col("first") == 1)).cast("int"))
     w = Window.partitionBy("cls_id").orderBy(F.desc("conf"), "img", "ord")
     curve = hit.withColumn("tps", F.sum("tp").over(w)).withColumn("k", F.row_number().over(w))
-    curve = curve.withColumn("precision", F.max(F.col("tps") / F.col("k")).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy("cls_id").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)  # a running maximum from the end
+    curve = curve.withColumn("precision", F.max(F.col("tps") / F.col("k")).over(back))
     n = truth.groupBy("cls_id").agg(F.count("*").alias("n"))
     return n.join(curve.where("tp = 1").groupBy("cls_id").agg(F.sum("precision").alias("s")), "cls_id", "left").select("cls_id", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("ap"))
