@@ -47,6 +47,13 @@ def normalised_name(name: Column, synonyms: DataFrame | None = None) -> Column:
     return F.lower(F.trim(name))
 
 
+def known_names(names: DataFrame, vocabulary: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """name, standard of the names that, trimmed, in lower case and by synonym (name, standard), are in the vocabulary (name)."""
+    own = names.select("name", F.lower(F.trim("name")).alias("key"))
+    std = own.join(synonyms.select(F.col("name").alias("key"), F.col("standard").alias("other")), "key", "left").select("name", F.coalesce("other", "key").alias("standard"))
+    return std.join(vocabulary.select(F.col("name").alias("standard")).distinct(), "standard", "left_semi").select("name", "standard")
+
+
 def overlap(names: DataFrame, vocabulary: DataFrame, synonyms: DataFrame) -> DataFrame:
     """One row: matched, total, ratio, recommended (a match, and half of the names or more). synonyms: name, standard."""
     own = names.select(F.lower(F.trim("name")).alias("name"))

@@ -22,13 +22,23 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """rows with `name`, their place from 0 by `order` (unique, else ties are in any order). Rows are sorted in ranges and counted by
+    range, so no task sees them all; the offsets are one row a range."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the low 33 bits count the rows within a partition
+    placed = written(ranged.withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b"))
+    return placed.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + F.col("__k")).drop("__p", "__k", "__b")
+
+
 def exact_groups(items: DataFrame, key: Column, order: str) -> DataFrame:
     """Items whose key occurs twice or more: gid (groups by first member), pos within the group, `order`, digest. Copies are counted
     by digest alone; members never meet in one task as text."""
     rows = items.select(F.col(order), F.sha2(key.cast("binary"), 256).alias("digest"))
     groups = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1")
-    numbered = groups.withColumn("gid", F.row_number().over(Window.orderBy("first")) - 1)
-    return rows.join(numbered, "digest").withColumn("pos", F.row_number().over(Window.partitionBy("digest").orderBy(order)) - 1).select("gid", "pos", order, "digest")
+    return rows.join(numbered(groups, "gid", "first"), "digest").withColumn("pos", F.row_number().over(Window.partitionBy("digest").orderBy(order)) - 1).select("gid", "pos", order, "digest")
 
 
 def leaders(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -49,11 +59,17 @@ def leaders(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.select("id").join(claimed, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
-def cosine_edges(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
-    """i < j, sim of vectors (id, v) whose cosine reaches the threshold: blocks of rows against blocks of rows, by matrix products."""
+def block_count(rows: DataFrame, size: int) -> int:
+    return max(8, -(-rows.count() // size))
+
+
+def cosine_edges(vectors: DataFrame, threshold: float, size: int = 4000) -> DataFrame:
+    """i < j, sim of vectors (id, v) whose cosine reaches the threshold: blocks of about `size` rows against blocks of rows, by
+    matrix products."""
     import numpy as np
     import pandas as pd
 
+    blocks = block_count(vectors, size)
     rows = vectors.select("id", unit(doubles(F.col("v"))).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     left = rows.select("id", "v", F.col("b").alias("x"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("y"), F.lit(0).alias("side"))
     right = rows.select("id", "v", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"))
@@ -71,6 +87,34 @@ def cosine_edges(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataF
     return left.select("id", "v", "x", "y", "side").unionByName(right.select("id", "v", "x", "y", "side")).groupBy("x", "y").applyInPandas(compare, "i long, j long, sim double")
 
 
+def neighbours(vectors: DataFrame, k: int, size: int = 4000) -> DataFrame:
+    """i, j, sim, place: of each vector (id, v) the k others of highest cosine (the lowest id of equals). Each block of rows gives its
+    best k to a row of another block; only those are compared between blocks."""
+    import numpy as np
+    import pandas as pd
+
+    blocks = block_count(vectors, size)
+    rows = vectors.select("id", unit(doubles(F.col("v"))).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select("id", "v", F.col("b").alias("x"), every.alias("y"), F.lit(0).alias("side"))
+    right = rows.select("id", "v", every.alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf.side == s].sort_values("id") for s in (0, 1))
+        if not len(a) or not len(b):
+            return pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64"})
+        sims = np.round(np.stack(a["v"].to_list()) @ np.stack(b["v"].to_list()).T, 9)
+        i, j = a["id"].to_numpy(), b["id"].to_numpy()
+        sims[i[:, None] == j[None, :]] = -2.0
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"i": np.repeat(i, top.shape[1]), "j": j[top].ravel(), "sim": np.take_along_axis(sims, top, 1).ravel()})
+        return out[out.i != out.j]
+
+    found = left.unionByName(right).groupBy("x", "y").applyInPandas(best, "i long, j long, sim double")
+    place = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("sim"), "j"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
 def hash_edges(rows: DataFrame, most: int, bits: int = 64) -> DataFrame:
     """i < j, distance of rows (id, h) at most `most` bits apart. Of most + 1 bands one must be equal, so pairs meet on a band."""
     bands, width = most + 1, -(-bits // (most + 1))
@@ -141,11 +185,34 @@ def nearest(vectors: DataFrame, centres: DataFrame, most: int = 10_000) -> DataF
     return vectors.join(table, F.lit(True)).select("id", F.array_min(far).alias("m")).select("id", F.col("m.rank").alias("centre"), F.col("m.d").alias("distance"))
 
 
+def merges(v):
+    """Rows i, j (i < j, first members), height of the agglomerative clustering of unit vectors with average linkage on cosine
+    distance, by chains of nearest neighbours. Between clusters the mean distance is 1 - the product of their mean vectors, so
+    memory is that of the vectors and no matrix of pairs is kept."""
+    import numpy as np
+
+    mean, n, alive, chain, out = v.copy(), np.ones(len(v)), np.ones(len(v), bool), [], []
+    while len(out) < len(v) - 1:
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        sims = np.where(alive, mean @ mean[chain[-1]], -np.inf)
+        sims[chain[-1]] = -np.inf
+        near = int(np.argmax(sims))
+        if len(chain) < 2 or sims[chain[-2]] < sims[near] - 1e-12:
+            chain.append(near)
+            continue
+        i, j = sorted((chain.pop(), chain.pop()))
+        out.append((i, j, float(1 - mean[i] @ mean[j])))
+        mean[i] = (n[i] * mean[i] + n[j] * mean[j]) / (n[i] + n[j])
+        n[i] += n[j]
+        alive[j] = False
+    return out
+
+
 def average_linkage(vectors: DataFrame, threshold: float, most: int = 20_000) -> DataFrame:
     """id, cluster of agglomerative clustering with average linkage on cosine distance, merging strictly below 1 - threshold.
 
-    Between clusters of unit vectors the mean distance is 1 - the product of their mean vectors. One task clusters at most
-    `most` vectors (the count is checked); cluster numbers follow the first member."""
+    One task clusters at most `most` vectors (the count is checked); cluster numbers follow the first member."""
     import numpy as np
     import pandas as pd
 
@@ -154,35 +221,47 @@ def average_linkage(vectors: DataFrame, threshold: float, most: int = 20_000) ->
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        mean, n = np.stack(pdf["v"].to_list()).astype(float), np.ones(len(pdf))
-        label, alive = np.arange(len(pdf)), np.ones(len(pdf), bool)
-        sims = mean @ mean.T
-        np.fill_diagonal(sims, -np.inf)
-        while True:
-            k = int(np.argmax(sims))
-            i, j = sorted(divmod(k, len(pdf)))
-            if not 1 - sims[i, j] < max(1 - threshold, 0.0):
-                break
-            mean[i] = (n[i] * mean[i] + n[j] * mean[j]) / (n[i] + n[j])
-            n[i] += n[j]
-            alive[j] = False
-            label[label == j] = i
-            sims[j, :] = sims[:, j] = -np.inf
-            row = np.where(alive, mean @ mean[i], -np.inf)
-            row[i] = -np.inf
-            sims[i, :] = sims[:, i] = row
+        label = np.arange(len(pdf))
+        below = [m for m in merges(np.stack(pdf["v"].to_list()).astype(float)) if m[2] < max(1 - threshold, 0.0)]
+        owner = {j: i for i, j, _ in below}
+        for x in range(len(label)):  # owners come before what they own
+            label[x] = label[owner[x]] if x in owner else x
         return pd.DataFrame({"id": pdf["id"], "cluster": np.unique(label, return_inverse=True)[1].astype("int32")})
 
     return vectors.select("id", unit(doubles(F.col("v"))).alias("v"), F.lit(0).alias("g")).groupBy("g").applyInPandas(run, "id long, cluster int")
 
 
+def merge_heights(vectors: DataFrame, most: int = 20_000) -> DataFrame:
+    """height of each merge of all vectors into one cluster: of them, those below 1 - t are made at threshold t."""
+    import numpy as np
+    import pandas as pd
+
+    if vectors.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} vectors: block them first")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(pdf.sort_values("id")["v"].to_list()).astype(float)
+        return pd.DataFrame({"height": [h for _, _, h in merges(v)]}, dtype=float)
+
+    return vectors.select("id", unit(doubles(F.col("v"))).alias("v"), F.lit(0).alias("g")).groupBy("g").applyInPandas(run, "height double")
+
+
+def cluster_counts(vectors: DataFrame, thresholds: list[float]) -> DataFrame:
+    """threshold, clusters: how many clusters average_linkage gives, for several thresholds from one clustering."""
+    n = vectors.count()
+    made = [F.count(F.when(F.col("height") < max(1 - t, 0.0), 1)) for t in thresholds]
+    cells = [F.struct(F.lit(t).alias("threshold"), (F.lit(n) - m).alias("clusters")) for t, m in zip(thresholds, made)]
+    return merge_heights(vectors).agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
 def threshold_for(vectors: DataFrame, target: int, low: float = 0.80, high: float = 0.98, steps: int = 8) -> float:
     """The threshold whose cluster count is nearest to the target: more clusters come with a higher threshold, so the search goes up
-    where there are too few."""
-    best, gap = (low + high) / 2, None
+    where there are too few. All steps cut one clustering, whose heights (checked to be few) come to the driver."""
+    heights = [r.height for r in merge_heights(vectors).collect()]
+    best, gap, total = (low + high) / 2, None, vectors.count()
     for _ in range(steps):
         middle = (low + high) / 2
-        n = average_linkage(vectors, middle).agg(F.countDistinct("cluster")).first()[0]
+        n = total - sum(h < max(1 - middle, 0.0) for h in heights)
         if gap is None or abs(n - target) < gap:
             best, gap = middle, abs(n - target)
         if n == target or high - low < 0.005:

@@ -87,3 +87,9 @@ def pruned(clusters: DataFrame, removed: DataFrame) -> DataFrame:
     left = clusters.join(removed.select(F.col("id").alias("representative")), "representative", "left_anti")
     flat = left.select("cluster_id", F.explode("members").alias("id")).join(removed, "id", "left_anti").groupBy("cluster_id").agg(F.sort_array(F.collect_list("id")).alias("members"))
     return left.drop("members").join(flat, "cluster_id")
+
+
+def pruned_members(members: DataFrame, removed: DataFrame) -> DataFrame:
+    """The same on rows (id, representative), which no cluster's size can make too large. removed: id."""
+    left = members.join(removed.select(F.col("id").alias("representative")), "representative", "left_anti")
+    return left.join(removed.select("id"), "id", "left_anti").select("id", "representative")
