@@ -125,9 +125,9 @@ def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.class_union(view(spark, sf_dir, "SELECT r_regionkey AS cls_id, r_name AS name FROM region", "region"), view(spark, sf_dir, "SELECT n_name AS name, n_nationkey AS ord FROM nation", "nation"))
 
 
-@query("c2_rejected_names", "SELECT DISTINCT p_type AS name FROM part WHERE NOT (length(p_type) >= 2 AND regexp_matches(p_type, '^[A-Za-z0-9_-]+$'))")
+@query("c2_rejected_names", "SELECT DISTINCT p_name AS name FROM part WHERE NOT (length(p_name) >= 2 AND regexp_matches(p_name, '^[A-Za-z0-9_-]+$'))")
 def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.accepted(view(spark, sf_dir, "SELECT p_type AS name FROM part", "part"))[1]
+    return ann.accepted(view(spark, sf_dir, "SELECT p_name AS name FROM part", "part"))[1]
 
 
 @query("e14_overlap", "SELECT count(r) AS matched, count(*) AS total, round(count(r) / count(*), 6) AS ratio, count(r) >= 1 AND count(r) / count(*) >= 0.5 AS recommended FROM (SELECT CASE WHEN n_regionkey IN (0, 2, 4) THEN 1 END AS r FROM nation)")
