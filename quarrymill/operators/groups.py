@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import dot, doubles, hamming, unit
 
+#: Bits of a band from which on an equi-join on bands makes fewer pairs than comparing all.
+LEAST_BAND = 12
+
 
 def written(df: DataFrame) -> DataFrame:
     """df by way of Parquet files in the shared folder (spark.checkpoint.dir; on one machine a temporary one)."""
@@ -115,17 +118,51 @@ def neighbours(vectors: DataFrame, k: int, size: int = 4000) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def hash_edges(rows: DataFrame, most: int, bits: int = 64) -> DataFrame:
-    """i < j, distance of rows (id, h) at most `most` bits apart. Of most + 1 bands one must be equal, so pairs meet on a band."""
-    bands, width = most + 1, -(-bits // (most + 1))
-    mask = (1 << width) - 1
-    cut = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", k * width).bitwiseAND(F.lit(mask)).alias("part")) for k in range(bands) if k * width < bits])
+def band_bounds(most: int, bits: int) -> list[tuple[int, int]]:
+    """(first bit, width) of most + 1 bands that together have all bits: of hashes at most `most` bits apart one is equal."""
+    if not 0 <= most < bits:
+        raise ValueError(f"{most} of {bits} bits can't be cut into {most + 1} bands")
+    at = [bits * k // (most + 1) for k in range(most + 2)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
+
+
+def hash_edges(rows: DataFrame, most: int, bits: int = 64, size: int = 4000) -> DataFrame:
+    """i < j, distance of rows (id, h) at most `most` bits apart; h has `bits` bits, at most 64. Pairs meet on a band; where bands
+    are too narrow to tell rows apart, all blocks of about `size` rows are compared instead."""
+    bands = band_bounds(most, bits)
+    if bands[0][1] < LEAST_BAND:
+        return block_hash_edges(rows, most, size)
+    cut = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1)).alias("part")) for k, (a, n) in enumerate(bands)])
     own = rows.select("id", "h", F.explode(cut).alias("c")).select("id", "h", "c.*")
     other = own.select(F.col("id").alias("j"), F.col("h").alias("hj"), "band", "part")
     pairs = own.join(other, ["band", "part"]).where("id < j").select(F.col("id").alias("i"), "j", hamming(F.col("h"), F.col("hj")).cast("int").alias("distance"))
     return pairs.where(F.col("distance") <= most).distinct()
 
 
+def block_hash_edges(rows: DataFrame, most: int, size: int = 4000) -> DataFrame:
+    """As hash_edges(), by comparing every block of rows with every block: exact for every threshold, no candidates are made."""
+    import numpy as np
+    import pandas as pd
+
+    blocks = block_count(rows, size)
+    rows = rows.where("h is not null").select("id", "h", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    left = rows.select("id", "h", F.col("b").alias("x"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("y"), F.lit(0).alias("side"))
+    right = rows.select("id", "h", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf.side == s] for s in (0, 1))
+        ia, ib, ha, hb = a["id"].to_numpy(), b["id"].to_numpy(), a["h"].to_numpy().view("uint64"), b["h"].to_numpy().view("uint64")
+        out = [np.empty((0, 3), "int64")]
+        for k in range(0, len(a), 256):
+            far = np.bitwise_count(ha[k : k + 256, None] ^ hb[None, :])
+            p, q = np.nonzero(far <= most)
+            i, j = ia[k + p], ib[q]
+            out.append(np.stack([np.minimum(i, j), np.maximum(i, j), far[p, q].astype("int64")], axis=1)[i != j])
+        return pd.DataFrame(np.concatenate(out), columns=["i", "j", "distance"]).drop_duplicates()
+
+    return left.unionByName(right).groupBy("x", "y").applyInPandas(compare, "i long, j long, distance int")
+
+
 def layer_statistics(members: DataFrame) -> DataFrame:
     """groups and removed members of each layer (unknown layers count as L2)."""
     layer = F.when(F.col("layer").isin("L1", "L2", "L3"), F.col("layer")).otherwise("L2")
