@@ -33,6 +33,27 @@ def dihedral(x: np.ndarray) -> list[np.ndarray]:
     return [np.rot90(y, k) for y in (x, f) for k in range(4)]
 
 
+#: What oriented() gives, in its order.
+LABELS = ("original", "rotated_90", "rotated_180", "rotated_270", "flip_vertical", "flip_horizontal", "rotated_90_flip_vertical", "rotated_90_flip_horizontal")
+
+
+def oriented(x: np.ndarray) -> list[np.ndarray]:
+    """As dihedral(), in the order of LABELS (turned counterclockwise, then flipped)."""
+    y = np.rot90(x)
+    return [x, y, np.rot90(x, 2), np.rot90(x, 3), np.flipud(x), np.fliplr(x), np.flipud(y), np.fliplr(y)]
+
+
+def shrunk(x: np.ndarray, side: int) -> np.ndarray:
+    """Bilinear, where made smaller over all pixels that a place covers (a triangle filter): no aliasing."""
+
+    def weights(n: int) -> np.ndarray:
+        scale = n / side
+        w = np.maximum(0, 1 - np.abs((np.arange(n) + 0.5)[None, :] - ((np.arange(side) + 0.5) * scale)[:, None]) / max(1.0, scale))
+        return w / w.sum(axis=1, keepdims=True)
+
+    return weights(x.shape[0]) @ x @ weights(x.shape[1]).T
+
+
 def cosine_transform(n: int) -> np.ndarray:
     k = np.arange(n)
     return np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
@@ -49,7 +70,7 @@ def wide_hash(x: np.ndarray) -> tuple[np.ndarray, int]:
     """256 bits and a quality of 0-100: a 64 x 64 image, frequencies 1-16 of both axes above their median; quality by gradients."""
     y = resized(x, 64)
     d = cosine_transform(64)[1:17]
-    f = d @ y @ d.T
+    f = np.round(d @ y @ d.T, 6)  # what rounding leaves of a zero is no bit
     quality = min(100, int((np.abs(np.diff(y, axis=0)) * 100 / 255).astype(int).sum() + (np.abs(np.diff(y, axis=1)) * 100 / 255).astype(int).sum()) // 90)
     return (f > np.median(f)).ravel(), quality
 

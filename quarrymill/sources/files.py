@@ -16,9 +16,9 @@ PROGRESS = "run string, status string, epoch int, total int, map50 double, loss
 
 
 def images(spark: SparkSession, folder: str, extensions=EXTENSIONS, content: bool = False) -> DataFrame:
-    """ord (by path), path, stem, and the bytes if asked for, of the image files of a folder."""
+    """path, uri (encoded, as the image source's origin), stem, and the bytes if asked for, of the image files of a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").rlike(r"\.(" + "|".join(extensions) + ")$"))
-    return files.select("path", stem(F.col("path")).alias("stem"), "modificationTime", "length", *(["content"] if content else []))
+    return files.select("path", F.col("_metadata.file_path").alias("uri"), stem(F.col("path")).alias("stem"), "modificationTime", "length", *(["content"] if content else []))
 
 
 def pixels(spark: SparkSession, folder: str) -> DataFrame:

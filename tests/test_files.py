@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 
 from quarrymill.functions import pixels
-from quarrymill.operators import rounds
+from quarrymill.operators import pictures, rounds
 from quarrymill.sources import files
 from quarrymill.streaming import progress
 
@@ -68,6 +68,30 @@ def test_pictures(spark, tmp_path):
     assert pixels.sharpness(np.full((9, 9), 7.0)) == 0 and len(pixels.wide_hash(x)[0]) == 256
 
 
+def test_scan(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    picture = lambda high: np.kron(rng.integers(0, high, (16, 16)), np.ones((8, 8)))
+    a, flat, fine, moved, tall = picture(255), picture(150), picture(150) + 40, picture(150), np.kron(rng.integers(0, 255, (32, 20)), np.ones((9, 9)))
+    waves = np.indices((128, 128)).sum(axis=0) % 2 * 60 - 30
+    made = {"a x": a, "b_rot": np.rot90(a), "c_flip": np.fliplr(a), "d_copy": a, "e": flat, "f": flat + 60, "g": fine, "h": fine + waves, "k": moved, "l": np.roll(moved, 2, axis=1), "m": tall, "n": np.rot90(np.fliplr(tall)), "o": picture(255)}
+    for name, x in made.items():
+        (tmp_path / f"{name}.png").write_bytes(png(x))
+    (tmp_path / "junk.png").write_bytes(b"no")
+
+    def found(**how):
+        out = {}
+        for r in pictures.scan(spark, str(tmp_path), **how).collect():
+            out.setdefault((r.layer, r.group_id), []).append((r.pos, r.path.rsplit("/", 1)[1].replace("%20", " ")[:-4], r.reason, r.is_keeper, r.distance))
+        return {(k[0], tuple(m[1] for m in sorted(v))): [m[2:] for m in sorted(v)] for k, v in out.items()}
+
+    got = found()
+    assert set(got) == {("L1", ("a x", "d_copy")), ("L3", ("a x", "b_rot", "c_flip")), ("L3", ("m", "n"))}
+    assert got["L3", ("a x", "b_rot", "c_flip")] == [("representative", True, 0.0), ("hamming=0 (original↔rotated_270)", False, 0.0), ("hamming=0 (original↔flip_horizontal)", False, 0.0)]
+    # the hashes alone take the bright and the fine-grained ones for copies
+    assert {("L2", ("e", "f")), ("L2", ("g", "h"))} <= set(found(pixel=None))
+    assert ("L2", ("k", "l")) in found(most=90) and ("L2", ("k", "l")) not in found(most=90, reach=0)
+
+
 def test_rounds(spark):
     s, did = rounds.step(rounds.RoundState(training=True), "quota_met")
     assert did == "notice" and rounds.step(s, "quota_met")[1] == "nothing" and rounds.step(s, "training_succeeded") == (rounds.RoundState(), "setup")
