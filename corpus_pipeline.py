@@ -4,7 +4,7 @@
 2. near_dedup: of each class of near duplicates the row of the smallest doc_id stays.
 3. substring_dedup: words of passages that occur in several places go; documents without a word left go.
 4. secret_scans: found secrets are replaced by a mark.
-5. best_fit_packing: the texts, tokenised and cut, are packed into sequences of 1024 tokens.
+5. best_fit_packing: the texts, tokenised and cut, are packed into sequences of 1024 tokens; each piece has its token ids.
 """
 
 from __future__ import annotations

@@ -62,9 +62,9 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, total, capacity)] if total else []
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """The pieces of each document: its ids, then end_id, cut where longer than capacity. with_ids adds them as binary
-    (little-endian uint32). Null and empty texts have one piece that holds end_id."""
+def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = True) -> DataFrame:
+    """The pieces of each document: its ids, then end_id, cut where longer than capacity. with_ids keeps them as binary
+    (little-endian uint32); without, their CRC-32 alone is left. Null and empty texts have one piece that holds end_id."""
     schema = T.StructType([*PIECES.fields, T.StructField("ids", T.BinaryType())]) if with_ids else PIECES
     end = np.array([end_id], "<u4").tobytes()
 
@@ -105,9 +105,16 @@ def pack(found: DataFrame, n_docs: int, capacity: int = 1024, bins: int = OPEN,
     return dealt.mapInArrow(run, schema)
 
 
-def best_fit_packing(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = 1024, end_id: int = 2, bins: int = OPEN, with_ids: bool = False) -> DataFrame:
-    """Packs all documents into sequences of at most `capacity` tokens.
+def best_fit_packing(docs: DataFrame, vocab: str = "byte_bpe_50k.json", capacity: int = 1024, end_id: int = 2, bins: int = OPEN, with_ids: bool = True) -> DataFrame:
+    """Packs all documents into sequences of at most `capacity` tokens; sequences() puts them together.
 
     Null text: empty, one token (end_id). Null doc_id: kept as null. Repeated rows: packed each. An empty table gives an
     empty result. Other columns are ignored. Memory of a packer: `bins` open sequences, whatever the input."""
     return pack(pieces(docs, vocabulary(vocab), capacity, end_id, with_ids), docs.count(), capacity, bins)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, length, ids (little-endian uint32): the pieces of each sequence, put together by offset."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    ids = F.aggregate(parts, F.lit(b"").cast("binary"), lambda s, x: F.concat(s, x["ids"]))
+    return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), ids.alias("ids"))

@@ -113,6 +113,26 @@ def test_op3(odd, spark):
     assert len(space) <= 1.05 * sum(r.length for r in got) / 1024 + 1
 
 
+def test_op3_keeps_tokens(spark, docs):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
+    packed = corpus_pipeline.best_fit_packing(spark, docs, SF)
+    assert "ids" in packed.columns
+    rows = packed.collect()
+    whole = {r.sequence_id: (r.length, r.ids) for r in packing.sequences(packed).collect()}
+    of = defaultdict(list)
+    for r in rows:
+        assert whole[r.sequence_id][1][4 * r.offset : 4 * (r.offset + r.length)] == r.ids
+        of[r.doc_id].append((r.piece, r.ids))
+    assert all(len(ids) == 4 * n <= 4096 for n, ids in whole.values()) and sum(n for n, _ in whole.values()) == sum(r.length for r in rows)
+    for d, t in plain(docs):
+        assert np.frombuffer(b"".join(ids for _, ids in sorted(of[d])), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids + [2]
+    got = queries.op3_best_fit_packing(spark, SF)
+    assert got.columns == [c for c in packed.columns if c != "ids"]
+    assert key(tuple(r) for r in got.collect()) == key((r.doc_id, r.piece, r.start, r.length, zlib.crc32(r.ids), r.sequence_id, r.offset) for r in rows)
+
+
 def test_best_fit():
     b = packing.BestFit(10, 2)
     assert [b.put(n) for n in (7, 6, 3, 5, 4, 10)] == [(0, 0), (1, 0), (0, 7), (2, 0), (1, 6), (3, 0)]
