@@ -23,7 +23,8 @@ from .tokens import slices
 
 #: Entities that need a later attempt: up to this number they are broadcast, more are joined per document.
 BROADCAST_LATER = 200_000
-#: Attempts after which a surrogate may be longer than its entity (its form has too few values).
+#: Attempts after which a surrogate may be longer than its entity, and an address have other numbers of digits (the form has too
+#: few values).
 GROW = 12
 TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Sir", "господин", "κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Mlle", "госпожа", "κυρία"), "": ("Dr", "Prof")}
 #: Given names by script and gender; family names are made of syllables.
@@ -132,7 +133,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "ip":
         # as many digits in each part; networks 10 and 127 stay in theirs
         low, high = (0, 0, 10, 100), (0, 9, 99, 255)
-        parts = [low[len(p)] + s.below(high[len(p)] - low[len(p)] + 1) for p in value.split(".")]
+        parts = [s.below(256) if attempt >= GROW else low[len(p)] + s.below(high[len(p)] - low[len(p)] + 1) for p in value.split(".")]
         first = value.split(".")[0]
         return ".".join([first if first in ("10", "127") else str(max(1, parts[0])), *map(str, parts[1:])])
     if kind == "person":

@@ -178,6 +178,15 @@ def test_op5_distinct(spark):
     assert len(set(made)) == 26
 
 
+def test_op5_crowded_addresses(spark):
+    values = [f"10.{k // 100}.{k // 10 % 10}.{k % 10}" for k in range(1000)]
+    assert any(len(p) > 1 for v in values for p in surrogates.surrogate(b"k", "ip", v, surrogates.GROW).split(".")[1:])
+    rows = surrogates.settled(spark.createDataFrame([("ip", v) for v in values], "kind string, value string"), b"k").collect()
+    made = {surrogates.surrogate(b"k", "ip", r.value, r.attempt) for r in rows}
+    assert len(rows) == len(made) == 1000 and not made & set(values)
+    assert all(m.startswith("10.") and all(0 <= int(p) <= 255 and p == str(int(p)) for p in m.split(".")) for m in made)
+
+
 def brute_quality(text):
     words = WORD.findall(text)
     seen, dups = set(), 0
