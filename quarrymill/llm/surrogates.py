@@ -4,7 +4,8 @@ A surrogate is a function of the key, the type, the entity's normal form and an
 in every document (coreference), in whatever format it is written there. It keeps digits digits, letters letters, case,
 length and punctuation; the country code of a phone number, the first digit and check digit of a card number, the digits of each part of an
 address, the country and check digits of an IBAN, the top-level domain; of names the script and, by the title, the
-gender. All entities of the corpus are checked: where two get one surrogate, or a surrogate is itself an entity of the
+gender (of scripts without a list of names, the letters' script, letter by letter). Persons are found only after a title of
+TITLES: names without one stay. All entities of the corpus are checked: where two get one surrogate, or a surrogate is itself an entity of the
 corpus, all but one move to the next attempt, until none is left. Only those on later attempts need a table.
 """
 
@@ -13,6 +14,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -38,9 +42,12 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "ba bel bor den dor fal gar hem kal lan len mar mon nor pel ran ros sel tan vel win zor".split(), "cyrillic": "ба бел бор вен гор дан кал лан мар нов пел рос сел тан".split(), "greek": "βα γαρ δελ καλ λαν μαρ νικ παλ ρος σελ ταν φιλ".split()}
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_PERSON = re.compile(rf"\b({_TITLE})(\.?[ \xa0])([^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]{{1,40}}(?:[ \xa0-][^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]{{1,40}}){{0,2}})")
+#: Combining marks, which belong to the letter before them.
+_MARKS = "".join(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Mn", "Mc"))
+_PART = rf"[^\W\d_a-zà-öø-ÿа-яα-ω](?:[^\W\d_]|[{_MARKS}]){{1,40}}"
+_PERSON = re.compile(rf"\b({_TITLE})(\.?[ \xa0])({_PART}(?:[ \xa0-]{_PART}){{0,2}})")
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*$"), re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}")
+_LOCAL, _DOMAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}")
 _NUMBERS = (
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])")),
@@ -63,9 +70,14 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 
     at = text.find("@")
     while at >= 0:
-        left, right = _LOCAL.search(text[max(0, at - 128) : at]), _DOMAIN.match(text, at, at + 256)
-        if left and right:
-            add(at - len(left[0]), right.end(), "email")
+        if right := _DOMAIN.match(text, at):
+            start = at
+            while start and text[start - 1] in _LOCAL:
+                start -= 1
+            while start < at and text[start] in "._%+-":  # the first is a letter or digit
+                start += 1
+            if start < at:
+                add(start, right.end(), "email")
         at = text.find("@", at + 1)
     if re.search("[0-9]", text):
         for kind, pattern in _NUMBERS:
@@ -114,9 +126,28 @@ def luhn(digits: str) -> int:
     return -sum((2 * int(c) - 9 * (int(c) > 4)) if k % 2 == 0 else int(c) for k, c in enumerate(reversed(digits))) % 10
 
 
-def script(name: str) -> str:
+def script(name: str) -> str | None:
+    """Of those that have lists of names; None: another, whose letters are replaced one by one."""
     c = next((c for c in name if c.isalpha()), "a")
-    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
+    known = unicodedata.name(c, "").split(" ")[0].lower()
+    return known if known in SYLLABLES else None
+
+
+@lru_cache(4096)
+def _letters(c: str) -> str:
+    """The letters of c's script and category in its block (128 code points, for Han all common ones)."""
+    if "\u4e00" <= c <= "\u9fff":
+        return "".join(map(chr, range(0x4E00, 0xA000)))
+    same = lambda x: (unicodedata.category(x), unicodedata.name(x, "").split(" ")[0])
+    start = ord(c) & ~127
+    return "".join(x for x in map(chr, range(start, start + 128)) if same(x) == same(c))
+
+
+def _spelt(part: str, s: Stream, more: int) -> str:
+    """Other letters of the same script in the places of letters, and `more` further ones; marks stay."""
+    out = "".join(_letters(c)[s.below(len(_letters(c)))] if c.isalpha() else c for c in part)
+    last = next(c for c in reversed(part) if c.isalpha())
+    return out + "".join(_letters(last)[s.below(len(_letters(last)))] for _ in range(more))
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
@@ -126,10 +157,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
-        if attempt < GROW:  # mailboxes of one domain stay together
-            d = Stream(key, "domain", domain)
-            return _like(local, s) + "@" + ".".join([*(_like(x, d) for x in labels[:-1]), labels[-1]])
-        return _like(local, s) + more + "@" + domain
+        d = Stream(key, "domain", domain)  # mailboxes of one domain stay together
+        return _like(local, s) + more + "@" + ".".join([*(_like(x, d) for x in labels[:-1]), labels[-1]])
     if kind == "ip":
         # as many digits in each part; networks 10 and 127 stay in theirs
         low, high = (0, 0, 10, 100), (0, 9, 99, 255)
@@ -138,10 +167,18 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return ".".join([first if first in ("10", "127") else str(max(1, parts[0])), *map(str, parts[1:])])
     if kind == "person":
         gender, _, name = value.partition(" ")
-        own, parts = script(name), name.split(" ")
-        family = lambda: "".join(SYLLABLES[own][s.below(len(SYLLABLES[own]))] for _ in range(3 + max(0, attempt - GROW))).capitalize()
-        given = GIVEN[own, gender or "mf"[s.below(2)]]
-        return gender + " " + " ".join([given[s.below(len(given))] for _ in parts[:-1]] + [family()])
+        parts, longer = name.split(" "), max(0, attempt - GROW)
+        sex = gender or "mf"[s.below(2)]
+
+        def given(part: str) -> str:
+            own = script(part)
+            return GIVEN[own, sex][s.below(len(GIVEN[own, sex]))] if own else _spelt(part, s, 0)
+
+        def family(part: str) -> str:
+            own = script(part)
+            return "".join(SYLLABLES[own][s.below(len(SYLLABLES[own]))] for _ in range(3 + longer)).capitalize() if own else _spelt(part, s, longer)
+
+        return gender + " " + " ".join([*map(given, parts[:-1]), family(parts[-1])])
     if kind == "card":
         body = value[0] + "".join(str(s.below(10)) for _ in value[1:-1])
         check = luhn(body)

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -187,6 +188,19 @@ def test_op5_crowded_addresses(spark):
     assert all(m.startswith("10.") and all(0 <= int(p) <= 255 and p == str(int(p)) for p in m.split(".")) for m in made)
 
 
+def test_op5_scripts_and_long_mailboxes():
+    for name, first in (("محمد أحمد", "ARABIC"), ("דוד לוי", "HEBREW"), ("王小明", "CJK"), ("नरेन्द्र शर्मा", "DEVANAGARI"), ("Иван Петров", "CYRILLIC"), ("José Müller", "LATIN")):
+        found, out = surrogates.replaced(f"Dr {name}, here", b"k", {})
+        new = out.removeprefix("Dr ").removesuffix(", here")
+        assert [(a, b) for a, b, _ in found] == [(0, 3 + len(name))] and new != name and {unicodedata.name(c).split(" ")[0].split("-")[0] for c in new if c.isalpha()} == {first}
+        assert len({surrogates.surrogate(b"k", "person", " " + name, a) for a in range(40)}) > 30
+    local = "ab." * 100 + "z"
+    assert surrogates.detect(f"(..{local}@x.com)") == [(3, 4 + len(local) + 5, "email")] and surrogates.detect("a\n@x.com -@x.com @x.com") == []
+    for attempt in (0, surrogates.GROW, surrogates.GROW + 3):
+        assert surrogates.surrogate(b"k", "email", "bob@example.com", attempt).endswith(surrogates.surrogate(b"k", "email", "amy@example.com", 0)[3:])
+        assert "example" not in surrogates.surrogate(b"k", "email", "bob@example.com", attempt)
+
+
 def brute_quality(text):
     words = WORD.findall(text)
     seen, dups = set(), 0
