@@ -50,6 +50,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     df.write.parquet(path := fresh_dir(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
     return out
 
 
@@ -140,15 +141,14 @@ def kept_in_worker(make, *args):
     return _KEPT[key]
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes the folders of tables that written() made, which nothing reads any more, and frees what made them."""
+def dropped(*tables: DataFrame, release: bool = True) -> None:
+    """Deletes the folders of tables that written() made, which nothing reads any more; with release, frees what made them, too
+    (a garbage collection on the driver, worth it for large ones)."""
     for table in tables:
-        spark = table.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if path.split("://")[-1].replace("file:", "").startswith(shared_dir(spark).split("://")[-1].replace("file:", "")):
-                where = spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    if tables:
+        if path := getattr(table, "written_to", None):
+            where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    if tables and release:
         free(tables[0].sparkSession)
 
 

@@ -19,13 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BROADCAST_IDS, GOLD, WordHashes, arrays, dropped, kept_in_worker, mix, trim, written
 from .tokens import slices
 
-_LOW = -(1 << 63)
-
 
 def lengths(window: int) -> tuple[int, int, int]:
     """Words of the windows of each level: a quarter (rounded up), half (rounded up), all."""
@@ -65,10 +63,18 @@ def least(h: np.ndarray, width: int, valid: np.ndarray) -> np.ndarray:
     return np.flatnonzero((spread(np.concatenate([edge, low, edge]), width, np.maximum) == h) & (h != 0))
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
-    """o (doc_id, the least long for null), text, k and k2 (a 128-bit hash of the text)."""
+def keys(doc_id: Column, text: Column) -> tuple[Column, Column, Column]:
+    """o (a hash of doc_id and text, by which rows are dealt: rows of one doc_id, or of none, stay apart), k and k2 (a 128-bit hash
+    of the text)."""
+    k, k2 = F.xxhash64(text), F.xxhash64(F.lit(77), text)
+    return F.xxhash64(doc_id.isNull(), doc_id, k, k2), k, k2
+
+
+def rows_of(docs: DataFrame, *more: str) -> DataFrame:
+    """o, text ('' for null), k and k2, and other columns that are asked for."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("o"), text.alias("text"), F.xxhash64(text).alias("k"), F.xxhash64(F.lit(77), text).alias("k2"))
+    o, k, k2 = keys(F.col("doc_id").cast("long"), text)
+    return docs.select(o.alias("o"), text.alias("text"), k.alias("k"), k2.alias("k2"), *more)
 
 
 def short(k: str):
@@ -137,10 +143,10 @@ def windows(rows: DataFrame, places: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 out = [[] for _ in range(4)]
-                for o, text, k, k_of, found in zip(*(part.column(i).to_pylist() for i in range(4)), arrays(part.column(4))):
+                for o, text, k, found in zip(*(part.column(i).to_pylist() for i in range(3)), arrays(part.column(3))):
                     words = text.encode("utf-8", "surrogatepass").split()
                     n = len(words) - window + 1
-                    if k != k_of or n < 1:
+                    if n < 1:
                         continue
                     marks = np.zeros(n + 1, np.int64)
                     p = found >> 2
@@ -164,12 +170,14 @@ def windows(rows: DataFrame, places: DataFrame, window: int) -> DataFrame:
                     cols = [np.concatenate(c) for c in out]
                     yield _batch(WINDOWS, *[c.view(np.int64) if c.dtype == np.uint64 else c for c in cols])
 
-    near = rows.select("o", "text", short("k").alias("k")).join(places.withColumnRenamed("k", "k_of"), "o")
-    return near.select("o", "text", "k", "k_of", "found").mapInArrow(run, WINDOWS)
+    near = rows.select("o", "text", short("k").alias("k"))
+    if places.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # then no other text needs to be moved
+        near = near.join(F.broadcast(places.select("o").distinct()), "o", "left_semi")
+    return near.join(places, ["o", "k"]).select("o", "text", "k", "found").mapInArrow(run, WINDOWS)
 
 
 def repeated_windows(docs: DataFrame, window: int = 35) -> tuple[DataFrame, DataFrame]:
-    """(copies, found). copies: k, k2, low (the least o) of texts that occur twice or more. found: o, k and the sorted starts of
+    """(copies, found). copies: k, k2, low (the least o) of texts that occur twice or more. found: o, k (short) and the sorted starts of
     repeated windows, of rows whose text is not a copy of an earlier row's."""
     rows = rows_of(docs)
     copies = written(rows.groupBy("k", "k2").agg(F.count("*").alias("n"), F.min("o").alias("low")).where("n > 1"), "copies")
@@ -205,7 +213,13 @@ def _marked(docs: DataFrame, rows: DataFrame, window: int, names: tuple[str, ...
     c = copies.select(F.col("k").alias(names[1] + "c"), F.col("k2").alias(names[2] + "c"), F.lit(True).alias(names[3]))
     out = rows.join(F.broadcast(c) if few else c, (F.col(names[1]) == F.col(names[1] + "c")) & (F.col(names[2]) == F.col(names[2] + "c")), "left").drop(names[1] + "c", names[2] + "c")
     f = found.select(F.col("o").alias(names[0] + "f"), F.col("k").alias(names[1] + "f"), F.col("starts").alias(names[4]))
-    return out.join(f, (F.col(names[0]) == F.col(names[0] + "f")) & (short(names[1]) == F.col(names[1] + "f")), "left").drop(names[0] + "f", names[1] + "f")
+    add = lambda some: some.join(f, (F.col(names[0]) == F.col(names[0] + "f")) & (short(names[1]) == F.col(names[1] + "f")), "left").drop(names[0] + "f", names[1] + "f")
+    if found.limit(BROADCAST_IDS + 1).count() > BROADCAST_IDS:
+        return add(out)
+    hit = F.broadcast(found.select(F.col("o").alias(names[0])).distinct())  # only texts of these rows are moved
+    none = F.lit(None).cast(found.schema["starts"].dataType).alias(names[4])
+    own = [F.col(f"`{c}`") for c in out.columns]
+    return add(out.join(hit, names[0], "left_semi").select(*own)).unionByName(out.join(hit, names[0], "left_anti").select(*own, none))
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
@@ -214,8 +228,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False)
 
     Words: runs of characters other than ASCII white space. Null text: no words. Null doc_id and repeated rows: documents like
     any other, so a row that occurs twice, of `window` words or more, loses all words in both. Shorter texts keep theirs."""
-    rows = rows_of(docs)
-    schema = "o long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
+    rows = rows_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
 
     def run(batches):
         for batch in batches:
@@ -233,9 +247,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False)
                 n = 5 if with_text else 4
                 yield _batch(schema, *[pa.array(c, t) for c, t in zip(out[:n], types[:n])])
 
-    marked = _marked(docs, rows, window, ("o", "k", "k2", "copy", "starts")).select("o", "text", "copy", "starts")
-    out = marked.mapInArrow(run, schema)
-    return out.select(F.when(F.col("o") != _LOW, F.col("o")).alias("doc_id"), *out.columns[1:])
+    marked = _marked(docs, rows, window, ("o", "k", "k2", "copy", "starts"))
+    return marked.select("doc_id", "text", "copy", "starts").mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -243,8 +256,7 @@ def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     they are; others have their kept words joined by one space and n_chars counted anew; rows that keep no word go."""
     tag = uuid.uuid4().hex
     o, k, k2, copy, starts, new = (f"{x}{tag}" for x in ("o", "k", "h", "c", "s", "n"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({o: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)), k: F.xxhash64(text), k2: F.xxhash64(F.lit(77), text)})
+    rows = docs.withColumns(dict(zip((o, k, k2), keys(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))))
 
     @F.pandas_udf("string")
     def changed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
