@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents (P) and documents whose labels are not looked at (U) train a linear classifier over words and word
+Confirmed toxic documents (P) and a draw from all documents, labelled or not (U), train a linear classifier over words and word
 beginnings. With class prior pi, the risk of the negatives is estimated as R_u^- - pi R_p^-, since U is a mixture; where that
 falls below zero on the sample (which a true risk can't), the step undoes it (Kiryo et al. 2017, "Positive-Unlabeled Learning
 with Non-Negative Risk Estimator"). The logistic loss makes the output an estimate of P(toxic | text).
@@ -9,19 +9,24 @@ with Non-Negative Risk Estimator"). The logistic loss makes the output an estima
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Bounded, documents, keep_ids
+from .common import BROADCAST_IDS, Bounded, documents
 from .tokens import slices
 
 #: The bounds of the training sample (in the mean: rows are drawn by a hash of doc_id), of hashed features, and of those kept.
 POSITIVES, UNLABELLED, BUCKETS, FEATURES = 20_000, 40_000, 1 << 20, 4096
+#: Standard deviations by which a feature must be more frequent in P than U lets expect.
+LIFT = 2.0
 #: Lengths of word beginnings that are features, beside the whole word.
 BEGINNINGS = (4, 5, 6)
+#: A hashed word or beginning is a feature for each of these numbers of different words of the document that share it.
+AT_LEAST = (1, 2, 4)
 _STRIP = ".,;:!?\"'()[]{}<>|*#%&$-_"
 
 
@@ -32,6 +37,12 @@ def word_features(word: str) -> tuple[int, ...]:
     return tuple({zlib.crc32(f"{n}:{word[:n]}".encode("utf-8", "surrogatepass")) % BUCKETS for n in BEGINNINGS if len(word) > n} | {zlib.crc32(f"w:{word}".encode("utf-8", "surrogatepass")) % BUCKETS})
 
 
+def levelled(words: set[str], known) -> list[int]:
+    """The features of a document: 3 * hash + k for each hash that AT_LEAST[k] of its words or more have. known: a word's hashes."""
+    n = Counter(f for word in words for f in known[word])
+    return [3 * f + k for f, c in n.items() for k, least in enumerate(AT_LEAST) if c >= least]
+
+
 def held_out(doc_id="doc_id"):
     """crc32 of doc_id as text, modulo 4, is 2. Null doc_id: false."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -39,31 +50,31 @@ def held_out(doc_id="doc_id"):
 
 @dataclass
 class Model:
-    features: np.ndarray  # hashed features, ascending
+    features: np.ndarray  # as levelled() gives them, ascending
     weights: np.ndarray
     bias: float
     prior: float
 
     def scorer(self, cache: int = 300_000):
         at = {int(f): float(w) for f, w in zip(self.features, self.weights)}
-        known = Bounded(lambda word: tuple(f for f in word_features(word) if f in at), cache)
+        bases = {f // 3 for f in at}
+        known = Bounded(lambda word: tuple(f for f in word_features(word) if f in bases), cache)
 
         def score(text: str) -> float:
-            found = set()
-            for word in set(text.split()):
-                if own := known[word]:
-                    found.update(own)
-            return 1 / (1 + np.exp(-np.clip(self.bias + sum(sorted(at[f] for f in found)), -40, 40)))
+            found = sorted(at[f] for f in levelled(set(text.split()), known) if f in at)
+            return 1 / (1 + np.exp(-np.clip(self.bias + sum(found), -40, 40)))
 
         return score
 
 
-def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk, by Adam on the whole sample. rows: the features of each document."""
+def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float | None = None, beta: float = 0.0) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk, by Adam on the whole sample. rows: the features of each document. decay:
+    of weights; by default 1 / (rows of P), a normal prior of unit variance."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows).astype(np.int64) if len(at) else np.zeros(0, np.int64)
     p, u = positive, ~positive
     n_p, n_u = max(1, p.sum()), max(1, u.sum())
+    decay = 1 / n_p if decay is None else decay
     w, b = np.zeros(n_features), np.log(prior / (1 - prior))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, steps + 1):
@@ -80,24 +91,36 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: f
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> Model:
-    """Learns from rows that are not held out. P: documents labelled toxic. U: labelled documents, with labels ignored but for the
-    prior, which is the share of toxic ones. Without a positive, or without labels, the model gives a constant, low score."""
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES, prior: float | None = None) -> Model:
+    """Learns from documents that are not held out. P: those labelled toxic. U: a draw from all, whether labelled or not; no label
+    of theirs is looked at. prior: the share of toxic documents in U; by default that of the toxic ones among the labelled, the
+    only use of labels that are not toxic. Without a positive, or without documents, the model gives a constant, low score."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(~held_out())
     n, n_pos = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     none = Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((n_pos + 1) / (n + 20))), (n_pos + 1) / (n + 20))
-    if not n_pos or n_pos == n:
+    own = documents(docs).where("doc_id is not null").where(~held_out())
+    total = own.count() if n_pos and (n_pos < n or prior is not None) else 0
+    if not total:
         return none
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    draw_u = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = known.select("doc_id", ((F.col("toxic") == 1) & (draw < positives / n_pos)).alias("p"), (draw_u < unlabelled / n).alias("u")).where("p or u").persist()
-    sample = keep_ids(documents(docs).where("doc_id is not null"), drawn.select("doc_id"), "doc_id").join(F.broadcast(drawn), "doc_id").select("text", "p", "u").persist()
+    draw = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    p = known.where("toxic = 1").where(draw(F.lit(11), "doc_id") < positives / n_pos).select("doc_id", F.lit(True).alias("p"))
+    few = p.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    drawn = own.withColumn("u", draw(F.lit(12), "doc_id", "text") < unlabelled / total).join(F.broadcast(p) if few else p, "doc_id", "left").where("p or u").select("text", F.coalesce("p", F.lit(False)).alias("p"), "u")
+    sample = drawn.persist()
+    try:
+        return _fitted(sample, none, features, n_pos / n if prior is None else prior)
+    finally:
+        sample.unpersist()
+
+
+def _fitted(sample: DataFrame, none: Model, features: int, prior: float) -> Model:
+    prior = min(max(prior, 1e-4), 1 - 1e-4)
 
     def count(batches):
-        counts, known = np.zeros((2, BUCKETS), np.int32), Bounded(word_features, 300_000)
+        counts, known = np.zeros((2, 3 * BUCKETS), np.int32), Bounded(word_features, 300_000)
         for batch in batches:
             for text, p, u in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                found = np.fromiter({f for word in set(text.split()) for f in known[word]}, np.int64)
+                found = levelled(set(text.split()), known)
                 counts[0, found] += p
                 counts[1, found] += u
         own = np.flatnonzero(counts.any(axis=0))
@@ -108,25 +131,23 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return none
     expected = F.col("u") * (n_p / n_u)
     lift = ((F.col("p") - expected) / F.sqrt(expected + 1)).alias("lift")
-    best = sample.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).select("f", lift).where("lift > 2").orderBy(F.desc("lift"), "f").limit(features).collect()
+    best = sample.mapInArrow(count, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).select("f", lift).where(F.col("lift") > LIFT).orderBy(F.desc("lift"), "f").limit(features).collect()
     chosen = np.array(sorted(r.f for r in best), np.int64)
     if not len(chosen):
         return none
     index = {int(f): k for k, f in enumerate(chosen)}
 
     def rows(batches):
-        known = Bounded(lambda word: tuple(index[f] for f in word_features(word) if f in index), 300_000)
+        bases = {f // 3 for f in index}
+        known = Bounded(lambda word: tuple(f for f in word_features(word) if f in bases), 300_000)
         for batch in batches:
-            found = [sorted({f for word in set(text.split()) for f in known[word]}) for text in batch.column(0).to_pylist()]
+            found = [sorted(index[f] for f in levelled(set(text.split()), known) if f in index) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([np.array(r, "<u2").tobytes() for r in found], pa.binary()), batch.column(1), batch.column(2)], names=["row", "p", "u"])
 
     got = sample.mapInArrow(rows, "row binary, p boolean, u boolean").collect()
     own = [(np.frombuffer(r.row, "<u2"), side) for r in got for side, there in ((True, r.p), (False, r.u)) if there]
     order = sorted(range(len(own)), key=lambda i: (own[i][1], own[i][0].tobytes()))
-    prior = n_pos / n
     weights, bias = nnpu([own[i][0] for i in order], np.array([own[i][1] for i in order]), len(chosen), prior)
-    sample.unpersist()
-    drawn.unpersist()
     return Model(chosen, weights, bias, prior)
 
 
