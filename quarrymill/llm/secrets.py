@@ -94,12 +94,14 @@ class BlobLedger:
         return path
 
     def scan(self, versions: DataFrame) -> DataFrame:
-        """versions: `content` and any key columns, a row for each version of each path. Returns the key columns, blob, spans."""
+        """versions: `content` and any key columns, a row for each version of each path. Returns the key columns, blob, spans; where a
+        key column has such a name, these have a line after theirs (`spans_`)."""
         self.add(versions.select("content"))
-        keys = [c for c in versions.columns if c != "content"]
-        own = versions.select(*[F.col(f"`{c}`") for c in keys], F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("__blob"))
-        entries = self.entries().where(F.size("spans") > 0).withColumnRenamed("blob", "__found")
-        return own.join(entries, own["__blob"] == entries["__found"], "left").select(*[F.col(f"`{c}`") for c in keys], F.col("__blob").alias("blob"), F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+        keys, tag = [c for c in versions.columns if c != "content"], uuid.uuid4().hex
+        free = lambda name: free(name + "_") if name.lower() in {c.lower() for c in keys} else name
+        own = versions.select(*[F.col(f"`{c}`") for c in keys], F.sha2(F.coalesce("content", F.lit("")).cast("binary"), 256).alias("b" + tag))
+        entries = self.entries().where(F.size("spans") > 0).select(F.col("blob").alias("f" + tag), F.col("spans").alias("s" + tag))
+        return own.join(entries, F.col("b" + tag) == F.col("f" + tag), "left").select(*[F.col(f"`{c}`") for c in keys], F.col("b" + tag).alias(free("blob")), F.coalesce("s" + tag, F.array().cast(SPAN)).alias(free("spans")))
 
 
 def secret_scan(docs: DataFrame, folder: str | None = None, rules=RULES) -> DataFrame:
