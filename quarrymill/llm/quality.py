@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACES, keep_ids, small_batches, trim
+from .common import SPACES, keep_ids, small_batches, trim, written
 
 #: value = scale * count / base, in whole steps of the grid: rule, count, base, steps a unit, highest step.
 RULES = (("symbols", "n_symbols", "n_words", 50, 100), ("duplicate_lines", "n_dup_lines", "n_lines", 50, 50), ("repeated_words", "n_repeat_words", "n_words", 50, 50), ("capitals", "n_upper", "word_chars", 50, 50))
@@ -128,7 +128,7 @@ def cutoffs(docs: DataFrame, labels: DataFrame, limit: float = 0.005, delta: flo
     found = with_metrics(keep_ids(own, known.select("doc_id"), "doc_id"), "m").select("doc_id", "m.*").where("not base_failed").join(known, "doc_id")
     steps = F.explode(F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.col(r[0]).alias("step")) for r in RULES]))
     rows = found.select("stratum", "good", steps.alias("r")).groupBy("stratum", "r.rule", "r.step").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
-    rows = rows.persist()
+    rows = written(rows, "histograms")
     strata = rows.select("stratum").distinct().count()
     tops = {r[0]: r[4] for r in RULES}
 
