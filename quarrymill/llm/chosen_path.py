@@ -105,7 +105,9 @@ def _children(rows: DataFrame, trees: int, threshold: float, root: bool) -> Data
 def _counted(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two members or more: node, rep, n (members) and low (the least)."""
     size = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1"), "sizes")
-    return rows.join(size, "node")
+    out = written(rows.join(size, "node"), "nodes")
+    dropped(size, release=False)
+    return out
 
 
 def _terminal(classes: DataFrame, trees: int, levels: int, threshold: float, small: int) -> DataFrame:
@@ -113,7 +115,7 @@ def _terminal(classes: DataFrame, trees: int, levels: int, threshold: float, sma
     out, rows = [], _children(classes.select("rep", "sig"), trees, threshold, True)
     for level in range(1, levels + 1):
         rows = written(rows, "rows")
-        found = written(_counted(rows), "nodes")
+        found = _counted(rows)
         dropped(rows)
         large = found.where(F.col("n") > small)
         if level == levels:
@@ -194,11 +196,14 @@ def components(links: DataFrame) -> DataFrame:
         tied = large.join(low, "u")
         small = written(tied.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct(), "small")
         same = edges.count() == small.count() and not small.join(edges, ["u", "v"], "left_anti").limit(1).count()
+        dropped(edges, large, release=False)
         edges = small
         if same:
             break
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    return written(stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component")), "components")
+    out = written(stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component")), "components")
+    dropped(edges, release=False)
+    return out
 
 
 def _to_centre(dense: DataFrame, sig: DataFrame) -> DataFrame:
@@ -230,16 +235,23 @@ def _to_centre(dense: DataFrame, sig: DataFrame) -> DataFrame:
 
     rows = written(dense.join(sig, "rep"), "dense")
     some = rows.where(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SAMPLE)) == 0).groupBy("node").agg(F.collect_list("sig").alias("sigs")).select("node", usual("sigs").alias("usual"))
-    near = rows.join(some, "node").select("node", "rep", agreement("sig", "usual").alias("share"))
-    centre = near.groupBy("node").agg(F.max_by("rep", F.struct("share", -F.col("rep"))).alias("centre"))
-    return rows.select("node", "rep").join(centre, "node").where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+    # written between, so that each join has plain shuffles on both sides, of which Spark splits the partitions of large nodes, and
+    # the aggregation begins in the tasks that read
+    some = written(some, "usual")
+    near = written(rows.join(some, "node").select("node", "rep", agreement("sig", "usual").alias("share")), "near")
+    centre = written(near.groupBy("node").agg(F.max_by("rep", F.struct("share", -F.col("rep"))).alias("centre")), "centres")
+    out = written(near.join(centre, "node").where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")), "star")
+    dropped(rows, some, near, centre, release=False)
+    return out
 
 
 def _mixed(nodes: DataFrame) -> DataFrame:
     """Rows of the nodes that hold several components."""
     mixed = nodes.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("node")
     mixed = written(mixed, "mixed")
-    return written(nodes.join(mixed, "node", "left_semi"), "mixed")
+    out = written(nodes.join(mixed, "node", "left_semi"), "mixed")
+    dropped(mixed, release=False)
+    return out
 
 
 def _of_small(rows: DataFrame, sig: DataFrame, small: int) -> DataFrame:
@@ -314,7 +326,9 @@ def _of_dense(rows: DataFrame, docs: DataFrame, small: int, percent: int) -> Dat
 
     sets = _sets(members.select(F.col("rep").alias("doc_id")).distinct(), docs)
     groups = left.unionByName(right).select("node", "i", "j", "all", "m.rep", "m.comp").join(sets, "rep")
-    return written(groups.groupBy("node", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "links")
+    out = written(groups.groupBy("node", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "links")
+    dropped(members, sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
@@ -335,12 +349,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = TREES, leve
     sig = named.select("rep", "sig")
     star = ends.where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     star = star.unionByName(_to_centre(ends.where(F.col("n") > small).select("node", "rep", "n"), sig)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _confirmed(written(_likely(star, sig), "stars"), known, percent)
-    found = components(links)
-    nodes = _mixed(ends.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("comp")))
-    links = links.unionByName(copies).unionByName(_confirmed(written(_of_small(nodes, sig, small), "residual"), known, percent))
+    likely = written(_likely(star, sig), "stars")
+    links = _confirmed(likely, known, percent)
+    first = components(links)
+    nodes = _mixed(ends.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+    residual = written(_of_small(nodes, sig, small), "residual")
+    more = _confirmed(residual, known, percent)
     dense = _of_dense(nodes, known, small, percent)
-    found = components(links if dense is None else links.unionByName(dense))
+    every = links.unionByName(copies).unionByName(more)
+    found = components(every if dense is None else every.unionByName(dense))
+    dropped(classes, ends, likely, links, first, nodes, residual, more, *([] if dense is None else [dense]))
     out = table.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
