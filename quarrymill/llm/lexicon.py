@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import documents, dropped, kept_in_worker, mix, set_env, written
 from .tokens import slices, vocabulary
 
-#: Chunks whose words the automaton holds, chunks that a worker remembers, and that a counting task holds.
-WORDS, CACHE, COUNTED = 50_000, 400_000, 500_000
+#: Chunks whose words the automaton holds, bytes that a worker remembers (about), chunks that a counting task holds, bytes of text
+#: after which it hands on its counts at the latest, and letters of the longest chunk whose words the automaton may hold.
+WORDS, CACHE, COUNTED, COUNTED_BYTES, LONGEST = 50_000, 256 << 20, 500_000, 128 << 20, 64
 
 #: White space of the pre-tokenizer's pattern (the Unicode property); Python's split() also cuts at U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -33,7 +34,9 @@ _ODD = re.compile("[\x1c-\x1f]")
 #: Chunks of ASCII and of Latin letters that are composed and have one lower-case letter each need no library: NFC leaves them as
 #: they are, and this is the pre-tokenizer's pattern for them in lower case.
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]+")
-_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ňŊ-ž]+|[0-9]|[^a-z0-9ß-öø-įı-ňŊ-ž]+")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ňŊ-ž]+|[0-9]|[^a-z0-9ß-öø-įı-ňŊ-ž\t-\r ]+")
+#: A text of such characters and white space can be cut into words at once.
+_PLAIN_TEXT = re.compile("[\t-\r\x20-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]*")
 
 
 _NONE = 1 << 30
@@ -182,7 +185,7 @@ class WordBpe:
         self.token |= {i: t.encode() for t, i in self.special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.lexicon = Automaton.map(lexicon) if lexicon else None
-        self.known, self.most, self.word = {}, cache, {}
+        self.known, self.most, self.word, self.held = {}, cache, {}, 0
         self.letter = np.array([[self.vocab[c + end] for c in self.letters] for end in ("", "</w>")], np.int64)
         # the rules in an open-addressed table: key (left << 32 | right), rank, and by rank the id that a pair becomes
         pairs = np.array([(self.vocab[a] << 32) | self.vocab[b] for a, b in self.rank], np.int64)
@@ -276,27 +279,42 @@ class WordBpe:
     def chunks(self, text: str) -> list[str]:
         return [c for c in _SPACE.split(text) if c] if _ODD.search(text) else text.split()
 
-    def learn(self, chunks: list[str]) -> None:
-        """Remembers (ids, their tokens joined by a space) of chunks: words from the automaton, or merged."""
-        if len(self.word) > self.most:
-            self.word.clear()
+    def pieces(self, text: str) -> tuple[list[str], bool]:
+        """What a text is looked up by: its words in lower case where that needs no library (true), else its chunks. A word that is
+        a chunk has the same ids as such."""
+        if text.isascii() or _PLAIN_TEXT.fullmatch(text):
+            return _WORDS.findall(text.lower()), True
+        return self.chunks(text), False
+
+    def ids(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(ids, their tokens joined by a space) of words: from the automaton, or merged."""
+        numbers = self.lexicon.numbers(words).tolist() if self.lexicon else [-1] * len(words)
+        merged, token, out = iter(self.merge_many([w for w, k in zip(words, numbers) if k < 0])), self.token, []
+        for k in numbers:
+            ids = next(merged) if k < 0 else self.lexicon.ids(k)
+            out.append((struct.pack(f"<{len(ids)}I", *ids), b" ".join([token[i] for i in ids])))
+        self.held += sum(260 + 2 * len(w) + len(i) + len(t) for w, (i, t) in zip(words, out))
+        return out
+
+    def learn(self, words: list[str], chunks: list[str]) -> None:
+        """Remembers what ids() gives for words in lower case and for chunks."""
+        self.known.update(zip(words, self.ids([w.encode() for w in words])))
         own = [self.words(c) for c in chunks]
         new = list({w for ws in own for w in ws if w not in self.word})
-        numbers = self.lexicon.numbers(new).tolist() if self.lexicon else [-1] * len(new)
-        merged = iter(self.merge_many([w for w, k in zip(new, numbers) if k < 0]))
-        word, token = self.word, self.token
-        for w, k in zip(new, numbers):
-            ids = next(merged) if k < 0 else self.lexicon.ids(k)
-            word[w] = struct.pack(f"<{len(ids)}I", *ids), b" ".join([token[i] for i in ids])
+        word = self.word
+        word.update(zip(new, self.ids(new)))
         for c, ws in zip(chunks, own):
-            self.known[c] = word[ws[0]] if len(ws) == 1 else (b"".join([word[w][0] for w in ws]), b" ".join([word[w][1] for w in ws]))
+            self.known[c] = found = word[ws[0]] if len(ws) == 1 else (b"".join([word[w][0] for w in ws]), b" ".join([word[w][1] for w in ws]))
+            self.held += 260 + 2 * len(c) + len(found[0]) + len(found[1])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian uint32, the decoded text in UTF-8) of each text."""
         known = self.known
-        if len(known) > self.most:
+        if self.held > self.most:
             known.clear()
-        split, new = [], set()
+            self.word.clear()
+            self.held = 0
+        split, words, rough = [], set(), set()
         for text in texts:
             chunks, got = [], []
             for part in self.cut.split(text) if "<|" in text else (text,):
@@ -304,13 +322,14 @@ class WordBpe:
                     chunks.append(part)
                     got.append((struct.pack("<I", self.special[part]), part.encode()))
                 else:
-                    chunks += (found := self.chunks(part))
-                    got += map(known.get, found)
-            if None in got:
-                new.update([c for c, x in zip(chunks, got) if x is None])
+                    found, plain = self.pieces(part)
+                    chunks += found
+                    got += (ids := list(map(known.get, found)))
+                    if None in ids:
+                        (words if plain else rough).update([c for c, x in zip(found, ids) if x is None])
             split.append((chunks, got))
-        if new:
-            self.learn(list(new))
+        if words or rough:
+            self.learn(list(words), list(rough - words))
         out = []
         for chunks, got in split:
             if None in got:
@@ -320,12 +339,12 @@ class WordBpe:
 
 
 def frequent_words(docs: DataFrame, path: str, most: int = WORDS) -> list[bytes]:
-    """The words of the `most` most frequent chunks (what stands between white space) of all texts, as nearly as a count that at
-    most so many chunks reach tells. Counted over the whole corpus; tasks pre-aggregate, and the driver gets a histogram of
-    counts and then `most` chunks at most."""
+    """The `most` most frequent words (in texts that need the library, of the most frequent chunks between white space) of all
+    texts, as nearly as a count that at most so many of them reach tells. Counted over the whole corpus; tasks pre-aggregate, and
+    the driver gets a histogram of counts and then `most` words or chunks at most, of LONGEST letters at most."""
 
     def run(batches):
-        bpe, counts = kept_in_worker(WordBpe, path, None), Counter()
+        bpe, counts, seen = kept_in_worker(WordBpe, path, None), Counter(), 0
 
         def out():
             for at in range(0, len(own := list(counts)), 50_000):
@@ -336,12 +355,14 @@ def frequent_words(docs: DataFrame, path: str, most: int = WORDS) -> list[bytes]
         for batch in batches:
             for part in slices(batch):
                 for text in part.column(1).to_pylist():
-                    counts.update(bpe.chunks(text))
-                if len(counts) > COUNTED:
+                    counts.update(bpe.pieces(text)[0])
+                seen += part.nbytes
+                if len(counts) > COUNTED or seen > COUNTED_BYTES:
                     yield from out()
+                    seen = 0
         yield from out()
 
-    counted = written(documents(docs).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")), "counts")
+    counted = written(documents(docs).mapInArrow(run, "chunk string, n long").where(F.length("chunk") <= LONGEST).groupBy("chunk").agg(F.sum("n").alias("n")), "counts")
     level = F.floor(16 * F.log2("n")).cast("int")  # 16 levels for each doubling: a thousand at most
     levels = sorted(((r.level, r["count"]) for r in counted.groupBy(level.alias("level")).count().collect()), reverse=True)
     lowest, total = None, 0

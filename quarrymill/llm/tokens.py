@@ -9,8 +9,8 @@ import pyarrow as pa
 
 from .common import set_env, trim
 
-#: Pieces that a worker keeps; about 210 bytes each.
-CACHE = 900_000
+#: Bytes of the pieces that a worker keeps, about.
+CACHE = 200 << 20
 _MARKS = ".,;:!?"
 
 
@@ -40,7 +40,7 @@ class ByteEncoder:
         if how["normalizer"] or how["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             raise ValueError("a byte-level BPE file without a normalizer is needed")
         self.special = tuple({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
-        self.most, self.known = cache, {}
+        self.most, self.known, self.held = cache, {}, 0
         letters = sorted(self.library.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])
         self.spaced = np.zeros(self.library.get_vocab_size() + 1, bool)  # ids whose token begins with a space
         self.mark = {c: np.array(self.library.encode(c).ids, "<u4").tobytes() for c in _MARKS}
@@ -72,11 +72,13 @@ class ByteEncoder:
                         self.known.update(zip(group, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
         for p, stem in ends.items():
             self.known[p] = self.known[stem] + self.mark[p[-1]]
+        self.held += sum(190 + 2 * len(p) + len(self.known[p]) for own in (new, ends) for p in own)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known, out, open_, new, whole = self.known, [b""] * len(texts), [], set(), []
-        if len(known) > self.most:
+        if self.held > self.most:
             known.clear()
+            self.held = 0
         for i, text in enumerate(texts):
             if not text:
                 continue
