@@ -8,12 +8,15 @@ Spark's SQL function `reflect`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import fresh_dir, keep_ids, parts, written  # noqa: F401
+from .common import dropped, keep_ids, parts, written
 
-#: Buckets of documents in doc_id order, at most; their first ids are all that the driver gets.
-MOST_BUCKETS = 4096
+#: Buckets of documents in doc_id order for each shuffle partition (several, so that partitions get about as much), and at most;
+#: their first ids are all that the driver gets.
+BUCKETS, MOST_BUCKETS = 4, 1 << 17
 _LOW = -(1 << 63)
 
 
@@ -43,11 +46,12 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
 def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     """docs (o, text and other columns) with next_<c> of the row that follows in the order of o and text; after the last: the first.
 
-    Rows are bucketed by quantiles of o and ordered within buckets, so no task sees all rows. The first row of each bucket
-    also goes, marked, to the end of the bucket before."""
-    spark, buckets = docs.sparkSession, min(parts(docs.sparkSession), MOST_BUCKETS)
+    Rows are bucketed by quantiles of o and ordered within buckets, so no task sees all rows but those of one o (null ids among
+    them), which are ordered in one task, on disk if need be. The first row of each bucket also goes, marked, to the end of the
+    bucket before."""
+    spark, buckets = docs.sparkSession, min(BUCKETS * parts(docs.sparkSession), MOST_BUCKETS)
     cuts = [k / buckets for k in range(1, buckets)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("o", F.lit(cuts).cast("array<double>"), F.lit(10 * buckets)).alias("b")).first().b or [])) if cuts else []
+    bounds = sorted(set(docs.agg(F.percentile_approx("o", F.lit(cuts).cast("array<double>"), F.lit(max(10_000, 4 * buckets))).alias("b")).first().b or [])) if cuts else []
     dealt = docs.withColumn("b", _bucket(F.col("o"), bounds))
     firsts = sorted((r.b, r.o) for r in dealt.select("b", "o").groupBy("b").agg(F.min("o").alias("o")).collect())
     if not firsts:
@@ -71,54 +75,55 @@ def _split(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("o"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, hashed: Callable[[Column], tuple[Column, Column]] = digest) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness (1.0 where fingerprints are equal, else 0.0: the
-    digest is exact by design, and tells only whether canonical forms are the same).
+    digest is exact by design, and tells only whether canonical forms are the same). hashed: two longs of a canonical form.
 
     Null text: empty. Null doc_id: first in the order. Rows of one doc_id: in the order of their texts. A single row is its own
     next. Other columns are ignored."""
-    base = _split(docs).select("o", "text", canonical(F.col("text")).alias("canon")).select("o", "text", *(h.alias(f"h{k}") for k, h in enumerate(digest(F.col("canon")))))
-    found = with_next(base, "o", "text", "h0", "h1").withColumn("n", F.length("text")).withColumn("edited", edited(F.col("text"), F.col("n"), F.col("next_text")))
+    base = _split(docs).select("o", "text", canonical(F.col("text")).alias("canon")).select("o", "text", F.xxhash64("text").alias("t"), *(h.alias(f"h{k}") for k, h in enumerate(hashed(F.col("canon")))))
+    found = with_next(base, "o", "t", "text", "h0", "h1").withColumn("n", F.length("text")).withColumn("edited", edited(F.col("text"), F.col("n"), F.col("next_text")))
     found = found.withColumn("canon", canonical(F.col("edited")))
-    table = written(found.select("o", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "h0", "h1", *(h.alias(f"e{k}") for k, h in enumerate(digest(F.col("canon")))), "next_o", F.col("next_h0").alias("x0"), F.col("next_h1").alias("x1")), "digests")
-    ranks = collisions(docs, table)
+    table = written(found.select("o", "t", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "h0", "h1", *(h.alias(f"e{k}") for k, h in enumerate(hashed(F.col("canon")))), "next_o", "next_t", F.col("next_h0").alias("x0"), F.col("next_h1").alias("x1")), "digests")
+    ranks = collisions(docs, table, hashed)
     name = lambda a, b, r: F.concat(F.lower(F.lpad(F.hex(a), 16, "0")), F.lower(F.lpad(F.hex(b), 16, "0")), F.when(r > 0, F.concat(F.lit("-"), r.cast("string"))).otherwise(""))
-    zero = F.lit(0)
-    if ranks is None:
-        own = ed = nxt = zero
-        out = table
-    else:
-        # each side is looked up by its key and hash; only rows of mixed buckets are in `ranks`
-        out = table
-        for kind, key, h in (("own", "o", "h"), ("edited", "o", "e"), ("own", "next_o", "x")):
-            side = ranks.where(F.col("kind") == kind).select(F.col("o").alias("ro"), F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("rank").alias(f"rank_{h}"))
-            out = out.join(side, (F.col(key) == F.col("ro")) & (F.col(f"{h}0") == F.col("ra")) & (F.col(f"{h}1") == F.col("rb")), "left").drop("ro", "ra", "rb")
-        own, ed, nxt = (F.coalesce(f"rank_{h}", zero) for h in "hex")
+    own = ed = nxt = F.lit(0)
+    out = table
+    if ranks is not None:
+        # each side is looked up by its row and hash; only rows of mixed buckets are in `ranks`
+        for kind, key, h in (("own", ("o", "t"), "h"), ("edited", ("o", "t", "next_o", "next_t"), "e"), ("own", ("next_o", "next_t"), "x")):
+            side = ranks.where(F.col("kind") == kind).select(*[F.col(c).alias(f"r{k}") for k, c in enumerate(("o", "t", "next_o", "next_t")[: len(key)])], F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("rank").alias(f"rank_{h}"))
+            same = (F.col(f"{h}0") == F.col("ra")) & (F.col(f"{h}1") == F.col("rb"))
+            for k, c in enumerate(key):
+                same = same & (F.col(c) == F.col(f"r{k}"))
+            out = out.join(side, same, "left").drop("ra", "rb", *[f"r{k}" for k in range(len(key))])
+        own, ed, nxt = (F.coalesce(f"rank_{h}", F.lit(0)) for h in "hex")
     c = F.col
     same = lambda a, b: (a == b).cast("double")
     return out.select(F.when(c("o") != _LOW, c("o")).alias("doc_id"), c("n").cast("long").alias("n_chars"), "edited_sha256", name(c("h0"), c("h1"), own).alias("fingerprint"), name(c("e0"), c("e1"), ed).alias("edited_fingerprint"), name(c("x0"), c("x1"), nxt).alias("next_fingerprint")).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same(c("fingerprint"), c("edited_fingerprint")).alias("near_edited"), same(c("fingerprint"), c("next_fingerprint")).alias("near_next"))
 
 
-def collisions(docs: DataFrame, table: DataFrame) -> DataFrame | None:
-    """Compares the canonical bytes of all texts that share a bucket: kind, o, a, b, rank of rows in buckets that hold several
-    texts; None if there is no such bucket. Only texts of buckets with two rows or more are read again, and copies of one
-    text meet in the map side of the aggregation."""
+def collisions(docs: DataFrame, table: DataFrame, hashed: Callable[[Column], tuple[Column, Column]] = digest) -> DataFrame | None:
+    """Compares the canonical bytes of all texts that share a bucket: kind, o and t (and next_o and next_t of edited ones), a, b, rank
+    of rows in buckets that hold several texts; None if there is no such bucket. Only texts of buckets with two rows or more are
+    read again, and copies of one text meet in the map side of the aggregation."""
     c = F.col
-    rows = table.select("o", "next_o", F.explode(F.array(F.struct(F.lit("own").alias("kind"), c("h0").alias("a"), c("h1").alias("b")), F.struct(F.lit("edited").alias("kind"), c("e0").alias("a"), c("e1").alias("b")))).alias("r")).select("o", "next_o", "r.*")
+    rows = table.select("o", "t", "next_o", "next_t", F.explode(F.array(F.struct(F.lit("own").alias("kind"), c("h0").alias("a"), c("h1").alias("b")), F.struct(F.lit("edited").alias("kind"), c("e0").alias("a"), c("e1").alias("b")))).alias("r")).select("o", "t", "next_o", "next_t", "r.*")
     shared = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     suspects = written(rows.join(shared, ["a", "b"]), "suspects")
-    texts = _split(docs)
-    own = keep_ids(texts, suspects.where("kind = 'own'").select("o").distinct(), "o").select(F.lit("own").alias("kind"), "o", canonical(c("text")).alias("canon"))
-    pairs = suspects.where("kind = 'edited'").select("o", "next_o").distinct()
-    left = keep_ids(texts, pairs.select("o").distinct(), "o")
-    right = keep_ids(texts, pairs.select(c("next_o").alias("o")).distinct(), "o").select(c("o").alias("next_o"), c("text").alias("following"))
-    ed = left.join(pairs, "o").join(right, "next_o").select(F.lit("edited").alias("kind"), "o", canonical(edited(c("text"), F.length("text"), c("following"))).alias("canon"))
-    a, b = digest(c("canon"))
-    found = own.unionByName(ed).select("kind", "o", "canon", a.alias("a"), b.alias("b"))
+    texts = _split(docs).withColumn("t", F.xxhash64("text"))
+    own = keep_ids(texts, suspects.where("kind = 'own'").select("o").distinct(), "o").select(F.lit("own").alias("kind"), "o", "t", F.lit(0).cast("long").alias("next_o"), F.lit(0).cast("long").alias("next_t"), canonical(c("text")).alias("canon"))
+    pairs = suspects.where("kind = 'edited'").select("o", "t", "next_o", "next_t").distinct()
+    left = keep_ids(texts, pairs.select("o").distinct(), "o").dropDuplicates(["o", "t"])
+    right = keep_ids(texts, pairs.select(c("next_o").alias("o")).distinct(), "o").dropDuplicates(["o", "t"]).select(c("o").alias("next_o"), c("t").alias("next_t"), c("text").alias("following"))
+    ed = left.join(pairs, ["o", "t"]).join(right, ["next_o", "next_t"]).select(F.lit("edited").alias("kind"), "o", "t", "next_o", "next_t", canonical(edited(c("text"), F.length("text"), c("following"))).alias("canon"))
+    a, b = hashed(c("canon"))
+    found = own.unionByName(ed).select("kind", "o", "t", "next_o", "next_t", "canon", a.alias("a"), b.alias("b"))
     mixed = found.groupBy("a", "b").agg(F.min("canon").alias("low"), F.max("canon").alias("high")).where("low != high").select("a", "b")
     mixed = written(mixed, "mixed")
     if not mixed.limit(1).count():
+        dropped(suspects, mixed, release=False)
         return None
     inside = found.join(mixed, ["a", "b"])
     ranked = inside.select("a", "b", "canon").distinct().select("*", (F.row_number().over(Window.partitionBy("a", "b").orderBy("canon")) - 1).alias("rank"))
-    return inside.join(ranked, ["a", "b", "canon"]).select("kind", "o", "a", "b", "rank").distinct()
+    return inside.join(ranked, ["a", "b", "canon"]).select("kind", "o", "t", "next_o", "next_t", "a", "b", "rank").distinct()
