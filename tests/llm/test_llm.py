@@ -58,6 +58,39 @@ def test_op1_edges(spark, odd):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
 
 
+def test_op1_scores(spark, docs, odd):
+    """Every score is the logistic function of the bias and the weights of the features, found here word by word."""
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    model = model if len(model.features) else toxicity.Model(np.array([3 * toxicity.word_features("the")[0], 3 * toxicity.word_features("und")[0] + 1]), np.array([0.5, -1.0]), -1.0, 0.1)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    for df in (docs, odd):
+        want = []
+        for d, t in plain(df):
+            shared = Counter()
+            for word in set(t.split()):
+                w = word.strip(toxicity._STRIP).lower()
+                for form in {f"w:{w}"} | {f"{n}:{w[:n]}" for n in (4, 5, 6) if len(w) > n} if w else ():
+                    shared[zlib.crc32(form.encode("utf-8", "surrogatepass")) % (1 << 20), word] = 1
+            n = Counter(f for f, _ in shared)
+            z = model.bias + sum(weight.get(3 * f + k, 0.0) for f, c in n.items() for k, least in enumerate((1, 2, 4)) if c >= least)
+            want.append((d, 1 / (1 + np.exp(-z))))
+        got = [(r.doc_id, r.score) for r in toxicity.score(df, model).collect()]
+        assert [d for d, _ in key(got)] == [d for d, _ in key(want)]
+        assert np.allclose(sorted(s for _, s in got), sorted(s for _, s in want), atol=1e-9)
+
+
+def test_op1_unlabelled_text_counts(spark):
+    """U is drawn from all documents: words that only unlabelled ones have bring a score down; labels of others are never read."""
+    rows = [(i, "bad worse common" if i < 40 else "good fine common") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(40)] + [(i, 1, 0) for i in range(40, 60)], "doc_id long, quality int, toxic int")
+    flipped = labels.selectExpr("doc_id", "quality", "case when crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 then 1 - toxic else toxic end as toxic")
+    model = toxicity.train(docs, labels, prior=0.1)
+    assert model.weights.tolist() == toxicity.train(docs, flipped, prior=0.1).weights.tolist()
+    score = model.scorer()
+    assert score("bad worse common") > 0.5 > 0.2 > score("good fine common")
+
+
 def test_nnpu():
     rng = np.random.default_rng(0)
     rows = [np.array([0] if k % 5 == 0 else [1 + int(rng.integers(4))]) for k in range(500)]
@@ -108,9 +141,14 @@ def test_op3(odd, spark):
             assert offset == at
             at += n
         assert at <= 1024
-    want = lib.encode("word " * 5000, add_special_tokens=False).ids + [2]
-    own = sorted(of[99], key=lambda r: r.piece)
-    assert np.frombuffer(b"".join(r.ids for r in own), "<u4").tolist() == want and all(r.length == 1024 for r in own[1:])
+    want = Counter(tuple(lib.encode(t, add_special_tokens=False).ids + [2]) for _, t in [*plain(odd), (99, "word " * 5000)])
+    assert sum(r.piece == 0 for r in got) == want.total()
+    for d, own in of.items():
+        own = sorted(own, key=lambda r: r.piece)
+        texts = [tuple(lib.encode(t, add_special_tokens=False).ids + [2]) for e, t in [*plain(odd), (99, "word " * 5000)] if e == d]
+        if len(texts) == 1:
+            assert tuple(np.frombuffer(b"".join(r.ids for r in own), "<u4").tolist()) == texts[0] and all(r.length == 1024 for r in own[1:])
+        assert Counter(x for r in own for x in np.frombuffer(r.ids, "<u4").tolist()) == Counter(x for t in texts for x in t)
     assert len(space) <= 1.05 * sum(r.length for r in got) / 1024 + 1
 
 
@@ -139,6 +177,22 @@ def test_best_fit():
     assert [b.put(n) for n in (7, 6, 3, 5, 4, 10)] == [(0, 0), (1, 0), (0, 7), (2, 0), (1, 6), (3, 0)]
 
 
+def test_op3_bound_binds():
+    """In the order in which a packer gets pieces the bound closes sequences early, and yet nearly as few are made as can be."""
+    rng = np.random.default_rng(2)
+    lengths = np.where(rng.random(40_000) < 0.4, 1024, rng.integers(1, 1025, 40_000)).tolist()
+    batches = packing.pa.table({"length": lengths}).to_batches(1000)
+    tables = list(packing.windows(iter(batches), packing.WINDOW))
+    assert [t.num_rows for t in tables] == [packing.WINDOW] * 9 + [40_000 - 9 * packing.WINDOW]
+    assert [x for t in tables for x in t.column("length").to_pylist()] == lengths
+    packer, most = packing.BestFit(1024, packing.OPEN), 0
+    for t in tables:
+        for n in sorted(t.column("length").to_pylist(), reverse=True):
+            packer.put(n)
+            most = max(most, packer.opened)
+    assert packer.closed > 0 and most == packing.OPEN and packer.next <= 1.01 * sum(lengths) / 1024
+
+
 def brute_secrets(text):
     kinds = (("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
     return ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted((m.start(), k, m.end(), n) for k, (n, p, g, least) in enumerate(kinds) for m in p.finditer(text) if len(m.group(g)) >= least))
@@ -159,6 +213,8 @@ def test_op4_ledger(spark, tmp_path):
     assert ledger.scan(v).where("size(spans) > 0").count() == 3 and ledger.entries().count() == 2
     new = spark.read.parquet(ledger.add(v.union(spark.createDataFrame([("c", 1, "hex 0123456789abcdef0123456789")], v.schema)).select("content")))
     assert new.count() == 1 and ledger.entries().count() == 3
+    odd = v.selectExpr("path as spans", "version as blob", "path as __blob", "version as `a.b`", "content")
+    assert ledger.scan(odd).columns == ["spans", "blob", "__blob", "a.b", "blob_", "spans_"] and ledger.scan(odd).where("size(spans_) > 0 and spans = 'a'").count() == 2
     assert "hunter22" not in secrets.redacted(v.withColumnRenamed("content", "text")).where("path = 'a' and version = 1").first().text
 
 
@@ -304,6 +360,7 @@ def test_op8_file(mode):
         w.add(k, t)
     assert w.close() == sum(map(len, texts)) // 4
     r = bitplane.Reader(out, len(out.getvalue()))
+    assert [r.document(k) for k in range(len(texts))] == list(enumerate(texts))
     assert [t for _, _, t in r.documents()] == texts and r.slice(5, 2000) == b"".join(texts)[20:8000]
 
 
@@ -316,6 +373,38 @@ def test_op8(odd):
         want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert key(tuple(r) for r in bitplane.token_files(odd).collect()) == key(want)
+    assert key(tuple(r) for r in bitplane.token_files(odd, block=64, file_ids=100).collect()) == key(want)
+
+
+def test_op8_blocks_of_documents(monkeypatch):
+    monkeypatch.setattr(bitplane, "DOCS", 4)
+    out = io.BytesIO()
+    out.close = lambda: None
+    w = bitplane.Writer(out, 8)
+    texts = [(None if k % 3 == 0 else -k, np.arange(k % 5, dtype="<u4").tobytes()) for k in range(23)]
+    for t in texts:
+        w.add(*t)
+    w.close()
+    r = bitplane.Reader(out, len(out.getvalue()))
+    assert [(d, t) for d, _, t in r.documents()] == texts == [r.document(k) for k in range(23)] and len(r.lists) == 6
+
+
+def test_op8_many_rows_of_one_id(spark):
+    rows = [(1 if k % 2 else None, f"{k * 7919 % 400:05d} text") for k in range(400)]
+    got = bitplane.token_files(spark.createDataFrame(rows, "doc_id long, text string"), with_ids=True).orderBy("start").collect()
+    lib = tokens.ByteEncoder(tokens.vocabulary("byte_bpe_50k.json")).library
+    texts = [lib.decode(np.frombuffer(r.ids, "<u4")[:-1].tolist()) for r in got]
+    assert [(r.doc_id, t) for r, t in zip(got, texts)] == sorted(rows, key=lambda r: (r[0] is not None, r[1]))
+
+
+def test_caches_are_bounded_by_bytes():
+    long = ["x" * (100_000 + k) for k in range(30)]
+    for enc in (tokens.ByteEncoder(tokens.vocabulary("byte_bpe_50k.json"), 1 << 20), lexicon.WordBpe(tokens.vocabulary("word_bpe_49k.json"), None, 1 << 20)):
+        want = [enc.encode([t]) for t in long[:2]]
+        for t in long:
+            enc.encode([f"a {t}"])
+            assert enc.held < 3 << 20 and len(enc.known) < 12
+        assert [enc.encode([t]) for t in long[:2]] == want
 
 
 def test_op9(odd, docs):
@@ -351,6 +440,39 @@ def test_op10(request, table):
     assert all((r.near_edited == 1.0) == (r.fingerprint == r.edited_fingerprint) for r in got)
 
 
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_op10_canonical_form(request, table):
+    """Two texts have one fingerprint exactly if their canonical forms, made here by another library, are equal."""
+    df = request.getfixturevalue(table)
+
+    def canon(t):
+        n = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+        return re.sub(r"[\s\x85]+", " ", n).strip(" ")
+
+    rows = sorted(plain(df), key=lambda r: (-(2**63) if r[0] is None else r[0], r[1].encode()))
+    own, made = {}, {}
+    for r in fingerprints.fingerprints(df).collect():
+        own.setdefault(r.doc_id, set()).add(r.fingerprint)
+    for d, t in rows:
+        if len(own[d]) == 1:
+            made.setdefault(canon(t), set()).update(own[d])
+    assert all(len(v) == 1 for v in made.values()) and len({next(iter(v)) for v in made.values()}) == len(made)
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_op10_collisions(request, table):
+    """With a digest of three values all buckets are mixed, and the comparison of bytes alone tells texts apart."""
+    from pyspark.sql import functions as F
+
+    df = request.getfixturevalue(table)
+    weak = lambda canon: (F.pmod(F.length(canon), F.lit(3)).cast("long"), F.lit(0).cast("long"))
+    exact, got = (key((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in fingerprints.fingerprints(df, *how).collect()) for how in ((), (weak,)))
+    assert exact == got
+    pairs = [[(r.doc_id, r.edited_sha256, f) for r in fingerprints.fingerprints(df, *how).collect() for f in (r.fingerprint, r.edited_fingerprint)] for how in ((), (weak,))]
+    sizes = [sorted(Counter(f for _, _, f in p).values()) for p in pairs]
+    assert sizes[0] == sizes[1]
+
+
 def test_op10_canonical(spark):
     df = spark.createDataFrame([(1, "ﬁne  Straße É"), (2, "fine STRASSE é "), (3, "other")], "doc_id long, text string")
     got = {r.doc_id: r for r in fingerprints.fingerprints(df).collect()}
