@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import bitplane, chosen_path, fingerprints, lexicon, packing, quality, secrets, substrings, surrogates, toxicity
 
 
+#: For tests and examples alone: set spark.quarrymill.surrogates.key to a secret.
+EXAMPLE_KEY = "no secret"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,7 +34,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymised(table(spark, sf_dir, "documents"), "quarrymill")
+    key = spark.conf.get("spark.quarrymill.surrogates.key", None) or EXAMPLE_KEY
+    return surrogates.pseudonymised(table(spark, sf_dir, "documents"), key)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,17 @@
 A surrogate is a function of the key, the type, the entity's normal form and an attempt number, so an entity has the same one
 in every document (coreference), in whatever format it is written there. It keeps digits digits, letters letters, case,
 length and punctuation; the country code of a phone number, the first digit and check digit of a card number, the digits of each part of an
-address, the country and check digits of an IBAN, the top-level domain; of names the script and, by the title, the
-gender (of scripts without a list of names, the letters' script, letter by letter). Persons are found only after a title of
-TITLES: names without one stay. All entities of the corpus are checked: where two get one surrogate, or a surrogate is itself an entity of the
-corpus, all but one move to the next attempt, until none is left. Only those on later attempts need a table.
+address, the country and check digits of an IBAN, the top-level domain; of names the script and the gender (of scripts
+without a list of names, the letters' script, letter by letter).
+
+Persons are found by a title of TITLES and, in the same text, by any part of a name that has a title there; names that have
+none anywhere in the text stay. Each part of a name is an entity, a given or a family name, so a person has the same name with
+every title and with none, and by one part alone. A given name has the gender that the titles before it have more often in
+the corpus; before Dr and the like, the gender of its form. Initials are exchanged by a keyed permutation.
+
+All entities of the corpus are checked: where two get one surrogate, or a surrogate is itself an entity of the
+corpus, all but one move to the next attempt, until none is left. Only those on later attempts, or of another gender than their
+form has, need a table.
 """
 
 from __future__ import annotations
@@ -16,13 +23,14 @@ import hmac
 import re
 import sys
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import documents, written
+from .common import documents, dropped, written
 from .tokens import slices
 
 #: Entities that need a later attempt: up to this number they are broadcast, more are joined per document.
@@ -42,10 +50,18 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "ba bel bor den dor fal gar hem kal lan len mar mon nor pel ran ros sel tan vel win zor".split(), "cyrillic": "ба бел бор вен гор дан кал лан мар нов пел рос сел тан".split(), "greek": "βα γαρ δελ καλ λαν μαρ νικ παλ ρος σελ ταν φιλ".split()}
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+#: Words in lower case that may stand within a name, and stay.
+PARTICLES = "de del della di da dos das do du la le van von der den zu zur ter ten bin ibn al el y e af av".split()
+#: Endings of made given names, and last letters by which a given name that is in no list counts as a woman's.
+ENDINGS = {("latin", "m"): "o us an in or".split(), ("latin", "f"): "a ia ine ella e".split(), ("cyrillic", "m"): "ан ид ор ей".split(), ("cyrillic", "f"): "а ия ина ея".split(), ("greek", "m"): "ος ης ας".split(), ("greek", "f"): "α η ία".split()}
+_FEMALE = frozenset("aeáéаяαηή")
 #: Combining marks, which belong to the letter before them.
 _MARKS = "".join(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Mn", "Mc"))
-_PART = rf"[^\W\d_a-zà-öø-ÿа-яα-ω](?:[^\W\d_]|[{_MARKS}]){{1,40}}"
-_PERSON = re.compile(rf"\b({_TITLE})(\.?[ \xa0])({_PART}(?:[ \xa0-]{_PART}){{0,2}})")
+_FIRST = r"[^\W\d_a-zà-öø-ÿа-яα-ω]"
+_PART = rf"(?:{_FIRST}\.(?=[ \xa0-])|[\u4e00-\u9fff]{{1,4}}|{_FIRST}(?:[^\W\d_]|[{_MARKS}]|['’](?=[^\W\d_]))*)"
+_JOIN = rf"[ \xa0-](?:(?:{'|'.join(PARTICLES)})[ \xa0])*(?:[dl]['’])?"
+_PERSON = re.compile(rf"\b({_TITLE})(\.?[ \xa0])({_PART}(?:{_JOIN}{_PART})*)")
+_PARTS = re.compile(_PART)
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _LOCAL, _DOMAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}")
 _NUMBERS = (
@@ -58,15 +74,18 @@ _NUMBERS = (
 KINDS = ("email", "iban", "ip", "ssn", "card", "phone", "person")
 
 
-def detect(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind), ascending and without overlap: earlier kinds of KINDS first."""
-    found: list[tuple[int, int, str]] = []
+def mentions(text: str) -> list[tuple[int, int, str, list[tuple]]]:
+    """(start, end, kind, parts), ascending and without overlap: earlier kinds of KINDS first. parts: (start, end, kind, normal form,
+    gender of the title) of what has a surrogate: of a person each part of the name, of others the whole."""
+    found: list[tuple] = []
     taken: set[int] = set()
 
-    def add(start: int, end: int, kind: str) -> None:
-        if not any(i in taken for i in range(start, end)):
-            taken.update(range(start, end))
-            found.append((start, end, kind))
+    def add(start: int, end: int, kind: str, parts: list[tuple] | None = None) -> bool:
+        if any(i in taken for i in range(start, end)):
+            return False
+        taken.update(range(start, end))
+        found.append((start, end, kind, [(start, end, kind, normal(kind, text[start:end]), "")] if parts is None else parts))
+        return True
 
     at = text.find("@")
     while at >= 0:
@@ -83,18 +102,34 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         for kind, pattern in _NUMBERS:
             for m in pattern.finditer(text):
                 add(m.start(), m.end(), kind)
+    role: dict[str, str] = {}
     for m in _PERSON.finditer(text):
-        add(m.start(), m.end(), "person")
+        own = [p.span() for p in _PARTS.finditer(text, *m.span(3))]
+        full = [x for x in own if text[x[1] - 1] != "."]
+        parts = [(a, b, "initial" if text[b - 1] == "." else "given" if len(own) > 1 and a == own[0][0] else "family", text[a:b].lower(), _GENDER[m[1]]) for a, b in own]
+        if add(m.start(), m.end(), "person", parts):
+            for a, b in full:
+                kind = next(k for x, _, k, _, _ in parts if x == a)
+                if b - a > 1 or text[a:b] > "\u02ff":  # one Latin letter alone tells no name
+                    role.setdefault(text[a:b].lower(), kind)
+    if role:
+        names = "|".join(map(re.escape, sorted(role, key=len, reverse=True)))
+        for m in re.finditer(rf"(?<![^\W\d_])(?:{names})(?:[ \xa0-](?:{names}))*(?![^\W\d_])", text, re.I):
+            own = [(p.start(), p.end()) for p in re.finditer(names, m[0], re.I)]
+            if all(m[0][a] == m[0][a].upper() for a, _ in own):
+                add(m.start(), m.end(), "person", [(m.start() + a, m.start() + b, role.get(m[0][a:b].lower(), "family"), m[0][a:b].lower(), "") for a, b in own])
     return sorted(found)
 
 
+def detect(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of mentions()."""
+    return [x[:3] for x in mentions(text)]
+
+
 def normal(kind: str, value: str) -> str:
     """The form by which mentions are the same entity."""
-    if kind == "email":
+    if kind in ("email", "given", "family", "initial"):
         return value.lower()
-    if kind == "person":
-        m = _PERSON.match(value)
-        return _GENDER[m[1]] + " " + re.sub(r"[ \xa0]+", " ", m[3])
     if kind == "ip":
         return value
     return re.sub(r"[^0-9A-Z]" if kind == "iban" else r"[^0-9]", "", value)
@@ -150,8 +185,25 @@ def _spelt(part: str, s: Stream, more: int) -> str:
     return out + "".join(_letters(last)[s.below(len(_letters(last)))] for _ in range(more))
 
 
-def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
-    """The surrogate's normal form for an entity's normal form."""
+def form_gender(name: str) -> str:
+    """The gender that a given name's form has: that of a list, else by its last letter."""
+    for (_, gender), names in GIVEN.items():
+        if name.capitalize() in names:
+            return gender
+    return "f" if name[-1:] in _FEMALE else "m"
+
+
+@lru_cache(4096)
+def _cycle(key: bytes, c: str) -> dict[str, str]:
+    """A keyed permutation of the letters of c's script that leaves none in its place (but where there is one alone)."""
+    order = sorted(_letters(c), key=lambda x: hmac.new(key, x.encode(), hashlib.sha256).digest())
+    return dict(zip(order, [*order[1:], order[0]])) if order else {}
+
+
+def surrogate(key: bytes, kind: str, value: str, attempt: int, gender: str = "") -> str:
+    """The surrogate's normal form for an entity's normal form. gender: of a given name, where titles tell it."""
+    if kind == "initial":
+        return _cycle(key, value[0].upper()).get(value[0].upper(), value[0]).lower() + "."
     s = Stream(key, kind, value, attempt)
     more = "".join(str(s.below(10)) for _ in range(max(0, attempt - GROW + 1)))
     if kind == "email":
@@ -165,20 +217,15 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         parts = [s.below(256) if attempt >= GROW else low[len(p)] + s.below(high[len(p)] - low[len(p)] + 1) for p in value.split(".")]
         first = value.split(".")[0]
         return ".".join([first if first in ("10", "127") else str(max(1, parts[0])), *map(str, parts[1:])])
-    if kind == "person":
-        gender, _, name = value.partition(" ")
-        parts, longer = name.split(" "), max(0, attempt - GROW)
-        sex = gender or "mf"[s.below(2)]
-
-        def given(part: str) -> str:
-            own = script(part)
-            return GIVEN[own, sex][s.below(len(GIVEN[own, sex]))] if own else _spelt(part, s, 0)
-
-        def family(part: str) -> str:
-            own = script(part)
-            return "".join(SYLLABLES[own][s.below(len(SYLLABLES[own]))] for _ in range(3 + longer)).capitalize() if own else _spelt(part, s, longer)
-
-        return gender + " " + " ".join([*map(given, parts[:-1]), family(parts[-1])])
+    if kind in ("given", "family"):
+        own, longer = script(value), max(0, attempt - GROW)
+        if not own:
+            return _spelt(value, s, longer).lower()
+        sex = gender or form_gender(value)
+        if kind == "given" and not attempt:
+            return GIVEN[own, sex][s.below(len(GIVEN[own, sex]))].lower()
+        made = "".join(SYLLABLES[own][s.below(len(SYLLABLES[own]))] for _ in range((2 if kind == "given" else 3) + longer))
+        return made + (ENDINGS[own, sex][s.below(len(ENDINGS[own, sex]))] if kind == "given" else "")
     if kind == "card":
         body = value[0] + "".join(str(s.below(10)) for _ in value[1:-1])
         check = luhn(body)
@@ -196,10 +243,9 @@ def render(kind: str, written_as: str, new: str) -> str:
     if kind == "email":
         out = "".join(n.upper() if o.isupper() else n for o, n in zip(written_as, new)) + new[len(written_as) :]
         return out
-    if kind == "person":
-        m = _PERSON.match(written_as)
-        gap = m[3][re.search(r"[ \xa0]|$", m[3]).start() :][:1] or " "
-        return m[1] + m[2] + new.partition(" ")[2].replace(" ", gap)
+    if kind in ("given", "family", "initial"):
+        letters = [c for c in written_as if c.isalpha()]
+        return new.upper() if len(letters) > 1 and all(c == c.upper() != c.lower() for c in letters) else new[:1].upper() + new[1:]
     if kind == "ip":
         return new
     rest = iter(new)
@@ -207,49 +253,63 @@ def render(kind: str, written_as: str, new: str) -> str:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """kind and value (normal form) of all entities of the corpus, each once."""
+    """kind, value (normal form) and gender of all entities of the corpus, each once. gender: of a given name, that of most titles
+    before it, where it isn't that of its form; else ''."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                found = {(k, normal(k, t[a:b])) for t in part.column(1).to_pylist() for a, b, k in detect(t)}
+                found = Counter()
+                for t in part.column(1).to_pylist():
+                    for _, _, _, parts in mentions(t):
+                        found.update((kind, value, gender) for _, _, kind, value, gender in parts if kind != "initial")
                 if found:
-                    kinds, values = zip(*sorted(found))
-                    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(values)], names=["kind", "value"])
+                    rows = sorted(found)
+                    cols = [[k for k, _, _ in rows], [v for _, v, _ in rows], [found[r] * (r[2] == "m") for r in rows], [found[r] * (r[2] == "f") for r in rows]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "value", "m", "f"])
+
+    @F.pandas_udf("string")
+    def decided(kind: pd.Series, value: pd.Series, m: pd.Series, f: pd.Series) -> pd.Series:
+        told = ["" if k != "given" or a == b or form_gender(v) == ("m" if a > b else "f") else "m" if a > b else "f" for k, v, a, b in zip(kind, value, m, f)]
+        return pd.Series(told, dtype=object)
 
-    return documents(docs).mapInArrow(run, "kind string, value string").distinct()
+    counted = documents(docs).mapInArrow(run, "kind string, value string, m long, f long").groupBy("kind", "value").agg(F.sum("m").alias("m"), F.sum("f").alias("f"))
+    return counted.select("kind", "value", decided("kind", "value", "m", "f").alias("gender"))
 
 
 def settled(found: DataFrame, key: bytes) -> DataFrame:
-    """kind, value, attempt: the first attempts (each row's least) that leave all surrogates distinct and none an entity."""
+    """kind, value, gender, attempt: the first attempts (each row's least) that leave all surrogates distinct and none an entity."""
 
     @F.pandas_udf("string")
-    def made(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(key, k, v, int(a)) for k, v, a in zip(kind, value, attempt)], dtype=object)
+    def made(kind: pd.Series, value: pd.Series, attempt: pd.Series, gender: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, k, v, int(a), g) for k, v, a, g in zip(kind, value, attempt, gender)], dtype=object)
 
-    table = written(found.withColumn("attempt", F.lit(0)), "entities")
+    names = ("kind", "value", "gender", "attempt")
+    table = written(found.select("kind", "value", F.col("gender") if "gender" in found.columns else F.lit("").alias("gender"), F.lit(0).alias("attempt")), "entities")
     while True:
-        rows = table.withColumn("new", made("kind", "value", "attempt"))
+        rows = table.withColumn("new", made("kind", "value", "attempt", "gender"))
         real = table.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
         order = Window.partitionBy("kind", "new").orderBy("attempt", "value")
         rows = rows.join(real, ["kind", "new"], "left").withColumn("bad", (F.row_number().over(order) > 1) | F.col("real").isNotNull())
-        table = written(rows.select("kind", "value", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad"), "entities")
-        if not table.where("bad").limit(1).count():
-            return table.select("kind", "value", "attempt")
-        table = table.select("kind", "value", "attempt")
+        after = written(rows.select("kind", "value", "gender", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad"), "entities")
+        dropped(table, release=False)
+        if not after.where("bad").limit(1).count():
+            return after.select(*names)
+        table = after.select(*names)
+        table.written_to = after.written_to
 
 
 def pseudonymised(docs: DataFrame, key: bytes | str) -> DataFrame:
     """doc_id, n_entities, kinds (each found kind:start:end in the original, comma-joined) and text with surrogates.
 
     Null text: stays null, no entities. Null doc_id and repeated rows: each has its row. Equal entities have equal surrogates
-    in all documents, different ones different."""
+    in all documents, different ones different. key: the caller's secret; whoever has it can find which surrogate an entity has."""
     key = key.encode() if isinstance(key, str) else key
-    later = settled(entities(docs), key).where("attempt > 0")
+    later = settled(entities(docs), key).where("attempt > 0 or gender != ''")
     rows = later.limit(BROADCAST_LATER + 1).collect()
     if len(rows) > BROADCAST_LATER:
         return _joined(docs, key, later)
-    shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.value): r.attempt for r in rows})
+    shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.value): (r.attempt, r.gender) for r in rows})
 
     def run(batches):
         attempts = shared.value
@@ -268,36 +328,37 @@ def _result(ids, out) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array([len(f) for f, _ in out], pa.int64()), pa.array([",".join(f"{k}:{a}:{b}" for a, b, k in f) for f, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())], names=["doc_id", "n_entities", "kinds", "text"])
 
 
-def replaced(text: str | None, key: bytes, attempts: dict) -> tuple[list[tuple[int, int, str]], str | None]:
-    found = detect(text) if text else []
+def replaced(text: str | None, key: bytes, later: dict) -> tuple[list[tuple[int, int, str]], str | None]:
+    """The mentions of a text, and the text with surrogates. later: (attempt, gender) by (kind, normal form)."""
+    found = mentions(text) if text else []
     out, at = [], 0
-    for start, end, kind in found:
-        value = normal(kind, text[start:end])
-        out += [text[at:start], render(kind, text[start:end], surrogate(key, kind, value, attempts.get((kind, value), 0)))]
-        at = end
-    return found, "".join([*out, text[at:]]) if found else text
+    for _, _, _, parts in found:
+        for start, end, kind, value, _ in parts:
+            out += [text[at:start], render(kind, text[start:end], surrogate(key, kind, value, *later.get((kind, value), (0, ""))))]
+            at = end
+    return [x[:3] for x in found], "".join([*out, text[at:]]) if found else text
 
 
 def _joined(docs: DataFrame, key: bytes, later: DataFrame) -> DataFrame:
     """As pseudonymised(), where the later attempts are too many to broadcast: each document gets those of its own entities."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def mentions(batches):
+    def named(batches):
         for batch in batches:
             for part in slices(batch):
                 for o, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = sorted({(k, normal(k, t[a:b])) for a, b, k in detect(t)}) if t else []
+                    own = sorted({(k, v) for _, _, _, parts in mentions(t) for _, _, k, v, _ in parts}) if t else []
                     if own:
                         yield pa.RecordBatch.from_arrays([pa.array([o] * len(own), pa.int64()), pa.array([k for k, _ in own]), pa.array([v for _, v in own])], names=["hash", "kind", "value"])
 
     keyed = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
-    found = keyed.select("hash", "text").mapInArrow(mentions, "hash long, kind string, value string").distinct()
-    own = found.join(later, ["kind", "value"]).groupBy("hash").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("own"))
+    found = keyed.select("hash", "text").mapInArrow(named, "hash long, kind string, value string").distinct()
+    own = found.join(later, ["kind", "value"]).groupBy("hash").agg(F.collect_list(F.struct("kind", "value", "attempt", "gender")).alias("own"))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                out = [replaced(t, key, {(x["kind"], x["value"]): x["attempt"] for x in a or ()}) for t, a in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                out = [replaced(t, key, {(x["kind"], x["value"]): (x["attempt"], x["gender"]) for x in a or ()}) for t, a in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
                 yield _result(part.column(0), out)
 
     return keyed.join(own, "hash", "left").select("doc_id", "text", "own").mapInArrow(run, RESULT)
