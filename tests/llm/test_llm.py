@@ -362,6 +362,57 @@ def test_op6_bounds():
     assert quality.choose(good, bad, 0.005, 0.003) == 19 and quality.choose(good // 100, bad, 0.005, 0.003) is None
 
 
+def brute_cutoff(values, limit, level, top):
+    """The cutoff step of one stratum and rule by definition. values: (step, good)."""
+    good, bad = [v for v, g in values if g], [v for v, g in values if not g]
+    best = chosen = None
+    for step in range(top - 1, -1, -1):
+        k, term, tail = sum(v > step for v in good), (1 - limit) ** len(good), 0.0
+        for i in range(k + 1):
+            tail += term
+            term *= (len(good) - i) / (i + 1) * limit / (1 - limit)
+        if not good or (k < len(good) and tail > level) or k >= len(good):
+            break
+        gain = sum(v > step for v in bad) - k
+        if chosen is None or gain > best:
+            best, chosen = gain, step
+    return chosen
+
+
+def test_op6_cutoffs_act(spark):
+    """With enough labels the cutoffs are certified, differ by stratum, and decide as the brute-force version does."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(4500):
+        lang, good = ("en", "de", None)[i % 3], rng.random() < 0.85
+        symbols = rng.choice([0, 0, 0, 1, 2]) if good else rng.choice([0, 6, 12, 30])
+        symbols += 10 * (lang == "de" and rng.random() < 0.002)
+        words = [f"{rng.choice('abcdefg')}{k}" for k in range(60)] + ["#"] * symbols
+        words = [w.upper() if rng.random() < (0.02 if good else 0.4) else w for w in words]
+        lines = rng.choice([1, 1, 3]) if good else rng.choice([1, 8])
+        rows.append((i, " ".join(words) + "\nsame line here" * lines, lang))
+        if i % 10:
+            labels.append((i, int(good), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    of, steps = dict((d, g) for d, g, _ in labels), {}
+    for d, t, lang in rows:
+        n, chars, symbols, dups, repeated = brute_quality(t)
+        lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+        up = sum(c.isupper() for c in t)
+        steps[d] = {"symbols": min(100, 50 * symbols // n), "duplicate_lines": min(50, 50 * dups // lines), "repeated_words": min(50, 50 * repeated // n), "capitals": min(50, 50 * up // chars)}
+    failed = {d for d, t, _ in rows if (lambda q: q[0] < 50 or 100 * q[4] > 50 * q[0])(brute_quality(t))}
+    cut = {}
+    for lang in ("en", "de", None):
+        for rule, top in (("symbols", 100), ("duplicate_lines", 50), ("repeated_words", 50), ("capitals", 50)):
+            cut[lang, rule] = brute_cutoff([(steps[d][rule], of[d]) for d, _, x in rows if x == lang and d in of and d not in failed], 0.02, 0.05 / 12, top)
+    want = {d: d not in failed and not any(cut[lang, r] is not None and v > cut[lang, r] for r, v in steps[d].items()) for d, _, lang in rows}
+    got = {r.doc_id: r.kept for r in quality.judged(docs, table, "q", limit=0.02).select("doc_id", "q.kept").collect()}
+    assert got == want and cut["en", "symbols"] is not None and sum(got.values()) < len(rows) - len(failed) - 200
+    lost = [d for d, g in of.items() if g and d not in failed and not got[d]]
+    assert len(lost) < 0.08 * sum(of.values())
+
+
 def brute_near(rows, percent=85):
     sets = []
     for _, t in rows:
@@ -559,13 +610,61 @@ def test_empty(spark, tmp_path, name):
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = [(d, t) for d, t in plain(docs) if not (lambda q: q[0] < 50 or 100 * q[4] > 50 * q[0])(brute_quality(t))]
-    first = {r[0] for r in brute_near(kept) if r[3]}
-    kept = [(d, t) for d, t in kept if d in first]
-    words = {d: r for d, *r in brute_substrings(kept)}
-    left = {d for d, _ in kept if words[d][1] < words[d][0]}
-    got = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in got} == left  # too few labels here to certify a cutoff, so the base rules alone reject
+def brute_pipeline(rows):
+    """Rows (doc_id, text) of what the first four stages leave; too few labels here to certify a cutoff."""
+    rows = [(d, t) for d, t in rows if not (lambda q: q[0] < 50 or 100 * q[4] > 50 * q[0])(brute_quality(t))]
+    first = {r[0] for r in brute_near([r for r in rows if r[0] is not None]) if r[3]}
+    rows = [(d, t) for d, t in rows if d is None or d in first]
+    words = [WORD.findall(t) for _, t in rows]
+    n = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    left = []
+    for (d, t), w in zip(rows, words):
+        gone = {k for i in range(len(w) - 34) if n[tuple(w[i : i + 35])] > 1 for k in range(i, i + 35)}
+        t = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else t
+        if t:
+            left.append((d, t))
+    out = []
+    for d, t in left:
+        found = sorted((m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(secrets.RULES) for m in re.finditer(p, t, re.A) if len(m.group(g)) >= least)
+        new, at = "", 0
+        for a, _, b in found:
+            if a >= at:
+                new += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        out.append((d, new + t[at:]))
+    return out
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_pipeline(spark, docs, request, tmp_path, table):
+    """Texts, columns and token ids of every stage's output against brute force; `odd` has nulls, repeated rows and clashing names."""
+    from tokenizers import Tokenizer
+
+    df = request.getfixturevalue(table)
+    if table == "odd":
+        more = [(100 + k, t, "en", "k", 3) for k, (_, t) in enumerate(plain(docs)[:40])]
+        more += [(None, more[0][1] + " and more", None, None, None), (None, None, None, None, None), (103, more[5][1], "x", "", 0), (200, f"password = hunter2222 {'deadbeef' * 4} " + " ".join(f"w{k}" for k in range(80)), "en", "k", 1)]
+        df = spark.createDataFrame(more, df.schema).toDF("doc_id", "text", "lang", "spans", "__blob").selectExpr("*", "'x' as copy", "1 as o", "2 as node")
+        df.write.parquet(f"{tmp_path}/documents.parquet")
+        spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    sf = SF if table == "docs" else str(tmp_path)
+    want = brute_pipeline(plain(df))
+    got = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = got.columns
+        got = common.written(stage(spark, got, sf), "stage")
+        assert got.columns == columns
+    assert key(plain(got)) == key(want)
+    lib = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json"))
+    packed = corpus_pipeline.run(spark, sf).collect()
+    ids = defaultdict(list)
+    for r in sorted(packed, key=lambda r: r.start):
+        ids[r.doc_id].append(np.frombuffer(r.ids, "<u4"))
+    texts = defaultdict(list)
+    for d, t in want:
+        texts[d] += lib.encode(t, add_special_tokens=False).ids + [2]
+    assert ids.keys() == texts.keys()
+    for d in ids:
+        own = np.concatenate(ids[d]).tolist()
+        assert own == texts[d] if sum(d == x for x, _ in want) == 1 else sorted(own) == sorted(texts[d])
     assert common.parts(spark) == 8
