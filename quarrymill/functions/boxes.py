@@ -23,6 +23,22 @@ def coco_to_yolo(x, y, w, h, width, height) -> list[Column]:
     return [clamp(v, 0.0, 1.0) for v in ((x + w / 2) / width, (y + h / 2) / height, w / width, h / height)]
 
 
+def corners_to_centre(x1, y1, x2, y2, width, height) -> list[Column]:
+    """From a detector's corners, as they are: centre and size as shares of the image, not clamped."""
+    w, h = x2 - x1, y2 - y1
+    return [(x1 + w / 2) / width, (y1 + h / 2) / height, w / width, h / height]
+
+
+def detector_class(label: Column) -> Column:
+    """The class id of a detector's label, whose first is the background; never below 0."""
+    return F.greatest(label - 1, F.lit(0))
+
+
+def yolo_to_rect(cx, cy, w, h, width, height) -> list[Column]:
+    """Left, top, width and height in pixels, not clamped: what an editor draws."""
+    return [cx * width - w * width / 2, cy * height - h * height / 2, w * width, h * height]
+
+
 def rect_to_yolo(x, y, w, h, width, height) -> list[Column]:
     """From a drawn rectangle: corners are clamped first."""
     x1, y1 = clamp(x, 0.0, width), clamp(y, 0.0, height)

@@ -6,8 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-ORIENTATIONS = ("identity", "rot90", "rot180", "rot270", "flip", "flip_rot90", "flip_rot180", "flip_rot270")
-
 
 def gray(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     """Luminance of the bytes of Spark's image source (BGR or gray)."""
@@ -118,3 +116,13 @@ def _describe(image: pd.DataFrame) -> pd.DataFrame:
 def described(image: Column) -> Column:
     """Hash, sharpness and 128 x 128 gray of images as Spark's image source has them; null for unreadable ones."""
     return F.pandas_udf(_describe, "struct<hash:array<boolean>,sharpness:double,gray:array<float>>")(image)
+
+
+def least_differences(a: Column, b: Column, side: int, reach: int = 0) -> Column:
+    """difference() of gray images as arrays of side x side numbers, row by row; with reach shifted_difference()."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        picture = lambda v: np.asarray(v, float).reshape(side, side)
+        return pd.Series([shifted_difference(picture(p), picture(q), reach) if reach else difference(picture(p), picture(q)) for p, q in zip(x, y)], dtype=float)
+
+    return F.pandas_udf(run, "double")(a, b)

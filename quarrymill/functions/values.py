@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: The pattern of accepted class names and of round models.
 CLASS_NAME, ROUND_MODEL = r"^[A-Za-z0-9_\-]+$", r"_r\d+_m\d{3,4}\.pt$"
@@ -23,10 +23,6 @@ def unit(v: Column, floor: float = 1e-8) -> Column:
     return F.transform(v, lambda x: x / norm)
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(unit(a), unit(b))
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -58,7 +54,7 @@ def class_name_ok(name: Column) -> Column:
 
 def model_key(name: Column) -> Column:
     """A weights file's model: without ending, leading best_ and round."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\.pth?$", ""), "^best_", ""), r"_r\d+_m\d+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\.pth?$", ""), "^best_", ""), r"_r\d+_m\d{3,4}$", "")
 
 
 def round_name(model: Column, number: Column, score: Column) -> Column:
@@ -84,3 +80,27 @@ def hash_reason(distance: Column, a: Column, b: Column) -> Column:
 
 def cosine_reason(similarity: Column) -> Column:
     return F.format_string("cosine=%.3f", similarity)
+
+
+def least_hamming(a: Column, b: Column) -> Column:
+    """distance, a, b: the least Hamming distance between any two of two arrays of longs (a hash for each orientation) and their places,
+    the first of equals."""
+    pairs = F.flatten(F.transform(a, lambda x, i: F.transform(b, lambda y, j: F.struct(F.bit_count(x.bitwiseXOR(y)).cast("int").alias("distance"), i.alias("a"), j.alias("b")))))
+    return F.array_min(pairs)
+
+
+def promoted(is_ai: Column, edited: Column) -> Column:
+    """Whether a box counts as a prediction: not any more once a person has edited it."""
+    return F.when(F.coalesce(edited, F.lit(False)), False).otherwise(is_ai)
+
+
+def prompt(classes: DataFrame) -> DataFrame:
+    """One row, prompt: the class names in the order of their ids, joined by ", ", as zero-shot detectors take them."""
+    names = F.array_sort(F.collect_list(F.struct("cls_id", "name")))
+    return classes.agg(F.array_join(F.transform(names, lambda s: s["name"]), ", ").alias("prompt"))
+
+
+def round_text(model: Column) -> Column:
+    """round=<n> mAP=<score> of a round model's name; null if it is none."""
+    number, score = round_of(model)
+    return F.when(number.isNotNull(), F.format_string("round=%d mAP=%.3f", number, score))

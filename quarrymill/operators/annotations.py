@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.boxes import iou
-from ..functions.values import class_name_ok
-from .groups import leaders
+from ..functions.values import basename, class_name_ok, stem
+from .groups import cumulative, leaders, numbered, written
 
 
 def class_union(old: DataFrame, new: DataFrame) -> DataFrame:
-    """cls_id, name: old classes keep their ids, new names follow in the order of their first place. old: cls_id, name; new: name, ord."""
-    rows = old.select("name", F.lit(0).alias("side"), F.col("cls_id").cast("long").alias("at")).union(new.select("name", F.lit(1), F.col("ord").cast("long")))
-    first = rows.groupBy("name").agg(F.min(F.struct("side", "at")).alias("p"))
-    return first.select((F.row_number().over(Window.orderBy("p")) - 1).alias("cls_id"), "name")
+    """cls_id, name: old classes keep their ids, new names follow after the highest, in the order of their first place. old: cls_id,
+    name; new: name, ord."""
+    first = new.join(old.select("name"), "name", "left_anti").groupBy("name").agg(F.min("ord").alias("ord"))
+    after = old.agg((F.coalesce(F.max("cls_id"), F.lit(-1)) + 1).cast("long").alias("after"))
+    more = numbered(first, "place", "ord", "name").join(F.broadcast(after)).select((F.col("after") + F.col("place")).alias("cls_id"), "name")
+    return old.select(F.col("cls_id").cast("long").alias("cls_id"), "name").unionByName(more)
 
 
 def accepted(names: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,10 +45,6 @@ def mapped_predictions(predictions: DataFrame, classes: DataFrame, model_names:
     return out.join(ids, "raw_id", "left").withColumn("cls_id", F.coalesce("by_name", "by_id", F.lit(0))).withColumn("matched", F.col("by_name").isNotNull()).drop("by_name", "by_id")
 
 
-def normalised_name(name: Column, synonyms: DataFrame | None = None) -> Column:
-    return F.lower(F.trim(name))
-
-
 def known_names(names: DataFrame, vocabulary: DataFrame, synonyms: DataFrame) -> DataFrame:
     """name, standard of the names that, trimmed, in lower case and by synonym (name, standard), are in the vocabulary (name)."""
     own = names.select("name", F.lower(F.trim("name")).alias("key"))
@@ -55,27 +53,67 @@ def known_names(names: DataFrame, vocabulary: DataFrame, synonyms: DataFrame) ->
 
 
 def overlap(names: DataFrame, vocabulary: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """One row: matched, total, ratio, recommended (a match, and half of the names or more). synonyms: name, standard."""
-    own = names.select(F.lower(F.trim("name")).alias("name"))
+    """One row: matched, total, ratio, recommended (a match, and half of the names or more). Empty names don't count. synonyms: name,
+    standard."""
+    own = names.select(F.lower(F.trim("name")).alias("name")).where("name != ''")
     std = own.join(synonyms.select("name", "standard"), "name", "left").select(F.coalesce("standard", "name").alias("name"))
     hit = std.join(vocabulary.select("name", F.lit(1).alias("hit")), "name", "left")
     out = hit.agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("matched"), F.count("*").alias("total"))
     return out.withColumn("ratio", F.when(F.col("total") > 0, F.col("matched") / F.col("total")).otherwise(0.0)).withColumn("recommended", (F.col("matched") >= 1) & (F.col("ratio") >= 0.5))
 
 
-def suppressed(predictions: DataFrame, confidence: float = 0.25, threshold: float = 0.45) -> DataFrame:
+#: Boxes of an image up to which one task suppresses them; those of larger images are settled in rounds over all tasks.
+IMAGE_BOXES = 10_000
+
+
+def suppressed(predictions: DataFrame, confidence: float = 0.25, threshold: float = 0.45, most: int = IMAGE_BOXES) -> DataFrame:
     """Class-agnostic non-maximum suppression of predictions (img, x1, y1, x2, y2, conf, ord): those that stay. By falling conf (ties:
-    ord) each kept box drops later ones of its image that overlap by more than the threshold."""
-    rows = predictions.where(F.col("conf") > confidence).withColumn("id", F.struct("img", (-F.col("conf")).alias("c"), "ord"))
-    a, b = rows.alias("a"), rows.alias("b")
+    ord) each kept box drops later ones of its image that overlap by more than the threshold. One pass over the boxes, dealt and
+    sorted by image; images of more than `most` boxes are settled as leaders of a graph."""
+    rows = predictions.where(F.col("conf") > confidence)
+    large = written(rows.groupBy("img").agg(F.count("*").alias("n")).where(F.col("n") > most).select("img"))
+    few = large.limit(1_000_001).count() <= 1_000_000
+    names = rows.columns
+
+    def keep(batches):
+        import pyarrow as pa
+
+        img, kept = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("img", "x1", "y1", "x2", "y2")]
+            stays = []
+            for i, a, b, c, d in zip(*cols):
+                if i != img:
+                    img, kept = i, []
+                area = (c - a) * (d - b)
+                ok = True
+                for x1, y1, x2, y2, other in kept:
+                    w, h = min(c, x2) - max(a, x1), min(d, y2) - max(b, y1)
+                    if w > 0 and h > 0 and w * h > threshold * (area + other - w * h):
+                        ok = False
+                        break
+                if ok:
+                    kept.append((a, b, c, d, area))
+                stays.append(ok)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    small = rows.join(F.broadcast(large) if few else large, "img", "left_anti").select(*names)
+    out = small.repartition("img").sortWithinPartitions("img", F.desc("conf"), "ord").mapInArrow(keep, rows.schema)
+    if not large.limit(1).count():
+        return out
+    crowd = rows.join(F.broadcast(large) if few else large, "img", "left_semi").select(*names, F.struct("img", (-F.col("conf")).alias("c"), "ord").alias("__id"))
+    a, b = crowd.alias("a"), crowd.alias("b")
     corners = lambda t: [F.col(f"{t}.{c}") for c in ("x1", "y1", "x2", "y2")]
-    near = a.join(b, (F.col("a.img") == F.col("b.img")) & (F.col("a.id") < F.col("b.id"))).where(iou(corners("a"), corners("b")) > threshold)
-    lead = leaders(near.select(F.col("a.id").alias("i"), F.col("b.id").alias("j")), rows.select("id"))
-    return rows.join(lead.where("id = leader").select("id"), "id", "left_semi").drop("id")
+    near = a.join(b, (F.col("a.img") == F.col("b.img")) & (F.col("a.__id") < F.col("b.__id"))).where(iou(corners("a"), corners("b")) > threshold)
+    ids = numbered(crowd.select("__id"), "n", "__id")
+    edges = near.select(F.col("a.__id").alias("a"), F.col("b.__id").alias("b")).join(ids.select(F.col("__id").alias("a"), F.col("n").alias("i")), "a").join(ids.select(F.col("__id").alias("b"), F.col("n").alias("j")), "b")
+    lead = leaders(edges.select("i", "j"), ids.select(F.col("n").alias("id"))).where("id = leader")
+    stay = ids.join(lead.select(F.col("id").alias("n")), "n", "left_semi").select("__id")
+    return out.unionByName(crowd.join(stay, "__id", "left_semi").drop("__id"))
 
 
 def per_class(boxes: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls_id, name, n, share (percent) of all boxes, most frequent first."""
+    """cls_id, name, n, share (percent) of all boxes, in no order."""
     n = boxes.groupBy("cls_id").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
     named = n.join(classes, "cls_id", "left").withColumn("name", F.coalesce("name", F.format_string("class_%d", "cls_id")))
@@ -90,9 +128,82 @@ def average_precision(predictions: DataFrame, truth: DataFrame, threshold: float
     corners = lambda a: [F.col(f"{a}.{c}") for c in ("x1", "y1", "x2", "y2")]
     best = p.join(t, (F.col("p.img") == F.col("t.img")) & (F.col("p.cls_id") == F.col("t.cls_id")), "left").groupBy(*[F.col(f"p.{c}") for c in ("img", "cls_id", "ord", "conf")]).agg(F.max(F.struct(F.coalesce(iou(corners("p"), corners("t")), F.lit(0.0)).alias("iou"), (-F.col("t.ord")).alias("box"))).alias("m"))
     hit = best.withColumn("first", F.row_number().over(Window.partitionBy("img", "cls_id", "m.box").orderBy(F.desc("conf"), "ord"))).withColumn("tp", ((F.col("m.iou") >= threshold) & (F.col("first") == 1)).cast("int"))
-    w = Window.partitionBy("cls_id").orderBy(F.desc("conf"), "img", "ord")
-    curve = hit.withColumn("tps", F.sum("tp").over(w)).withColumn("k", F.row_number().over(w))
-    back = Window.partitionBy("cls_id").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)  # a running maximum from the end
-    curve = curve.withColumn("precision", F.max(F.col("tps") / F.col("k")).over(back))
+    precision = {"precision": F.col("tps") / F.col("k")}  # and its running maximum from the end
+    curve = cumulative(hit.select("cls_id", "conf", "img", "ord", "tp"), "cls_id", {"tps": F.col("tp"), "k": F.lit(1)}, precision, F.desc("conf"), F.col("img"), F.col("ord"))
     n = truth.groupBy("cls_id").agg(F.count("*").alias("n"))
     return n.join(curve.where("tp = 1").groupBy("cls_id").agg(F.sum("precision").alias("s")), "cls_id", "left").select("cls_id", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("ap"))
+
+
+def mean_average_precision(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row, map: the mean of average_precision() over the classes of the truth."""
+    return average_precision(predictions, truth, threshold).agg(F.avg("ap").alias("map"))
+
+
+#: The 80 class names of the COCO detection set, in the order of their ids, and other words for some of them.
+COCO_NAMES = """person, bicycle, car, motorcycle, airplane, bus, train, truck, boat, traffic light, fire hydrant, stop sign, parking meter,
+bench, bird, cat, dog, horse, sheep, cow, elephant, bear, zebra, giraffe, backpack, umbrella, handbag, tie, suitcase, frisbee, skis,
+snowboard, sports ball, kite, baseball bat, baseball glove, skateboard, surfboard, tennis racket, bottle, wine glass, cup, fork, knife,
+spoon, bowl, banana, apple, sandwich, orange, broccoli, carrot, hot dog, pizza, donut, cake, chair, couch, potted plant, bed,
+dining table, toilet, tv, laptop, mouse, remote, keyboard, cell phone, microwave, oven, toaster, sink, refrigerator, book, clock, vase,
+scissors, teddy bear, hair drier, toothbrush""".replace("\n", " ").split(", ")
+COCO_SYNONYMS = {
+    "people": "person", "persons": "person", "man": "person", "woman": "person", "human": "person", "bike": "bicycle",
+    "automobile": "car", "auto": "car", "lorry": "truck", "van": "car", "aeroplane": "airplane", "plane": "airplane",
+    "mobile phone": "cell phone", "telephone": "cell phone", "sofa": "couch", "tv monitor": "tv", "television": "tv", "table": "dining table",
+    "pottedplant": "potted plant", "plant": "potted plant", "sportsball": "sports ball", "ball": "sports ball", "motorbike": "motorcycle",
+    "trafficlight": "traffic light", "firehydrant": "fire hydrant", "parkingmeter": "parking meter", "tennisracket": "tennis racket",
+    "wineglass": "wine glass", "hotdog": "hot dog", "diningtable": "dining table", "cellphone": "cell phone", "hairdrier": "hair drier",
+    "hair dryer": "hair drier", "teddybear": "teddy bear",
+}
+
+
+def coco_classes(spark: SparkSession) -> DataFrame:
+    """cls_id, name of the COCO detection set."""
+    return spark.createDataFrame(list(enumerate(COCO_NAMES)), "cls_id int, name string")
+
+
+def coco_synonyms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sorted(COCO_SYNONYMS.items()), "name string, standard string")
+
+
+def unmatched_names(predictions: DataFrame) -> DataFrame:
+    """One row, names: the sorted names of model classes that mapped_predictions() found no class of the dataset for."""
+    return predictions.where("not matched and name is not null").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def best_class(predictions: DataFrame, confidence: float = 0.25) -> DataFrame:
+    """predictions with `scores` (an array, a score for each class) turned into cls_id (the first of the greatest) and conf, of those
+    whose conf is above the threshold."""
+    top = F.array_max("scores")
+    return predictions.withColumn("conf", top).withColumn("cls_id", (F.array_position("scores", top) - 1).cast("int")).where(F.col("conf") > confidence).drop("scores")
+
+
+def gated(items: DataFrame, labelled: DataFrame, key: str, assist: bool = True, compare: bool = False) -> DataFrame:
+    """key, labelled of the items that a model is asked about: unlabelled ones if assistance is on, labelled ones only to compare."""
+    rows = items.select(key).join(labelled.select(key).distinct().withColumn("labelled", F.lit(True)), key, "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
+    return rows.where(F.when(F.col("labelled"), F.lit(compare)).otherwise(F.lit(assist)))
+
+
+def tagged(predictions: DataFrame, compare: bool) -> DataFrame:
+    """predictions with is_ai: in compare mode all of them are a model's opinion, which is never saved unless edited; else none."""
+    return predictions.withColumn("is_ai", F.lit(compare))
+
+
+def unlabelled(items: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    return items.join(labels.select(key), key, "left_anti")
+
+
+def pruned_list(listed: DataFrame, removed: DataFrame, key: str = "path") -> DataFrame:
+    """A list (of images, or of those to train on) without what was removed."""
+    return listed.join(removed.select(key).distinct(), key, "left_anti")
+
+
+def quarantined(items: DataFrame, removed: DataFrame, folder: str, reason: str) -> DataFrame:
+    """path, target, label, label_target, reason for each removed item (path) that there is: where it and its label file (of the items'
+    column `label`, null: none) go. Of several of one name all but the first, by path, have _dup and a number in theirs."""
+    rows = items.join(removed.select("path").distinct(), "path", "left_semi").withColumn("name", basename(F.col("path")))
+    k = F.row_number().over(Window.partitionBy("name").orderBy("path")) - 1
+    ending = F.regexp_extract("name", r"(\.[^.]*)?$", 0)
+    unique = F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(stem(F.col("path")), F.lit("_dup"), F.when(F.col("k") > 1, F.col("k").cast("string")).otherwise(""), ending))
+    label = F.when(F.col("label").isNotNull(), F.concat(F.lit(folder + "/"), F.regexp_replace(unique, r"\.[^.]*$", ""), F.lit(".txt")))
+    return rows.withColumn("k", k).select("path", F.concat(F.lit(folder + "/"), unique).alias("target"), "label", label.alias("label_target"), F.lit(reason).alias("reason"))

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.values import dot, doubles, hamming, unit
+from ..functions.values import dot, doubles, hamming, representativeness, unit
 
 #: Bits of a band from which on an equi-join on bands makes fewer pairs than comparing all.
 LEAST_BAND = 12
@@ -36,34 +36,82 @@ def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
     return placed.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + F.col("__k")).drop("__p", "__k", "__b")
 
 
+def cumulative(rows: DataFrame, by: str, of: dict[str, Column], back: dict[str, Column], *order) -> DataFrame:
+    """rows with running sums (`of`, by name) of each value of `by` in the given order, and the greatest value of a `back` column (which
+    may use the sums) from each row on. Rows are sorted in ranges; between ranges only one row for each range and value of `by`
+    is passed on, so a value that holds most rows is no task's alone."""
+    ranged = rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    placed = written(ranged.withColumn("__p", F.spark_partition_id()).withColumn("__k", F.monotonically_increasing_id()))
+    on = Window.partitionBy("__p", by).orderBy("__k")
+    within = placed.select("*", *[F.sum(c).over(on).alias(f"__s{n}") for n, c in enumerate(of.values())])
+    total = within.groupBy("__p", by).agg(*[F.max_by(f"__s{n}", "__k").alias(f"__t{n}") for n in range(len(of))])
+    ranges = Window.partitionBy(by).orderBy("__p")
+    before = total.select("__p", by, *[(F.sum(f"__t{n}").over(ranges) - F.col(f"__t{n}")).alias(f"__b{n}") for n in range(len(of))])
+    out = placed.columns
+    summed = written(within.join(before, ["__p", by]).select(*out, *[(F.col(f"__s{n}") + F.col(f"__b{n}")).alias(name) for n, name in enumerate(of)]))
+    rest = Window.partitionBy("__p", by).orderBy(F.desc("__k"))
+    valued = summed.select("*", *[F.max(c).over(rest).alias(f"__m{n}") for n, c in enumerate(back.values())])
+    most = valued.groupBy("__p", by).agg(*[F.max(f"__m{n}").alias(f"__a{n}") for n in range(len(back))])
+    later = Window.partitionBy(by).orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, -1)
+    after = most.select("__p", by, *[F.max(f"__a{n}").over(later).alias(f"__l{n}") for n in range(len(back))])
+    cols = [F.col(c) for c in (*[c for c in out if c not in ("__p", "__k")], *of)]
+    return valued.join(after, ["__p", by]).select(*cols, *[F.greatest(f"__m{n}", f"__l{n}").alias(name) for n, name in enumerate(back)])
+
+
 def exact_groups(items: DataFrame, key: Column, order: str) -> DataFrame:
     """Items whose key occurs twice or more: gid (groups by first member), pos within the group, `order`, digest. Copies are counted
-    by digest alone; members never meet in one task as text."""
+    by digest alone; members never meet in one task as text, and places come from a sort in ranges, whatever a group's size."""
     rows = items.select(F.col(order), F.sha2(key.cast("binary"), 256).alias("digest"))
     groups = rows.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("size")).where("size > 1")
-    return rows.join(numbered(groups, "gid", "first"), "digest").withColumn("pos", F.row_number().over(Window.partitionBy("digest").orderBy(order)) - 1).select("gid", "pos", order, "digest")
+    placed = numbered(rows.join(numbered(groups, "gid", "first").select("digest", "gid"), "digest"), "__place", "gid", order)
+    start = placed.groupBy("gid").agg(F.min("__place").alias("__start"))
+    return placed.join(start, "gid").select("gid", (F.col("__place") - F.col("__start")).alias("pos"), order, "digest")
+
 
+#: Edges up to this number are settled in one task (two longs each, 32 MB with what is kept beside them).
+FEW_EDGES = 1_000_000
 
-def leaders(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+
+def leaders(edges: DataFrame, vertices: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """id, leader: each vertex in ascending order that no earlier leader claimed becomes a leader and claims its later neighbours.
 
-    edges: i < j. Equal to the lexicographically first maximal independent set; each round settles all vertices whose lower
-    neighbours are settled, and is written to the shared folder. Isolated vertices lead themselves and take no part."""
-    edges = written(edges.select("i", "j").distinct())
-    state = written(edges.select(F.col("i").alias("id")).union(edges.select(F.col("j").alias("id"))).distinct().select("id", F.lit(None).cast("boolean").alias("leads")))
-    while True:
-        low = edges.join(state.select(F.col("id").alias("i"), "leads"), "i").groupBy("j").agg(F.max(F.coalesce("leads", F.lit(False))).alias("covered"), F.max(F.col("leads").isNull()).alias("open"))
-        nxt = state.join(low, state["id"] == low["j"], "left").select("id", F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("covered"), False).when(~F.coalesce("open", F.lit(False)), True).alias("leads"))
-        state = written(nxt)
-        if not state.where("leads is null").limit(1).count():
-            break
-    owner = edges.join(state.where("leads").select(F.col("id").alias("i")), "i").groupBy("j").agg(F.min("i").alias("owner"))
-    claimed = state.join(owner, state["id"] == owner["j"], "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("owner")).alias("leader"))
+    edges: i < j. Equal to the lexicographically first maximal independent set. Each round makes leaders of the open vertices
+    without an open lower neighbour and closes them and their neighbours, in tables in the shared folder, so that only what is
+    open goes on; once at most `few` edges are open, one task settles the rest. Isolated vertices lead themselves and take no part."""
+    import pandas as pd
+
+    every = written(edges.select("i", "j").distinct())
+    kind, live, lead = every.schema["i"].dataType, every, None
+    opened = live.select(F.col("i").alias("id")).union(live.select(F.col("j").alias("id"))).distinct()
+    while live.limit(few + 1).count() > few:
+        opened = written(opened)
+        found = written(opened.join(live.select(F.col("j").alias("id")).distinct(), "id", "left_anti"))
+        lead = found if lead is None else lead.unionByName(found)
+        closed = written(live.join(found.select(F.col("id").alias("i")), "i", "left_semi").select(F.col("j").alias("id")).distinct().unionByName(found))
+        opened = opened.join(closed, "id", "left_anti")
+        for side in ("i", "j"):
+            live = live.join(closed.select(F.col("id").alias(side)), side, "left_anti")
+        live = written(live.select("i", "j"))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        covered, out = set(), []
+        after = {i: own.tolist() for i, own in pdf[pdf["i"] != pdf["j"]].groupby("i")["j"]}
+        for v in sorted(pdf[pdf["i"] == pdf["j"]]["i"].tolist()):
+            if v not in covered:
+                out.append(v)
+                covered.update(after.get(v, ()))
+        return pd.DataFrame({"id": pd.Series(out, dtype=pdf["i"].dtype)})
+
+    rest = live.select("i", "j").unionByName(opened.select(F.col("id").alias("i"), F.col("id").alias("j"))).withColumn("g", F.lit(0))
+    last = written(rest.groupBy("g").applyInPandas(settle, f"id {kind.simpleString()}"))
+    lead = last if lead is None else lead.unionByName(last)
+    owner = every.join(lead.select(F.col("id").alias("i")), "i").groupBy("j").agg(F.min("i").alias("leader"))
+    claimed = owner.join(lead.select(F.col("id").alias("j")), "j", "left_anti").withColumnRenamed("j", "id")
     return vertices.select("id").join(claimed, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
 def block_count(rows: DataFrame, size: int) -> int:
-    return max(8, -(-rows.count() // size))
+    return max(1, -(-rows.count() // size))
 
 
 def cosine_edges(vectors: DataFrame, threshold: float, size: int = 4000) -> DataFrame:
@@ -195,24 +243,76 @@ def medoids(members: DataFrame) -> DataFrame:
     return scored.groupBy("cluster").agg(F.max_by("id", F.struct("s", -F.col("id"))).alias("medoid"), F.max("s").alias("score"))
 
 
-def coreset(vectors: DataFrame, k: int) -> DataFrame:
+def coreset(vectors: DataFrame, k: int, size: int = 4000, fold: int = 32) -> DataFrame:
     """rank, id of k farthest points: the first row, then always the one farthest from all before (the first of equals). vectors: id, v
-    (unit). Each step sends one vector to all tasks and gets one row back."""
-    rows = vectors.select("id", "v", F.lit(None).cast("double").alias("d"))
-    spark, chosen = vectors.sparkSession, []
-    first = vectors.orderBy("id").select("id", "v").first()
-    while first is not None and len(chosen) < k:
-        chosen.append((len(chosen), first.id))
-        centre = F.lit(list(first.v)).cast("array<double>")
-        far = F.round(1 - dot(F.col("v"), centre), 12)
-        rows = rows.select("id", "v", F.when(F.col("d").isNull(), far).otherwise(F.least("d", far)).alias("d"))
-        if len(chosen) % 10 == 0:
-            rows = written(rows)
-        best = rows.where(~F.col("id").isin([c for _, c in chosen])).agg(F.max_by(F.struct("id", "v"), F.struct("d", -F.col("id"))).alias("x")).first().x
-        first = best
+    (unit). Rows are written once, in blocks of about `size` as matrices; each step is one pass of matrix products over them, which
+    sends the newest centres (at most `fold`) out and gets one row a block back. Every `fold` steps the distances are written."""
+    import numpy as np
+    import pyarrow as pa
+
+    spark, chosen, recent = vectors.sparkSession, [], []
+    blocks = block_count(vectors, size)
+
+    def packed(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("id")
+        v = np.stack(pdf["v"].to_list()).astype(float)
+        return pd.DataFrame({"ids": [pdf["id"].to_numpy("int64").tobytes()], "vs": [v.tobytes()], "d": [np.full(len(v), np.inf).tobytes()]})
+
+    def folded(part, centres):
+        ids, d = np.frombuffer(part["ids"], "int64"), np.frombuffer(part["d"])
+        v = np.frombuffer(part["vs"]).reshape(len(ids), -1)
+        if centres:
+            d = np.minimum(d, np.round(1 - v @ np.array(centres).T, 12).min(axis=1))
+        return ids, v, d
+
+    def farthest(centres: list, taken: list):
+        def run(batches):
+            for batch in batches:
+                for part in batch.to_pylist():
+                    ids, v, d = folded(part, centres)
+                    d = np.where(np.isin(ids, taken), -np.inf, d)
+                    at = int(np.argmax(d))
+                    if d[at] > -np.inf:
+                        yield pa.RecordBatch.from_arrays([pa.array([float(d[at])]), pa.array([int(ids[at])]), pa.array([v[at].tolist()])], names=["d", "id", "v"])
+
+        return run
+
+    def kept(centres: list):
+        def run(batches):
+            for batch in batches:
+                for part in batch.to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([part["ids"]], pa.binary()), pa.array([part["vs"]], pa.binary()), pa.array([folded(part, centres)[2].tobytes()], pa.binary())], names=["ids", "vs", "d"])
+
+        return run
+
+    table = "ids binary, vs binary, d binary"
+    rows = written(vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).groupBy("b").applyInPandas(packed, table))
+    best = vectors.select("id", "v").orderBy("id").first()
+    while best is not None and len(chosen) < k:
+        chosen.append((len(chosen), best.id))
+        recent.append(list(best.v))
+        if len(recent) == fold:
+            rows, recent = written(rows.mapInArrow(kept(recent), table)), []
+        found = rows.mapInArrow(farthest(recent, [c for _, c in chosen]), "d double, id long, v array<double>")
+        best = found.agg(F.max_by(F.struct("id", "v"), F.struct("d", -F.col("id"))).alias("x")).first().x if len(chosen) < k else None
     return spark.createDataFrame(chosen, "rank int, id long")
 
 
+def select_diverse(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """k farthest points as a report. selected: rank, id. members: id, centre (the rank of the nearest selected one), distance,
+    representativeness (1 / (1 + distance)), redundancy (mean similarity to all). metrics: one row, k, diversity (mean over the
+    selected of 1 - the greatest similarity to another; 1 where there is one). vectors: id, v (unit)."""
+    selected = coreset(vectors, k)
+    centres = written(vectors.join(selected, "id").select("rank", "v"))
+    near = nearest(vectors, centres).withColumn("representativeness", representativeness(F.col("distance")))
+    redundancy = vectors.join(mean_vector(vectors)).select("id", F.round(dot(F.col("v"), F.col("mu")), 9).alias("redundancy"))
+    other = neighbours(centres.select(F.col("rank").cast("long").alias("id"), "v"), 1)
+    metrics = centres.agg(F.count("*").alias("k")).join(other.agg(F.avg(1 - F.col("sim")).alias("m"))).select("k", F.coalesce("m", F.lit(1.0)).alias("diversity"))
+    return selected, near.join(redundancy, "id"), metrics
+
+
 def nearest(vectors: DataFrame, centres: DataFrame, most: int = 10_000) -> DataFrame:
     """id, centre (least cosine distance, the first of equals), distance. centres (rank, v) are few: checked, and broadcast."""
     if centres.limit(most + 1).count() > most:
@@ -246,6 +346,18 @@ def merges(v):
     return out
 
 
+def coreset_clusters(vectors: DataFrame, threshold: float) -> DataFrame:
+    """id, cluster (rank of the nearest): the way without a clustering, by max(2, n (1 - threshold)) farthest points."""
+    return select_diverse(vectors, max(2, int(vectors.count() * (1 - threshold))))[1].select("id", F.col("centre").alias("cluster"))
+
+
+def reclustered(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """members (cluster, id) and medoids (cluster, medoid) of a clustering at a threshold: what a cluster map is made of."""
+    members = written(average_linkage(vectors, threshold).select("cluster", "id"))
+    found = medoids(members.join(vectors.select("id", unit(doubles(F.col("v"))).alias("v")), "id"))
+    return members, found.select("cluster", "medoid")
+
+
 def average_linkage(vectors: DataFrame, threshold: float, most: int = 20_000) -> DataFrame:
     """id, cluster of agglomerative clustering with average linkage on cosine distance, merging strictly below 1 - threshold.
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import boxes as geo, values as val
 from ..operators import annotations as ann, groups, rounds
+from ..sources import files
 from ..streaming import progress as runs
 
 QUERIES: dict = {}
@@ -59,21 +60,15 @@ both("c4_confident_boxes", f"SELECT img, ord, cls_id, conf FROM ({BOXES}) b WHER
 both("c5_whole_boxes", f"SELECT img, ord FROM ({CORNERS}) b WHERE least(x2, 1.0e0) > greatest(x1, 0.0e0) AND least(y2, 1.0e0) > greatest(y1, 0.0e0)", "lineitem")
 both("c8_find", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%a%'", "part")
 both("c9_first_match", "SELECT min(p_partkey) AS first_match FROM part WHERE lower(p_name) LIKE '%a%'", "part")
-both("c14_inference_gate", "SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id WHERE CASE WHEN l.doc_id IS NULL THEN true ELSE l.quality = 0 END", "documents", "labels")
-both("d5_unlabelled", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)", "documents", "labels")
 both("d6_labelled", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)", "documents", "labels")
 both("d1_item_labels", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id", "documents", "labels")
-both("c13_d2_d3_known_annotations", f"SELECT b.img, b.ord, o.o_orderstatus, c.name FROM ({BOXES}) b JOIN orders o ON o.o_orderkey = b.img JOIN ({CLASSES}) c ON c.cls_id = b.cls_id", "lineitem", "orders", "nation")
 both("e2_boxes_per_image", f"SELECT img, count(*) AS n, round(max(conf), 6) AS best FROM ({BOXES}) b GROUP BY img", "lineitem")
 both("e12_item_stats", "SELECT count(*) AS total, count(l.doc_id) AS labelled, count(*) - count(l.doc_id) AS pending FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id", "documents", "labels")
 both("e15_epoch_means", "SELECT event_type AS run, round(avg(value), 6) AS mean_loss, count(*) AS steps FROM events GROUP BY event_type", "events")
-both("f1_round_deltas", f"SELECT round, map, round(map - lag(map) OVER (ORDER BY round), 6) AS delta FROM ({HISTORY}) h", "orders")
-both("f8_models_by_score", f"SELECT round, map, row_number() OVER (ORDER BY map DESC, round) AS place FROM ({HISTORY}) h", "orders")
 both("f10_largest_classes", f"SELECT cls_id, count(*) AS n FROM ({BOXES}) b GROUP BY cls_id ORDER BY n DESC, cls_id LIMIT 8", "lineitem")
 both("e5_totals", f"SELECT count(*) AS rounds, CAST(sum(images) AS BIGINT) AS images, round(max(map), 6) AS best FROM ({HISTORY}) h", "orders")
-both("g5_unmatched_names", f"SELECT DISTINCT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT cls_id FROM ({CLASSES}) c)", "nation")
-both("b7_history_last_wins", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) x WHERE n = 1", "orders")
-both("b12_backups_to_drop", "SELECT s_nationkey, s_suppkey FROM (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS n FROM supplier) x WHERE n > 3", "supplier")
+
+
 @query("e1_exact_duplicates", """WITH r AS (SELECT doc_id, sha256(text) AS digest FROM documents), g AS (SELECT digest, min(doc_id) AS f FROM r GROUP BY digest HAVING count(*) > 1),
 n AS (SELECT digest, row_number() OVER (ORDER BY f) - 1 AS gid FROM g)
 SELECT gid, row_number() OVER (PARTITION BY r.digest ORDER BY doc_id) - 1 AS pos, doc_id, r.digest FROM r JOIN n ON r.digest = n.digest""")
@@ -120,9 +115,9 @@ def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.mapped_predictions(view(spark, sf_dir, BOXES, "lineitem"), own, names).select("img", "ord", "cls_id", "matched")
 
 
-@query("g2_class_union", "SELECT row_number() OVER (ORDER BY place) - 1 AS cls_id, name FROM (SELECT name, min(side * 1000000000 + place) AS place FROM (SELECT r_name AS name, 0 AS side, r_regionkey AS place FROM region UNION ALL SELECT n_name, 1, n_nationkey FROM nation) GROUP BY name)")
+@query("g2_class_union", "SELECT r_regionkey * 2 AS cls_id, r_name AS name FROM region UNION ALL SELECT (SELECT max(r_regionkey) FROM region) * 2 + row_number() OVER (ORDER BY n_nationkey), n_name FROM nation WHERE n_name NOT IN (SELECT r_name FROM region)")
 def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.class_union(view(spark, sf_dir, "SELECT r_regionkey AS cls_id, r_name AS name FROM region", "region"), view(spark, sf_dir, "SELECT n_name AS name, n_nationkey AS ord FROM nation", "nation"))
+    return ann.class_union(view(spark, sf_dir, "SELECT r_regionkey * 2 AS cls_id, r_name AS name FROM region", "region"), view(spark, sf_dir, "SELECT n_name AS name, n_nationkey AS ord FROM nation", "nation"))
 
 
 @query("c2_rejected_names", "SELECT DISTINCT p_name AS name FROM part WHERE NOT (length(p_name) >= 2 AND regexp_matches(p_name, '^[A-Za-z0-9_-]+$'))")
@@ -130,11 +125,11 @@ def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.accepted(view(spark, sf_dir, "SELECT p_name AS name FROM part", "part"))[1]
 
 
-@query("e14_overlap", "SELECT count(r) AS matched, count(*) AS total, round(count(r) / count(*), 6) AS ratio, count(r) >= 1 AND count(r) / count(*) >= 0.5 AS recommended FROM (SELECT CASE WHEN n_regionkey IN (0, 2, 4) THEN 1 END AS r FROM nation)")
+@query("e14_overlap", "SELECT count(r) AS matched, count(*) AS total, round(count(r) / count(*), 6) AS ratio, count(r) >= 1 AND count(r) / count(*) >= 0.5 AS recommended FROM (SELECT CASE WHEN n_regionkey IN (0, 2, 4) THEN 1 END AS r FROM nation WHERE n_regionkey != 3)")
 def e14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = view(spark, sf_dir, "SELECT n_name AS name FROM nation", "nation")
+    names = view(spark, sf_dir, "SELECT CASE WHEN n_regionkey = 3 THEN ' ' ELSE n_name END AS name FROM nation", "nation")
     known = view(spark, sf_dir, "SELECT lower(n_name) AS name FROM nation WHERE n_regionkey IN (0, 2, 4)", "nation")
-    return ann.overlap(names, known, spark.createDataFrame([], "name string, standard string")).withColumn("ratio", F.round("ratio", 6))
+    return ann.overlap(names, known, ann.coco_synonyms(spark)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("s2_round_names", "SELECT round, 'best_m_r' || round || '_m' || lpad(CAST(CAST(round_even(map * 1000, 0) AS INT) AS VARCHAR), 4, '0') || '.pt' AS name FROM (" + HISTORY + ")")
@@ -226,16 +221,78 @@ def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.agg(F.round(F.avg(1 - F.col("sim")), 6).alias("diversity"))
 
 
-@query("e16_average_precision")
+TRUTH = "SELECT img, ord, cls_id, x1 + 0.01e0 AS x1, y1 AS y1, x2 + 0.01e0 AS x2, y2 AS y2 FROM (" + CORNERS + ") WHERE (img + ord) % 3 != 0"
+
+
+@query("e16_average_precision", f"""WITH p AS ({CORNERS}), t AS ({TRUTH}),
+o AS (SELECT p.img, p.cls_id, p.ord, p.conf, t.ord AS tord, greatest(least(p.x2, t.x2) - greatest(p.x1, t.x1), 0) * greatest(least(p.y2, t.y2) - greatest(p.y1, t.y1), 0) AS i, (p.x2 - p.x1) * (p.y2 - p.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS s
+ FROM p LEFT JOIN t ON t.img = p.img AND t.cls_id = p.cls_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY img, cls_id, ord ORDER BY coalesce(i / (s - i), 0) DESC, tord) AS n FROM o),
+h AS (SELECT *, coalesce(i / (s - i), 0) AS iou, row_number() OVER (PARTITION BY img, cls_id, tord ORDER BY conf DESC, ord) AS first FROM b WHERE n = 1),
+c AS (SELECT cls_id, CASE WHEN iou >= 0.5 AND first = 1 THEN 1 ELSE 0 END AS tp, conf, img, ord FROM h),
+k AS (SELECT cls_id, tp, sum(tp) OVER w AS tps, count(*) OVER w AS k, conf, img, ord FROM c WINDOW w AS (PARTITION BY cls_id ORDER BY conf DESC, img, ord ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT cls_id, tp, max(tps / k) OVER (PARTITION BY cls_id ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS precision FROM k)
+SELECT n.cls_id, round(coalesce(sum(m.precision) FILTER (m.tp = 1), 0) / any_value(n.n), 6) AS ap FROM (SELECT cls_id, count(*) AS n FROM t GROUP BY cls_id) n LEFT JOIN m ON m.cls_id = n.cls_id GROUP BY n.cls_id""")
 def e16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = view(spark, sf_dir, CORNERS, "lineitem")
-    return ann.average_precision(b, b.where("x1 >= 0 and y1 >= 0 and x2 <= 1 and y2 <= 1"))
+    found = ann.average_precision(view(spark, sf_dir, CORNERS, "lineitem"), view(spark, sf_dir, TRUTH, "lineitem"))
+    return found.withColumn("ap", F.round("ap", 6))
+
+
+FILES = "SELECT concat('best_m_r', s_suppkey, '_m0', 100 + s_suppkey % 900, '.pt') AS model, s_suppkey AS modified, s_nationkey FROM supplier"
+MODELS = f"SELECT round, map, concat('best_m_r', round, '_m0', 100 + round % 900, '.pt') AS model FROM ({HISTORY}) h"
 
 
-@query("f7_best_model", f"SELECT arg_max(round, map * 1000000 + round) AS model, 'history' AS source FROM ({HISTORY}) WHERE map < 0.34e0")
+@query("f7_best_model", f"SELECT arg_max(h.model, (h.map, -h.round)) AS model, 'history' AS source FROM ({MODELS}) h JOIN ({FILES}) f ON f.model = h.model WHERE f.s_nationkey < 12")
 def f7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = view(spark, sf_dir, HISTORY, "orders").select(F.col("round").alias("model"), "round", F.col("map").alias("mAP"))
-    return rounds.best_model(h, h.where("mAP < 0.34").select("model", F.col("round").alias("modified")))
+    h = view(spark, sf_dir, MODELS, "orders").select("model", "round", F.col("map").alias("mAP"))
+    return rounds.best_model(h, view(spark, sf_dir, FILES, "supplier").where("s_nationkey < 12").select("model", "modified"))
+
+
+@query("f7_f9_last_round_or_newest", f"SELECT 'last round' AS source, concat('best_m_r', max(s_suppkey) - 1, '_m0', 100 + (max(s_suppkey) - 1) % 900, '.pt') AS model FROM supplier UNION ALL SELECT 'newest', concat('best_m_r', max(s_suppkey), '_m0', 100 + max(s_suppkey) % 900, '.pt') FROM supplier")
+def f7_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = view(spark, sf_dir, FILES, "supplier").select("model", "modified")
+    none = spark.createDataFrame([], "model string, round int, mAP double")
+    last = files.orderBy(F.desc("modified")).limit(2).orderBy("modified").limit(1).select("model")
+    return rounds.best_model(none, files, last).unionByName(rounds.best_model(none, files, last.where("model = ''"))).select("source", "model")
+
+
+@query("f8_trained_models", f"SELECT model, score, row_number() OVER (ORDER BY score DESC, model) - 1 AS place FROM (SELECT f.model, coalesce(h.map, 0.0e0) AS score FROM ({FILES}) f LEFT JOIN ({MODELS}) h ON h.model = f.model)")
+def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = view(spark, sf_dir, MODELS, "orders").select("model", "round", F.col("map").alias("mAP"))
+    return rounds.trained_models(h, view(spark, sf_dir, FILES, "supplier").select("model", "modified")).select("model", "score", "place")
+
+
+@query("d12_models_on_disk", f"SELECT h.round, h.model FROM ({MODELS}) h WHERE EXISTS (SELECT 1 FROM ({FILES}) f WHERE f.model = h.model)")
+def d12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, MODELS, "orders").join(view(spark, sf_dir, FILES, "supplier").select("model"), "model", "left_semi").select("round", "model")
+
+
+@query("l12_deployed_models", f"""SELECT 'yolo' AS base, 'best round' AS source, arg_max(h.model, (h.map, -h.round)) AS model FROM ({MODELS}) h JOIN ({FILES}) f ON f.model = h.model
+UNION ALL SELECT 'ssd300', 'zero-shot', 'world.pt' UNION ALL SELECT 'ssd301', 'base', 'ssd301.pth'""")
+def l12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = view(spark, sf_dir, FILES, "supplier").select("model", "modified")
+    h = view(spark, sf_dir, MODELS, "orders").select("model", "round", F.col("map").alias("mAP"))
+    best = rounds.best_model(h, files)
+    out = [rounds.deployed_model(base, best, files, assist, "world.pt").withColumn("base", F.lit(base)) for base, assist in (("yolo", True), ("ssd300", True), ("ssd301", False))]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("base", "source", "model")
+
+
+@query("b12_backups_to_drop", "SELECT concat('m', s_suppkey, '.pt') AS model FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, concat('m', s_suppkey, '.pt')) AS n FROM supplier WHERE s_suppkey % 3 > 0) x WHERE n > 3 UNION ALL SELECT 'last.pt'")
+def b12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = "SELECT concat(CASE WHEN s_suppkey % 3 = 0 THEN 'best_' ELSE '' END, 'm', s_suppkey, '.pt') AS model, s_acctbal AS modified FROM supplier UNION ALL SELECT 'best.pt', 0.0e0 UNION ALL SELECT 'last.pt', 1e9 UNION ALL SELECT 'x.pth', 1e9"
+    return files.backups_to_drop(view(spark, sf_dir, names, "supplier"))
+
+
+@query("f1_round_deltas", f"SELECT h.round, h.map, round(h.map - (SELECT b.map FROM ({HISTORY}) b WHERE b.round < h.round ORDER BY b.round DESC LIMIT 1), 6) AS delta FROM ({HISTORY}) h")
+def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = view(spark, sf_dir, HISTORY, "orders").select("round", F.col("map").alias("mAP"))
+    return rounds.deltas(h).select("round", F.col("mAP").alias("map"), F.round("delta", 6).alias("delta"))
+
+
+@query("b7_f2_history_last_wins", "SELECT o_custkey AS round, arg_max(o_orderkey, (o_orderstatus = 'O', o_orderkey)) AS seq FROM orders GROUP BY o_custkey")
+def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "SELECT o_custkey AS round, o_orderkey AS seq, o_orderstatus AS status FROM orders", "orders")
+    return rounds.upserted(rows.where("status != 'O'"), rows.where("status = 'O'")).select("round", "seq")
 
 
 @query("s4_round_progress", "WITH c AS (SELECT DISTINCT min(doc_id) AS doc_id FROM documents GROUP BY lang, source), l AS (SELECT DISTINCT doc_id FROM labels) SELECT count(c.doc_id) AS reps_done, count(*) FILTER (c.doc_id IS NULL AND l.doc_id > 100) AS extras, (SELECT count(*) FROM c) AS target, count(c.doc_id) + count(*) FILTER (c.doc_id IS NULL AND l.doc_id > 100) AS done FROM l LEFT JOIN c ON c.doc_id = l.doc_id")
@@ -282,10 +339,7 @@ LINES = f"SELECT img, ord, CASE WHEN cls_id = 9 THEN concat('c', cls_id, ' ', cx
 
 @query("c1_parsed_lines", f"SELECT img, ord, cls_id, round(cx, 6) AS cx, round(h, 6) AS h FROM ({BOXES}) b WHERE cls_id < 8")
 def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.split(F.trim("line"), r"\s+")
-    rows = view(spark, sf_dir, LINES, "lineitem").where(F.size(t) >= 5)
-    part = lambda k, kind: t[k].try_cast(kind)
-    cells = rows.select("img", "ord", part(0, "int").alias("cls_id"), *[part(k, "double").alias(n) for k, n in enumerate(("cx", "cy", "w", "h"), 1)]).dropna()
+    cells = files.parsed_lines(view(spark, sf_dir, LINES, "lineitem"))
     return cells.select("img", "ord", "cls_id", F.round("cx", 6).alias("cx"), F.round("h", 6).alias("h"))
 
 
@@ -301,18 +355,10 @@ def a9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, CORNERS, "lineitem").select("img", "ord", *[F.round(x, 6).alias(n) for x, n in zip(cols, ("cx", "cy", "w", "h"))])
 
 
-both("b2_voc_corners", f"SELECT img, ord, CAST(floor(greatest(x1, 0.0e0) * 640) AS INT) AS xmin, CAST(floor(greatest(y1, 0.0e0) * 480) AS INT) AS ymin, CAST(floor(least(x2, 1.0e0) * 640) AS INT) AS xmax, CAST(floor(least(y2, 1.0e0) * 480) AS INT) AS ymax FROM ({CORNERS}) b", "lineitem")
-both("b5_train_list", "SELECT concat('images/', doc_id, '.jpg') AS path FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)", "documents", "labels")
-both("b9_quarantine", "SELECT d.doc_id, concat('removed/', d.doc_id) AS target, 'junk' AS reason FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l ON l.doc_id = d.doc_id", "documents", "labels")
 both("c3_sized_images", "SELECT p_partkey FROM part WHERE p_size IS NOT NULL AND p_size > 0", "part")
-both("c7_c15_reviewed_boxes", f"SELECT img, ord, conf FROM (SELECT img, ord, conf, conf <= 0.5e0 AS is_ai FROM ({BOXES}) b) q WHERE NOT is_ai", "lineitem")
-both("d12_models_on_disk", f"SELECT round, map FROM ({HISTORY}) h WHERE round IN (SELECT CAST((year(ts) - 1995) * 12 + month(ts) AS INT) FROM events) OR map < 0.34e0", "orders", "events")
-both("d16_b11_pruned_list", "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)", "documents", "labels")
 both("e6_cluster_sizes", "SELECT label, count(*) AS n, round(count(*) * 1.0e0 / sum(count(*)) OVER (), 6) AS share FROM embeddings GROUP BY label", "embeddings")
 both("e4_class_share", f"SELECT cls_id, round(count(*) * 100.0e0 / sum(count(*)) OVER (), 6) AS share FROM ({BOXES}) b GROUP BY cls_id", "lineitem")
-both("f9_newest_model", f"SELECT max(round) AS newest FROM ({HISTORY}) h", "orders")
 both("g4_model_names", "SELECT name, min(side) AS side FROM (SELECT p_brand AS name, 0 AS side FROM part UNION ALL SELECT s_name, 1 FROM supplier) x GROUP BY name", "part", "supplier")
-both("l7_best_class", f"SELECT img, cls_id, conf FROM (SELECT img, cls_id, conf, row_number() OVER (PARTITION BY img ORDER BY conf DESC, cls_id, ord) AS n FROM ({BOXES}) b) q WHERE n = 1 AND conf > 0.25e0", "lineitem")
 
 
 @query("c10_round_models", f"SELECT round, CAST(round_even(map * 1000, 0) AS INT) / 1000.0e0 AS score FROM ({HISTORY}) h")
@@ -441,3 +487,285 @@ def box_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def letterboxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = geo.undo_letterbox(F.col("x1") * 640, F.col("y1") * 640, F.lit(1280.0), F.lit(720.0))
     return view(spark, sf_dir, CORNERS, "lineitem").select("img", "ord", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+# Labels: what a model is asked, what is drawn, trained on, saved and removed
+LABELLED = "SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id"
+
+
+@query("c14_inference_gate", f"SELECT 'assist' AS mode, d.doc_id, false AS labelled FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'compare', d.doc_id, true FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels)")
+def c14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, done = view(spark, sf_dir, "SELECT doc_id FROM documents", "documents"), view(spark, sf_dir, "SELECT doc_id FROM labels", "labels")
+    modes = [ann.gated(docs, done, "doc_id", assist, not assist).withColumn("mode", F.lit(mode)) for mode, assist in (("assist", True), ("compare", False))]
+    return modes[0].unionByName(modes[1]).select("mode", "doc_id", "labelled")
+
+
+@query("d5_unlabelled", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.unlabelled(view(spark, sf_dir, "SELECT doc_id FROM documents", "documents"), view(spark, sf_dir, "SELECT doc_id FROM labels", "labels"), "doc_id")
+
+
+@query("d16_b11_pruned_list", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
+def d16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.pruned_list(view(spark, sf_dir, "SELECT doc_id FROM documents", "documents"), view(spark, sf_dir, "SELECT doc_id FROM labels WHERE toxic = 1", "labels"), "doc_id")
+
+
+@query("b9_b10_quarantine", """WITH r AS (SELECT DISTINCT d.doc_id, concat('images/', d.source, '/', d.doc_id % 50, '.jpg') AS path, d.doc_id % 50 AS name, l.toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND l.quality = 0),
+p AS (SELECT path, name, max(toxic) AS toxic FROM r GROUP BY path, name), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) - 1 AS k FROM p),
+t AS (SELECT *, concat(name, CASE WHEN k = 0 THEN '' WHEN k = 1 THEN '_dup' ELSE concat('_dup', k) END) AS stem FROM n)
+SELECT path, concat('removed/', stem, '.jpg') AS target, CASE WHEN toxic = 1 THEN concat('labels/', name, '.txt') END AS label, CASE WHEN toxic = 1 THEN concat('removed/', stem, '.txt') END AS label_target, 'junk' AS reason FROM t""")
+def b9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, f"SELECT DISTINCT concat('images/', d.source, '/', d.doc_id % 50, '.jpg') AS path, d.doc_id % 50 AS name, l.toxic, l.quality FROM documents d JOIN ({LABELLED}) l ON l.doc_id = d.doc_id", "documents", "labels")
+    items = rows.where("quality = 0").groupBy("path", "name").agg(F.max("toxic").alias("toxic")).select("path", F.when(F.col("toxic") == 1, F.concat(F.lit("labels/"), F.col("name"), F.lit(".txt"))).alias("label"))
+    return ann.quarantined(items, items.select("path"), "removed", "junk")
+
+
+@query("b5_train_list", "SELECT DISTINCT concat('images/', d.doc_id, '.jpg') AS path FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
+def b5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = view(spark, sf_dir, "SELECT doc_id, concat('images/', doc_id, '.jpg') AS path FROM documents", "documents")
+    waiting = ann.unlabelled(docs, view(spark, sf_dir, "SELECT doc_id FROM labels", "labels"), "doc_id")
+    return ann.pruned_list(docs.select("path"), waiting)
+
+
+@query("c13_d2_d3_known_annotations", f"SELECT b.img, b.ord, o.o_orderstatus AS status, c.name FROM ({BOXES}) b, orders o, ({CLASSES}) c WHERE o.o_orderkey = b.img AND c.cls_id = b.cls_id")
+def c13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = view(spark, sf_dir, BOXES, "lineitem").select(F.col("img").alias("image_id"), F.col("cls_id").alias("category_id"), "ord")
+    imgs = view(spark, sf_dir, "SELECT o_orderkey AS image_id, o_orderstatus AS status FROM orders", "orders")
+    found = ann.known_annotations(boxes, imgs, view(spark, sf_dir, CLASSES, "nation").withColumnRenamed("cls_id", "category_id"))
+    return found.select(F.col("image_id").alias("img"), "ord", "status", "name")
+
+
+@query("g5_unmatched_names", f"SELECT string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT DISTINCT n_name AS name FROM nation JOIN ({BOXES}) b ON b.cls_id = n_nationkey WHERE n_nationkey >= 8)")
+def g5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = view(spark, sf_dir, "SELECT CAST(n_nationkey AS INT) AS cls_id, n_name AS name FROM nation", "nation")
+    mapped = ann.mapped_predictions(view(spark, sf_dir, BOXES, "lineitem"), view(spark, sf_dir, CLASSES, "nation"), names)
+    return ann.unmatched_names(mapped).select(F.upper(F.array_join("names", ", ")).alias("names"))
+
+
+@query("c7_c15_saveable_boxes", f"SELECT img, ord FROM ({BOXES}) b WHERE ord % 2 = 0")
+def c7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.tagged(view(spark, sf_dir, BOXES, "lineitem"), compare=True)
+    return rows.withColumn("is_ai", val.promoted(F.col("is_ai"), F.col("ord") % 2 == 0)).where("not is_ai").select("img", "ord")
+
+
+@query("l7_best_class", f"SELECT img, ord, CAST(CASE WHEN conf >= cx AND conf >= cy THEN 0 WHEN cx >= cy THEN 1 ELSE 2 END AS INT) AS cls_id, round(greatest(conf, cx, cy), 6) AS conf FROM ({BOXES}) b WHERE greatest(conf, cx, cy) > 0.6e0")
+def l7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = view(spark, sf_dir, BOXES, "lineitem").select("img", "ord", F.array("conf", "cx", "cy").alias("scores"))
+    return ann.best_class(raw, 0.6).select("img", "ord", "cls_id", F.round("conf", 6).alias("conf"))
+
+
+SIZED = "SELECT *, CAST(640 AS INT) AS width, CAST(480 AS INT) AS height FROM (" + BOXES + ")"
+
+
+@query("b1_label_files", f"""SELECT img, concat(string_agg(concat(cls_id, ' ', printf('%.6f', (a + c) / 2 / 640), ' ', printf('%.6f', (b + d) / 2 / 480), ' ', printf('%.6f', (c - a) / 640), ' ', printf('%.6f', (d - b) / 480)), chr(10) ORDER BY ord), chr(10)) AS body
+FROM (SELECT img, ord, cls_id, conf, least(greatest(x1 * 640, 0), 640) AS a, least(greatest(y1 * 480, 0), 480) AS b, least(greatest(x2 * 640, 0), 640) AS c, least(greatest(y2 * 480, 0), 480) AS d FROM ({CORNERS}) q) z WHERE c - a >= 1 AND d - b >= 1 AND conf > 0.2e0 GROUP BY img""")
+def b1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.yolo_lines(view(spark, sf_dir, SIZED, "lineitem").withColumn("is_ai", F.col("conf") <= 0.2)).select("img", "body")
+
+
+@query("b2_voc_documents", f"SELECT img, concat('images/', img) AS place, CASE WHEN cls_id < 8 THEN (SELECT n_name FROM nation WHERE n_nationkey = cls_id) ELSE CAST(cls_id AS VARCHAR) END AS name, CAST(trunc(least(greatest(x1 * 640, 0), 640)) AS INT) AS xmin, CAST(trunc(least(greatest(y1 * 480, 0), 480)) AS INT) AS ymin, CAST(trunc(least(greatest(x2 * 640, 0), 640)) AS INT) AS xmax, CAST(trunc(least(greatest(y2 * 480, 0), 480)) AS INT) AS ymax FROM ({CORNERS}) b")
+def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = view(spark, sf_dir, SIZED, "lineitem").join(view(spark, sf_dir, CLASSES, "nation"), "cls_id", "left")
+    corners = geo.yolo_to_corners(*[F.col(c) for c in ("cx", "cy", "w", "h")], F.col("width"), F.col("height"))
+    docs = files.voc_documents(boxes.select("img", F.concat(F.col("img"), F.lit(".jpg")).alias("file_name"), "width", "height", "name", "cls_id", "ord", *[c.alias(n) for c, n in zip(corners, ("xmin", "ymin", "xmax", "ymax"))]))
+    back = docs.select("img", F.from_xml("body", f"folder string, {files.VOC}", {"rowTag": "annotation"}).alias("d")).select("img", "d.folder", "d.filename", F.explode("d.object").alias("o"))
+    corner = [F.col(f"o.bndbox.{c}").cast("int").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    return back.select("img", F.concat("folder", F.lit("/"), F.regexp_replace("filename", ".jpg$", "")).alias("place"), F.col("o.name").alias("name"), *corner)
+
+
+@query("a7b_drawn_boxes", f"SELECT img, ord, round(x1 * 640, 6) AS x, round(y1 * 480, 6) AS y, round(w * 640, 6) AS width, round(h * 480, 6) AS height FROM ({CORNERS}) b")
+def a7b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = view(spark, sf_dir, "SELECT o_orderkey AS img, CAST(640 AS INT) AS width, CAST(480 AS INT) AS height FROM orders UNION SELECT l_orderkey, 640, 480 FROM lineitem", "orders", "lineitem")
+    boxes, _ = files.drawn(view(spark, sf_dir, BOXES, "lineitem"), sizes, view(spark, sf_dir, CLASSES, "nation"))
+    return boxes.select("img", "ord", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
+
+
+@query("a7b_placeholder_classes", f"SELECT cls_id, name FROM ({CLASSES}) c UNION ALL SELECT CAST(i AS INT), concat('class_', i) FROM (SELECT unnest(range(8, (SELECT max(l_suppkey % 10) FROM lineitem) + 1)) AS i)")
+def a7b_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = view(spark, sf_dir, "SELECT o_orderkey AS img, 640 AS width, 480 AS height FROM orders", "orders")
+    return files.drawn(view(spark, sf_dir, BOXES, "lineitem"), sizes, view(spark, sf_dir, CLASSES, "nation"))[1]
+
+
+@query("a7c_training_boxes", f"SELECT img, ord, cls_id + 1 AS label, round(greatest(x1, 0) * 640, 6) AS x1, round(greatest(y1, 0) * 480, 6) AS y1, round(least(x2, 1) * 640, 6) AS x2, round(least(y2, 1) * 480, 6) AS y2 FROM ({CORNERS}) b WHERE least(x2, 1) > greatest(x1, 0) AND least(y2, 1) > greatest(y1, 0)")
+def a7c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = view(spark, sf_dir, "SELECT DISTINCT l_orderkey AS img, 640 AS width, 480 AS height FROM lineitem", "lineitem")
+    out = files.training_boxes(view(spark, sf_dir, BOXES, "lineitem"), sizes)
+    return out.select("img", "ord", "label", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query("a7d_class_counts", f"SELECT cls_id, count(*) AS n FROM ({BOXES}) b WHERE cls_id < 8 GROUP BY cls_id")
+def a7d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.class_counts(view(spark, sf_dir, LINES, "lineitem"))
+
+
+@query("a8_a9_imported_labels", f"""WITH a AS (SELECT img, ord, cx, cy, w, h, concat('c', cls_id) AS name FROM ({BOXES}) b WHERE cls_id != 9),
+c AS (SELECT 'c3' AS name, 0 AS cls_id UNION ALL SELECT 'c5', 4 UNION ALL SELECT name, 4 + row_number() OVER (ORDER BY f, name) FROM (SELECT name, min(ord) AS f FROM a WHERE name NOT IN ('c3', 'c5') GROUP BY name))
+SELECT concat('i', img) AS img, string_agg(concat(c.cls_id, ' ', printf('%.6f', cx), ' ', printf('%.6f', cy), ' ', printf('%.6f', w), ' ', printf('%.6f', h)), chr(10) ORDER BY ord) || chr(10) AS body FROM a JOIN c ON c.name = a.name GROUP BY img""")
+def a8_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, BOXES, "lineitem").select(F.concat(F.lit("d/i"), F.col("img"), F.lit(".jpg")).alias("file_name"), "ord", "cx", "cy", "w", "h", F.when(F.col("cls_id") == 9, "c 9").otherwise(F.concat(F.lit("c"), "cls_id")).alias("name"))
+    return files.imported(rows, spark.createDataFrame([(0, "c3"), (4, "c5")], "cls_id int, name string"), whitelist=True)[0]
+
+
+@query("detector_boxes", f"SELECT img, ord, greatest(cls_id - 1, 0) AS cls_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(w, 6) AS w, round(h, 6) AS h FROM ({BOXES}) b")
+def detector_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = [F.col("x1") * 640, F.col("y1") * 480, F.col("x2") * 640, F.col("y2") * 480]
+    cells = geo.corners_to_centre(*c, F.lit(640.0), F.lit(480.0))
+    return view(spark, sf_dir, CORNERS, "lineitem").select("img", "ord", geo.detector_class(F.col("cls_id")).alias("cls_id"), *[F.round(x, 6).alias(n) for x, n in zip(cells, ("cx", "cy", "w", "h"))])
+
+
+@query("nudged_boxes", f"""SELECT img, ord, round(CASE WHEN l <= least(r, t, b) THEN x - 2 ELSE x END, 6) AS x, round(CASE WHEN t <= b AND t < least(l, r) THEN y - 2 ELSE y END, 6) AS y, round(CASE WHEN least(l, r) <= least(t, b) THEN w + 2 ELSE w END, 6) AS w
+FROM (SELECT img, ord, x1 * 640 AS x, y1 * 480 AS y, w * 640 AS w, abs(320 - x1 * 640) AS l, abs(320 - (x1 * 640 + w * 640)) AS r, abs(240 - y1 * 480) AS t, abs(240 - (y1 * 480 + h * 480)) AS b FROM ({CORNERS}) q) z""")
+def nudged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = [F.col("x1") * 640, F.col("y1") * 480, F.col("w") * 640, F.col("h") * 480]
+    x, y, w, _ = geo.nudged(*r, F.lit(320.0), F.lit(240.0))
+    return view(spark, sf_dir, CORNERS, "lineitem").select("img", "ord", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(w, 6).alias("w"))
+
+
+# Hashes and pixels of 8 x 8 pictures in eight orientations
+def turns() -> list[list[int]]:
+    """For each orientation of an 8 x 8 picture, as functions.pixels.dihedral() gives them, the place that each cell's value is from."""
+    import numpy as np
+
+    from ..functions.pixels import dihedral
+
+    return [x.ravel().tolist() for x in dihedral(np.arange(64).reshape(8, 8))]
+
+
+def sql_turns() -> str:
+    """The same by definition: rot90 (counterclockwise) takes cell (r, c) from (c, 7 - r); a flip takes it from (r, 7 - c) first."""
+    out = []
+    for flip in (False, True):
+        for k in range(4):
+            cells = []
+            for r in range(8):
+                for c in range(8):
+                    a, b = r, c
+                    for _ in range(k):
+                        a, b = b, 7 - a
+                    cells.append(a * 8 + (7 - b if flip else b) + 1)
+            out.append(f"[{', '.join(f'g[{x}]' for x in cells)}]")
+    return "[" + ", ".join(out) + "]"
+
+
+GRIDS = f"SELECT vec_id AS id, list_transform(embedding, lambda x: {GRID}) AS g FROM embeddings"
+
+
+@query("d8_least_hamming", f"""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS g FROM embeddings), t AS (SELECT id, {sql_turns()} AS o FROM e),
+p AS (SELECT a.id AS i, b.id AS j, a.o AS oa, b.o AS ob FROM t a JOIN t b ON b.id = a.id + 1),
+x AS (SELECT i, j, ka - 1 AS a, kb - 1 AS b, len(list_filter(list_zip(oa[ka], ob[kb]), lambda p: p[1] != p[2])) AS distance FROM p, range(1, 9) AS r(ka), range(1, 9) AS s(kb)),
+n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY distance, a, b) AS n FROM x)
+SELECT i, j, distance, a, b FROM n WHERE n = 1""")
+def d8_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = F.array(*[val.sign_bits(F.array(*[F.col("embedding")[k] for k in cells])) for cells in turns()])
+    rows = view(spark, sf_dir, "SELECT vec_id AS id, embedding FROM embeddings", "embeddings").select("id", bits.alias("o"))
+    pairs = rows.select(F.col("id").alias("i"), F.col("o").alias("oa"), (F.col("id") + 1).alias("j")).join(rows.select(F.col("id").alias("j"), F.col("o").alias("ob")), "j")
+    return pairs.select("i", "j", val.least_hamming(F.col("oa"), F.col("ob")).alias("m")).select("i", "j", "m.*")
+
+
+@query("least_pixel_differences", f"""WITH e AS ({GRIDS}), t AS (SELECT id, g, {sql_turns()} AS o FROM e),
+p AS (SELECT a.id AS i, b.id AS j, a.g, b.o FROM t a JOIN t b ON b.id = a.id + 1)
+SELECT i, j, round(list_min(list_transform(o, lambda q: list_avg(list_transform(list_zip(g, q), lambda z: abs(z[1] - z[2]))))), 4) AS mae FROM p""")
+def pixel_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.pixels import least_differences
+
+    rows = view(spark, sf_dir, f"SELECT vec_id AS id, transform(embedding, x -> {GRID}) AS g FROM embeddings", "embeddings")
+    pairs = rows.select(F.col("id").alias("i"), F.col("g").alias("a"), (F.col("id") + 1).alias("j")).join(rows.select(F.col("id").alias("j"), F.col("g").alias("b")), "j")
+    return pairs.select("i", "j", F.round(least_differences(F.col("a"), F.col("b"), 8), 4).alias("mae"))
+
+
+def sql_shifts() -> str:
+    """The mean difference on the overlap of g and q, 8 x 8, for each shift of up to two."""
+    out = []
+    for dy in range(-2, 3):
+        for dx in range(-2, 3):
+            cells = [(r * 8 + c + 1, (r - dy) * 8 + c - dx + 1) for r in range(max(0, dy), 8 + min(0, dy)) for c in range(max(0, dx), 8 + min(0, dx))]
+            out.append(f"({' + '.join(f'abs(g[{a}] - q[{b}])' for a, b in cells)}) / {len(cells)}")
+    return f"least({', '.join(out)})"
+
+
+@query("least_shifted_differences", f"""WITH e AS ({GRIDS}), t AS (SELECT id, g, {sql_turns()} AS o FROM e),
+p AS (SELECT a.id AS i, a.g, unnest(b.o) AS q FROM t a JOIN t b ON b.id = a.id + 1) SELECT i, round(min({sql_shifts()}), 4) AS mae FROM p GROUP BY i""")
+def shifted_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.pixels import least_differences
+
+    rows = view(spark, sf_dir, f"SELECT vec_id AS id, transform(embedding, x -> {GRID}) AS g FROM embeddings", "embeddings")
+    pairs = rows.select(F.col("id").alias("i"), F.col("g").alias("a"), (F.col("id") + 1).alias("j")).join(rows.select(F.col("id").alias("j"), F.col("g").alias("b")), "j")
+    return pairs.select("i", F.round(least_differences(F.col("a"), F.col("b"), 8, 2), 4).alias("mae"))
+
+
+# Diversity reports and cluster maps
+CHOSEN = f"""RECURSIVE u AS ({UNIT}), r AS (SELECT 0 AS rank, min(id) AS id, [min(id)] AS chosen FROM u UNION ALL
+ SELECT r.rank + 1, x.id, list_append(r.chosen, x.id) FROM r, LATERAL (SELECT f.id FROM (SELECT a.id, min(round(1 - list_dot_product(a.v, c.v), 12)) AS d FROM u a JOIN u c ON list_contains(r.chosen, c.id) WHERE NOT list_contains(r.chosen, a.id) GROUP BY a.id) f ORDER BY d DESC, f.id LIMIT 1) x WHERE r.rank < 9)"""
+
+
+@query("m6_diverse_members", f"""WITH {CHOSEN}, d AS (SELECT a.id, r.rank AS centre, round(1 - list_dot_product(a.v, c.v), 9) AS distance FROM u a, r JOIN u c ON c.id = r.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, centre) AS n FROM d), s AS (SELECT a.id, avg(list_dot_product(a.v, b.v)) AS redundancy FROM u a CROSS JOIN u b GROUP BY a.id)
+SELECT n.id, centre, round(1 / (1 + distance), 6) AS representativeness, round(redundancy, 6) AS redundancy FROM n JOIN s ON s.id = n.id WHERE n = 1""")
+def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, members, _ = groups.select_diverse(unit(spark, sf_dir).select("id", "v"), 10)
+    return members.select("id", "centre", F.round("representativeness", 6).alias("representativeness"), F.round("redundancy", 6).alias("redundancy"))
+
+
+@query("m6_diverse_metrics", f"WITH {CHOSEN}, c AS (SELECT u.id, u.v FROM r JOIN u ON u.id = r.id) SELECT (SELECT count(*) FROM c) AS k, round(avg(1 - m), 6) AS diversity FROM (SELECT a.id, max(list_dot_product(a.v, b.v)) AS m FROM c a JOIN c b ON a.id != b.id GROUP BY a.id)")
+def m6_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.select_diverse(unit(spark, sf_dir).select("id", "v"), 10)[2].withColumn("diversity", F.round("diversity", 6))
+
+
+@query("m2_coreset_clusters")
+def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.coreset_clusters(unit(spark, sf_dir).select("id", "v"), 0.98)
+
+
+@query("m8_b6_reclustered_map")
+def m8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, found = groups.reclustered(unit(spark, sf_dir).select("id", "v"), 0.2)
+    return rounds.cluster_map(members, found)
+
+
+@query("s5_cluster_status", "SELECT label AS cluster_id, CASE WHEN label = 3 THEN 'done' ELSE 'pending' END AS status FROM embeddings GROUP BY label")
+def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds.with_status(view(spark, sf_dir, "SELECT label AS cluster_id, 'pending' AS status FROM embeddings GROUP BY label", "embeddings"), 3, "done")
+
+
+@query("e13_s4_progress_of_old_maps", "WITH c AS (SELECT label AS cluster_id, min(vec_id) AS representative FROM embeddings GROUP BY label), l AS (SELECT doc_id, to_timestamp(doc_id) AS at FROM labels) SELECT count(DISTINCT c.representative) AS reps_done, count(*) FILTER (c.representative IS NULL AND l.doc_id > 100) AS extras, (SELECT max(cluster_id) + 1 FROM c) AS target, count(DISTINCT c.representative) + count(*) FILTER (c.representative IS NULL AND l.doc_id > 100) AS done FROM l LEFT JOIN c ON c.representative = l.doc_id")
+def e13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reps = view(spark, sf_dir, "SELECT label AS cluster_id, min(vec_id) AS representative FROM embeddings GROUP BY label", "embeddings")
+    done = view(spark, sf_dir, "SELECT DISTINCT doc_id AS path, timestamp_seconds(doc_id) AS modified FROM labels", "labels")
+    made = rounds.created_at(F.lit("no time"), F.expr("timestamp_seconds(100)"))
+    return rounds.progress(reps, done, made).select("reps_done", "extras", "target", "done")
+
+
+@query("s3_created_times", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN epoch(date_trunc('second', ts)) ELSE 0 END AS made FROM events")
+def created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss') ELSE 'never' END AS text FROM events", "events")
+    return rows.select("event_id", rounds.created_at(F.col("text"), F.expr("timestamp_seconds(0)")).cast("long").alias("made"))
+
+
+@query("s1_progress_by_window", "SELECT time_bucket(INTERVAL 5 minutes, ts, TIMESTAMP '1970-01-01') AS start, event_type AS run, count(*) AS steps, round(avg(value), 6) AS mean_loss FROM events GROUP BY 1, 2")
+def s1_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "SELECT ts, event_type AS run, value AS loss FROM events", "events")
+    return runs.per_window(rows).select(F.col("window.start").alias("start"), "run", "steps", F.round("mean_loss", 6).alias("mean_loss"))
+
+
+# Names and texts
+@query("model_keys_and_rounds", "SELECT s_suppkey, concat('m', s_nationkey) AS key, concat('round=', s_suppkey, ' mAP=', printf('%.3f', (s_suppkey % 1000) / 1000.0e0)) AS told FROM supplier")
+def model_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "SELECT s_suppkey, concat('best_m', s_nationkey, '_r', s_suppkey, '_m', lpad(s_suppkey % 1000, 4, '0'), '.pt') AS name FROM supplier", "supplier")
+    return rows.select("s_suppkey", val.model_key(F.col("name")).alias("key"), val.round_text(F.col("name")).alias("told"))
+
+
+@query("reasons", "SELECT p_partkey, concat('hamming=', p_size, ' (original↔rotated_90)') AS by_hash, concat('cosine=', printf('%.3f', p_size / 61.0e0)) AS by_cosine FROM part")
+def reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "SELECT p_partkey, p_size FROM part", "part")
+    return rows.select("p_partkey", val.hash_reason(F.col("p_size"), F.lit("original"), F.lit("rotated_90")).alias("by_hash"), val.cosine_reason(F.col("p_size") / 61.0).alias("by_cosine"))
+
+
+@query("zero_shot_prompt", f"SELECT string_agg(name, ', ' ORDER BY cls_id) AS prompt FROM ({CLASSES}) c")
+def zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return val.prompt(view(spark, sf_dir, CLASSES, "nation"))
+
+
+@query("l14_l4_l11_settings", """SELECT * FROM (VALUES ('transfer', 40, 10), ('recursive', 30, 0), ('scratch', 100, 0), ('mobilenet_v3', 576, 0), ('efficientnet_b0', 1280, 0), ('resnet50', 2048, 0)) AS t(name, a, b)""")
+def settings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(k, *v) for k, v in rounds.STRATEGIES.items()] + [(rounds.recommended_backend(gpu, gb), rounds.BACKENDS[rounds.recommended_backend(gpu, gb)], 0) for gpu, gb in ((False, 8), (False, 16), (True, 0))]
+    return spark.createDataFrame(rows, "name string, a int, b int")
