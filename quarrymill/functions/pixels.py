@@ -13,6 +13,34 @@ def gray(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return x[..., 0] if channels == 1 else x[..., 2] * 0.299 + x[..., 1] * 0.587 + x[..., 0] * 0.114
 
 
+def exif_orientation(data: bytes) -> int:
+    """The orientation (1-8; 1: as it is) that a JPEG's EXIF block tells, 1 where there is none."""
+    at = 2 if data[:2] == b"\xff\xd8" else len(data)
+    while at + 4 <= len(data) and data[at] == 0xFF:
+        kind, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+        if kind == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            tiff = data[at + 10 : at + 2 + size]
+            order = "little" if tiff[:2] == b"II" else "big"
+            number = lambda i, n: int.from_bytes(tiff[i : i + n], order)
+            start = number(4, 4)
+            for k in range(number(start, 2)):
+                entry = start + 2 + 12 * k
+                if number(entry, 2) == 0x0112:
+                    value = number(entry + 8, 2)
+                    return value if 1 <= value <= 8 else 1
+            return 1
+        if kind in (0xD9, 0xDA):  # the picture itself
+            return 1
+        at += 2 + size
+    return 1
+
+
+def upright(x: np.ndarray, orientation: int) -> np.ndarray:
+    """A picture turned and mirrored as its EXIF orientation asks."""
+    turned = {1: lambda: x, 2: lambda: x[:, ::-1], 3: lambda: x[::-1, ::-1], 4: lambda: x[::-1], 5: lambda: x.swapaxes(0, 1), 6: lambda: np.rot90(x, -1), 7: lambda: x.swapaxes(0, 1)[::-1, ::-1], 8: lambda: np.rot90(x)}
+    return np.ascontiguousarray(turned[orientation]())
+
+
 def resized(x: np.ndarray, side: int) -> np.ndarray:
     """Bilinear, with pixel centres aligned."""
     out = x

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +16,13 @@ from ..functions.values import dot, doubles, hamming, representativeness, unit
 LEAST_BAND = 12
 
 
+@functools.cache
+def _own_folder() -> str:
+    """A folder of this process on one machine, which goes when it ends."""
+    atexit.register(shutil.rmtree, found := tempfile.mkdtemp(prefix="quarrymill-"), ignore_errors=True)
+    return "file://" + found
+
+
 def written(df: DataFrame) -> DataFrame:
     """df by way of Parquet files in the shared folder (spark.checkpoint.dir; on one machine a temporary one)."""
     spark = df.sparkSession
@@ -20,9 +30,19 @@ def written(df: DataFrame) -> DataFrame:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.gettempdir()
+        base = _own_folder()
     df.write.parquet(path := f"{base.rstrip('/')}/quarrymill-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "written_to", None):
+            where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
@@ -82,16 +102,19 @@ def leaders(edges: DataFrame, vertices: DataFrame, few: int = FEW_EDGES) -> Data
 
     every = written(edges.select("i", "j").distinct())
     kind, live, lead = every.schema["i"].dataType, every, None
-    opened = live.select(F.col("i").alias("id")).union(live.select(F.col("j").alias("id"))).distinct()
-    while live.limit(few + 1).count() > few:
-        opened = written(opened)
+    ends = lambda some: some.select(F.col("i").alias("id")).union(some.select(F.col("j").alias("id"))).distinct()
+    many = live.limit(few + 1).count() > few
+    opened = written(ends(live)) if many else None
+    while many:
         found = written(opened.join(live.select(F.col("j").alias("id")).distinct(), "id", "left_anti"))
         lead = found if lead is None else lead.unionByName(found)
         closed = written(live.join(found.select(F.col("id").alias("i")), "i", "left_semi").select(F.col("j").alias("id")).distinct().unionByName(found))
-        opened = opened.join(closed, "id", "left_anti")
+        before, rest = (live, opened), live
         for side in ("i", "j"):
-            live = live.join(closed.select(F.col("id").alias(side)), side, "left_anti")
-        live = written(live.select("i", "j"))
+            rest = rest.join(closed.select(F.col("id").alias(side)), side, "left_anti")
+        opened, live = written(opened.join(closed, "id", "left_anti")), written(rest.select("i", "j"))
+        dropped(closed, *(t for t in before if t is not every))
+        many = live.limit(few + 1).count() > few
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         covered, out = set(), []
@@ -102,8 +125,10 @@ def leaders(edges: DataFrame, vertices: DataFrame, few: int = FEW_EDGES) -> Data
                 covered.update(after.get(v, ()))
         return pd.DataFrame({"id": pd.Series(out, dtype=pdf["i"].dtype)})
 
-    rest = live.select("i", "j").unionByName(opened.select(F.col("id").alias("i"), F.col("id").alias("j"))).withColumn("g", F.lit(0))
+    rest = live.select("i", "j").unionByName(ends(live).select(F.col("id").alias("i"), F.col("id").alias("j"))).withColumn("g", F.lit(0))
     last = written(rest.groupBy("g").applyInPandas(settle, f"id {kind.simpleString()}"))
+    if opened is not None:  # open ones that have no open neighbour left lead, too
+        lead = lead.unionByName(written(opened.join(ends(live), "id", "left_anti")))
     lead = last if lead is None else lead.unionByName(last)
     owner = every.join(lead.select(F.col("id").alias("i")), "i").groupBy("j").agg(F.min("i").alias("leader"))
     claimed = owner.join(lead.select(F.col("id").alias("j")), "j", "left_anti").withColumnRenamed("j", "id")
@@ -166,6 +191,12 @@ def neighbours(vectors: DataFrame, k: int, size: int = 4000) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
+def neighbour_leaders(vectors: DataFrame, threshold: float, k: int = 50) -> DataFrame:
+    """leaders() where a leader claims those later ones of its k nearest neighbours that reach the cosine threshold."""
+    near = neighbours(vectors, k).where((F.col("sim") >= threshold) & (F.col("i") < F.col("j")))
+    return leaders(near.select("i", "j"), vectors.select("id"))
+
+
 def band_bounds(most: int, bits: int) -> list[tuple[int, int]]:
     """(first bit, width) of most + 1 bands that together have all bits: of hashes at most `most` bits apart one is equal."""
     if not 0 <= most < bits:
@@ -225,6 +256,11 @@ def reordered(members: DataFrame, priority: Column) -> DataFrame:
     return out.withColumn("is_keeper", F.col("pos") == 0).withColumn("reason", F.when(F.col("pos") == 0, "representative").otherwise(F.col("reason")))
 
 
+def removed_count(members: DataFrame) -> DataFrame:
+    """One row, removed: how many members of groups (gid) are not the one that stays."""
+    return members.groupBy("gid").agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("removed"))
+
+
 def survivors(items: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     return items.join(removed.select(key).distinct(), key, "left_anti")
 

@@ -82,6 +82,12 @@ def e8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.survivors(docs, groups.exact_groups(docs, F.col("text"), "doc_id").where("pos > 0"), "doc_id").select("doc_id")
 
 
+@query("e8_removed_count", "SELECT CAST(count(*) - count(DISTINCT sha256(text)) AS BIGINT) AS removed FROM documents WHERE text IS NOT NULL")
+def e8_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = view(spark, sf_dir, "SELECT doc_id, text FROM documents WHERE text IS NOT NULL", "documents")
+    return groups.removed_count(groups.exact_groups(docs, F.col("text"), "doc_id"))
+
+
 @query("e3_boxes_per_class", f"SELECT b.cls_id, coalesce(c.name, 'class_' || b.cls_id) AS name, count(*) AS n, round(count(*) * 100.0e0 / (SELECT count(*) FROM lineitem), 6) AS share FROM ({BOXES}) b LEFT JOIN ({CLASSES}) c ON c.cls_id = b.cls_id GROUP BY 1, 2")
 def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ann.per_class(view(spark, sf_dir, BOXES, "lineitem"), view(spark, sf_dir, CLASSES, "nation"))
@@ -167,6 +173,12 @@ def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.leaders(groups.cosine_edges(v.select("id", "v"), 0.35), v.select("id"))
 
 
+@query("d10_neighbour_leaders", f"""WITH RECURSIVE u AS ({UNIT}), s AS (SELECT a.id AS i, b.id AS j, round(list_dot_product(a.v, b.v), 9) AS sim FROM u a JOIN u b ON a.id != b.id),
+q AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS place FROM s), e AS (SELECT i, j FROM q WHERE place <= 3 AND sim >= 0.3 AND i < j), {LEADERS}""")
+def d10_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.neighbour_leaders(unit(spark, sf_dir).select("id", "v"), 0.3, 3)
+
+
 BITS = "SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS h FROM embeddings"
 
 
@@ -206,7 +218,7 @@ MEDOIDS = f"(WITH u AS ({UNIT}), s AS (SELECT a.label AS cluster, a.id, a.v, rou
 def medoid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = unit(spark, sf_dir)
     found = groups.medoids(u.select(F.col("label").alias("cluster"), "id", "v")).select(F.col("medoid").alias("id"))
-    return groups.written(u.select("id", "v").join(F.broadcast(found), "id"))  # a row a cluster
+    return groups.written(u.select("id", "v").join(found, "id"))
 
 
 @query("d11_nearest_centre", f"WITH u AS ({UNIT}), d AS (SELECT a.id, c.id AS centre, round(1 - list_dot_product(a.v, c.v), 9) AS d FROM u a CROSS JOIN {MEDOIDS} c), m AS (SELECT id, centre, d, row_number() OVER (PARTITION BY id ORDER BY d, centre) AS n FROM d) SELECT id, centre, round(abs(d), 6) AS distance FROM m WHERE n = 1")
@@ -322,7 +334,7 @@ def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = unit(spark, sf_dir)
     chosen = groups.medoids(u.select(F.col("label").alias("cluster"), "id", "v")).select(F.col("medoid").alias("id"), "cluster")
-    out = groups.numbered(u.select("id").join(F.broadcast(chosen), "id", "left"), "place", F.col("cluster").asc_nulls_last(), F.col("id"))
+    out = groups.numbered(u.select("id").join(chosen, "id", "left"), "place", F.col("cluster").asc_nulls_last(), F.col("id"))
     return out.select("id", (F.col("place") + 1).alias("place"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.boxes import coco_to_yolo, corners_to_centre, corners_to_yolo, yolo_to_corners, yolo_to_rect
+from ..functions.pixels import exif_orientation, upright
 from ..functions.values import basename, stem
 from ..operators.annotations import accepted, class_union
 from ..operators.groups import numbered
@@ -37,13 +38,13 @@ def labels_folder(images: str) -> str:
 
 
 def images(spark: SparkSession, folder: str, extensions=EXTENSIONS, content: bool = False, recursive: bool = True, unreadable: bool = False) -> DataFrame:
-    """ord (from 0, by path), path, uri (encoded, as the image source's origin), stem, and the bytes if asked for, of the image files of
-    a folder. Files that can't be read are left out (unreadable: raise instead)."""
+    """path, uri (encoded, as the image source's origin), stem, time and length of the image files of a folder, and ord (their place by
+    path, from 0) or, if asked for, the bytes: files with their bytes are not moved to be numbered. Files that can't be read are
+    left out (unreadable: raise instead)."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreCorruptFiles", str(not unreadable).lower())
     files = reader.load(folder).where(F.lower("path").rlike(r"\.(" + "|".join(extensions) + ")$"))
-    # numbered without the bytes, which are not moved
-    order = numbered(files.select("path"), "ord", "path")
-    return files.select("path", F.col("_metadata.file_path").alias("uri"), stem(F.col("path")).alias("stem"), "modificationTime", "length", *(["content"] if content else [])).join(order, "path").select("ord", "path", "uri", "stem", "modificationTime", "length", *(["content"] if content else []))
+    columns = ["path", F.col("_metadata.file_path").alias("uri"), stem(F.col("path")).alias("stem"), "modificationTime", "length"]
+    return files.select(*columns, "content") if content else numbered(files.select(*columns), "ord", "path")
 
 
 def weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +67,27 @@ def pixels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("image").option("recursiveFileLookup", "true").load(folder).select("image.*")
 
 
+def upright_pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """pixels(), turned and mirrored as the files' EXIF orientation asks; those without one, or that can't be read, as they are."""
+    heads = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("_metadata.file_path").alias("uri"), F.substring("content", 1, 1 << 16).alias("head"))
+    decoded = pixels(spark, folder)
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.-]*:)/+", "$1/")
+    told = heads.select(plain("uri").alias("__uri"), F.pandas_udf(lambda s: s.map(lambda b: exif_orientation(bytes(b))).astype("int32"), "int")("head").alias("__o")).where("__o > 1")
+
+    def turn(parts):
+        import numpy as np
+
+        for pdf in parts:
+            for k, o in zip(pdf.index, pdf.pop("__o")):
+                if o == o and o and pdf.at[k, "height"] > 0:
+                    h, w, c = (int(pdf.at[k, x]) for x in ("height", "width", "nChannels"))
+                    x = upright(np.frombuffer(pdf.at[k, "data"], np.uint8).reshape(h, w, c), int(o))
+                    pdf.at[k, "data"], pdf.at[k, "height"], pdf.at[k, "width"] = x.tobytes(), x.shape[0], x.shape[1]
+            yield pdf
+
+    return decoded.withColumn("__uri", plain("origin")).join(told, "__uri", "left").drop("__uri").mapInPandas(turn, decoded.schema)
+
+
 def label_lines(spark: SparkSession, folder: str) -> DataFrame:
     """img, ord, line of label files."""
     return spark.read.option("wholetext", "true").text(folder).select(stem(F.col("_metadata.file_path")).alias("img"), F.posexplode(F.split("value", r"\r?\n")).alias("ord", "line"))

@@ -68,6 +68,37 @@ def test_pictures(spark, tmp_path):
     assert pixels.sharpness(np.full((9, 9), 7.0)) == 0 and len(pixels.wide_hash(x)[0]) == 256
 
 
+def test_exif(spark, tmp_path):
+    """A JPEG made by the JVM, with an EXIF block put in, for each orientation and byte order."""
+    x = np.zeros((16, 32), np.uint8)
+    x[:8, :16] = 255  # the bright quarter is at the top left
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(32, 16, jvm.java.awt.image.BufferedImage.TYPE_BYTE_GRAY)
+    for r in range(8):
+        for c in range(16):
+            picture.setRGB(c, r, 0xFFFFFF)
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(f"{tmp_path}/plain.jpg"))
+    plain = (tmp_path / "plain.jpg").read_bytes()
+    corners = {1: (0, 0), 2: (0, 1), 3: (1, 1), 4: (1, 0), 5: (0, 0), 6: (0, 1), 7: (1, 1), 8: (1, 0)}
+    for o in range(1, 9):
+        for mark, end in ((b"II", "<"), (b"MM", ">")):
+            tiff = mark + struct.pack(end + "HIH", 42, 8, 2) + struct.pack(end + "HHIHH", 0x010F, 3, 1, 1, 0) + struct.pack(end + "HHIHH", 0x0112, 3, 1, o, 0) + bytes(4)
+            block = b"Exif\0\0" + tiff
+            data = plain[:2] + b"\xff\xe1" + struct.pack(">H", len(block) + 2) + block + plain[2:]
+            assert pixels.exif_orientation(data) == o
+        (tmp_path / f"o{o}.jpg").write_bytes(data)
+    assert pixels.exif_orientation(plain) == pixels.exif_orientation(b"") == pixels.exif_orientation(b"\x89PNG") == 1
+    (tmp_path / "bad.jpg").write_bytes(b"no")
+    got = {r.origin.rsplit("/", 1)[1][:-4]: r for r in files.upright_pixels(spark, str(tmp_path)).collect()}
+    assert got["bad"].height == -1 and len(got) == 10
+    for o, (down, right) in corners.items():
+        r = got[f"o{o}"]
+        y = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)[..., 0]
+        assert (r.height, r.width) == ((16, 32) if o < 5 else (32, 16))
+        half = y[: r.height // 2] if not down else y[r.height // 2 :]
+        assert (half[:, : r.width // 2] if not right else half[:, r.width // 2 :]).mean() > 200 and y.mean() < 80
+
+
 def test_scan(spark, tmp_path):
     rng = np.random.default_rng(4)
     picture = lambda high: np.kron(rng.integers(0, high, (16, 16)), np.ones((8, 8)))
