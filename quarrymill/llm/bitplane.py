@@ -211,7 +211,7 @@ def write_ids(docs: DataFrame, folder: str, vocab: str, end_id: int = 0, block:
             yield ended()
 
     # rows of one doc_id are dealt by how their texts begin, so that any number of them can be spread, and stay in order
-    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64)]
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 16)]
     dealt = documents(docs).repartitionByRange(parts(spark), *order).sortWithinPartitions(order[0], "text")
     return dealt.mapInArrow(run, "path string, n_ids long, n_docs long")
 

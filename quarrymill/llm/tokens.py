@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,10 @@ import pyarrow as pa
 from .common import set_env, trim
 
 #: Bytes of the pieces that a worker keeps, about.
-CACHE = 200 << 20
+CACHE = 256 << 20
 _MARKS = ".,;:!?"
+#: Of pieces joined by spaces: an empty one, or one that ends in white space or begins with other than a line feed and a letter.
+_TOUCHING = re.compile(r"\s | [^\S\n]|\n\s")
 
 
 def vocabulary(name: str) -> str:
@@ -72,7 +75,7 @@ class ByteEncoder:
                         self.known.update(zip(group, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
         for p, stem in ends.items():
             self.known[p] = self.known[stem] + self.mark[p[-1]]
-        self.held += sum(190 + 2 * len(p) + len(self.known[p]) for own in (new, ends) for p in own)
+        self.held += sum(190 * len(own) + 6 * sum(map(len, own)) for own in (new, ends))  # the ids have up to 4 bytes a letter, mostly
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known, out, open_, new, whole = self.known, [b""] * len(texts), [], set(), []
@@ -87,19 +90,19 @@ class ByteEncoder:
                 continue
             pieces = text.replace("\n", " \n").split(" ")
             got = list(map(known.get, pieces))  # hashed and looked up once
-            if None in got:
-                unseen = {p for p, ids in zip(pieces, got) if ids is None}
-                if "" in unseen or any(p[-1].isspace() or p[0].isspace() and (p[0] != "\n" or p[1].isspace()) for p in unseen):
+            unseen = [p for p, ids in zip(pieces, got) if ids is None]
+            if unseen:
+                if _TOUCHING.search(f" {' '.join(unseen)} "):
                     whole.append(i)
                     continue
-                new |= unseen
-            open_.append((i, pieces, got))
+                new.update(unseen)
+            open_.append((i, pieces, got, unseen))
         if new:
             self._learn(list(new))
         if open_:
-            for (i, pieces, got), first in zip(open_, self._encode([p[0] for _, p, _ in open_])):
+            for (i, pieces, got, unseen), first in zip(open_, self._encode([p[0] for _, p, _, _ in open_])):
                 got[0] = first
-                out[i] = b"".join([known[p] if ids is None else ids for p, ids in zip(pieces, got)] if None in got else got)
+                out[i] = b"".join([known[p] if ids is None else ids for p, ids in zip(pieces, got)] if unseen else got)
         for at in range(0, len(whole), 256):
             for i, ids in zip(whole[at : at + 256], self._encode([texts[i] for i in whole[at : at + 256]])):
                 out[i] = ids
