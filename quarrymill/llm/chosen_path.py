@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import GOLD, WordHashes, dropped, keep_ids, kept_in_worker, light, mix, written
+from .common import GOLD, WordHashes, dropped, keep_ids, kept_in_worker, mix, written
 from .tokens import slices
 
 #: Minwise values of a signature, trees, levels, documents of a node that is compared exhaustively, and the least share of equal
@@ -105,7 +105,7 @@ def _children(rows: DataFrame, trees: int, threshold: float, root: bool) -> Data
 def _counted(rows: DataFrame) -> DataFrame:
     """Rows of nodes with two members or more: node, rep, n (members) and low (the least)."""
     size = written(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1"), "sizes")
-    out = written(rows.join(light(size), "node"), "nodes")
+    out = written(rows.join(size, "node"), "nodes")
     dropped(size, release=False)
     return out
 
@@ -186,14 +186,16 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of all ends of links (a, b), by alternating large-star and small-star steps (Kiveris et al.
     2014): each node's neighbours are tied to the least of them, until nothing changes. Every step is an aggregation and a join
     on the node, and each round's edges are written to the shared folder."""
+    # the least neighbours are written before they are joined, so that a join's sides are plain shuffles, of which Spark can split the
+    # partitions of hot nodes
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         first = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.join(light(first), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(first, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large, "large")
         second = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        tied = large.join(light(second), "u")
+        tied = large.join(second, "u")
         small = written(tied.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct(), "small")
         same = edges.count() == small.count() and not small.join(edges, ["u", "v"], "left_anti").limit(1).count()
         dropped(edges, first, large, second, release=False)
@@ -240,7 +242,7 @@ def _to_centre(dense: DataFrame, sig: DataFrame) -> DataFrame:
     some = written(some, "usual")
     near = written(rows.join(some, "node").select("node", "rep", agreement("sig", "usual").alias("share")), "near")
     centre = written(near.groupBy("node").agg(F.max_by("rep", F.struct("share", -F.col("rep"))).alias("centre")), "centres")
-    out = written(near.join(light(centre), "node").where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")), "star")
+    out = written(near.join(centre, "node").where("rep != centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")), "star")
     dropped(rows, some, near, centre, release=False)
     return out
 
@@ -303,7 +305,7 @@ def _of_dense(rows: DataFrame, docs: DataFrame, small: int, percent: int) -> Dat
         return None
     most = dense.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.sum("c").alias("size"), F.max("c").alias("c"))
     most = written(most.select("node", "main", F.ceil(F.col("size") / BLOCK).alias("bi"), F.ceil((F.col("size") - F.col("c")) / BLOCK).alias("bj")), "groups")
-    members = written(dense.join(light(most), "node").select("node", "rep", "comp", F.col("comp") != F.col("main"), "bi", "bj").toDF("node", "rep", "comp", "rest", "bi", "bj"), "dense")
+    members = written(dense.join(most, "node").select("node", "rep", "comp", F.col("comp") != F.col("main"), "bi", "bj").toDF("node", "rep", "comp", "rest", "bi", "bj"), "dense")
     own = F.struct("rep", "comp")
     # a group (node, i, j): members of block i, and of block j of those that are not in the largest component
     left = members.select("node", F.pmod(F.xxhash64("rep"), "bi").alias("i"), F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("j"), F.lit(True).alias("all"), own.alias("m"))

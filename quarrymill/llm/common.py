@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SPACES = b"\t\n\x0b\x0c\r "
 #: A filter side of at most this many (long id) rows may be broadcast: 16 bytes each, 16 MB. Larger ones are shuffled.
 BROADCAST_IDS = 1_000_000
-#: A written table of a few longs may be broadcast up to so many rows: 8 MB.
-LIGHT = 250_000
 #: Bytes of a batch that goes to a Python worker, about.
 BATCH_BYTES = 4 << 20
 
@@ -71,12 +69,6 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, most: int = BROADCAST_IDS)
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
-def light(table: DataFrame, most: int = LIGHT) -> DataFrame:
-    """A written table of a few numbers a row, to be joined: broadcast if a count shows that it has few rows; else as it is, so that
-    both sides of the join are plain shuffles, of which Spark can split the partitions of hot keys."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
-
-
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and text ('' for null), and no other column but those asked for: extra columns can't clash."""
     small_batches(docs.sparkSession)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from .common import set_env, trim
 
 #: Bytes of the pieces that a worker keeps, about.
-CACHE = 256 << 20
+CACHE = 160 << 20
 _MARKS = ".,;:!?"
 #: Of pieces joined by spaces: an empty one, or one that ends in white space or begins with other than a line feed and a letter.
 _TOUCHING = re.compile(r"\s | [^\S\n]|\n\s")
@@ -39,8 +39,8 @@ class ByteEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        how = json.loads(self.library.to_str())
-        if how["normalizer"] or how["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+        how = json.loads(self.library.pre_tokenizer.__getstate__()) if self.library.pre_tokenizer else None
+        if self.library.normalizer or how != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             raise ValueError("a byte-level BPE file without a normalizer is needed")
         self.special = tuple({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
         self.most, self.known, self.held = cache, {}, 0
@@ -50,6 +50,8 @@ class ByteEncoder:
         self.spaced[[i for t, i in letters if t.startswith("Ġ")]] = True
         self.line = np.zeros_like(self.spaced)
         self.line[[i for t, i in letters if t.startswith("Ċ")]] = True
+        del letters
+        trim()
 
     def _encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
