@@ -68,15 +68,16 @@ class Model:
 
 
 def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 400, rate: float = 0.05, decay: float | None = None, beta: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk, by Adam on the whole sample. rows: the features of each document. decay:
-    of weights; by default 1 / (rows of P), a normal prior of unit variance."""
+    """Weights and bias that minimise the non-negative risk, by Adam on the whole sample: the mean over the second half of the steps,
+    since those that undo swing about the bound. rows: the features of each document. decay: of weights; by default 1 / (rows of
+    P), a normal prior of unit variance."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows).astype(np.int64) if len(at) else np.zeros(0, np.int64)
     p, u = positive, ~positive
     n_p, n_u = max(1, p.sum()), max(1, u.sum())
     decay = 1 / n_p if decay is None else decay
     w, b = np.zeros(n_features), np.log(prior / (1 - prior))
-    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    m, v, mean, late = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1), steps - steps // 2
     for t in range(1, steps + 1):
         z = b + np.bincount(at, w[col], len(rows))
         s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -88,7 +89,9 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: f
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+        if t > steps - late:
+            mean += np.append(w, b) / late
+    return mean[:-1], float(mean[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES, prior: float | None = None) -> Model:
