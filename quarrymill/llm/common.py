@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SPACES = b"\t\n\x0b\x0c\r "
 #: A filter side of at most this many (long id) rows may be broadcast: 16 bytes each, 16 MB. Larger ones are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Bytes of a batch that goes to a Python worker, about.
-BATCH_BYTES = 4 << 20
+#: Bytes of a batch that goes to a Python worker, about, and rows of a batch that is read from Parquet.
+BATCH_BYTES, READ_ROWS = 2 << 20, 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +36,11 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what Spark hands to a Python worker at once by bytes, so that batches of long texts take no more memory. A session
-    setting; one that is already lower stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int("".join(c for c in spark.conf.get(name, "2147483647") if c.isdigit()) or 0) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    """Bounds what Spark hands to a Python worker at once by bytes, and the rows that it reads from Parquet at once, so that batches
+    of long texts take no more memory. Session settings; ones that are already lower stay."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if int("".join(c for c in spark.conf.get(name, "2147483647") if c.isdigit()) or 0) > most:
+            spark.conf.set(name, str(most))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -155,7 +155,7 @@ def dropped(*tables: DataFrame, release: bool = True) -> None:
 class WordHashes:
     """64-bit hashes of words: two independent streams, remembered for words seen before."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 150_000):
         import xxhash
 
         self.of = Bounded(xxhash.xxh3_64_intdigest, most)
