@@ -141,6 +141,12 @@ def kept_in_worker(make, *args):
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Frees what kept_in_worker() keeps, in a task of a stage that needs none of it: workers live on between stages."""
+    _KEPT.clear()
+    trim()
+
+
 def dropped(*tables: DataFrame, release: bool = True) -> None:
     """Deletes the folders of tables that written() made, which nothing reads any more; with release, frees what made them, too
     (a garbage collection on the driver, worth it for large ones)."""
