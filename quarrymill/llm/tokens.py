@@ -11,7 +11,7 @@ import pyarrow as pa
 from .common import set_env, trim
 
 #: Bytes of the pieces that a worker keeps, about.
-CACHE = 128 << 20
+CACHE = 200 << 20
 _MARKS = ".,;:!?"
 #: Of pieces joined by spaces: an empty one, or one that ends in white space or begins with other than a line feed and a letter.
 _TOUCHING = re.compile(r"\s | [^\S\n]|\n\s")
