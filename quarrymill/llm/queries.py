@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bitplane, chosen_path, fingerprints, lexicon, packing, quality, secrets, substrings, surrogates, toxicity
+from . import bitplane, chosen_path, fingerprints, interactions, lexicon, lines, packing, quality, runs, secrets, substrings, surrogates, toxicity
 
 
 #: For tests and examples alone: set spark.quarrymill.surrogates.key to a secret.
@@ -59,5 +59,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_best_fit_packing, op4_secret_scan, op5_pii_surrogates, op6_quality_rules, op7_minhash_near_dedup, op8_token_files, op9_bpe_lexicon, op10_fingerprints)}
-ORACLES = {"op2_substring_dedup": substrings.ORACLE, "op4_secret_scan": secrets.ORACLE, "op7_minhash_near_dedup": chosen_path.ORACLE}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_best_fit_packing, op4_secret_scan, op5_pii_surrogates, op6_quality_rules, op7_minhash_near_dedup, op8_token_files, op9_bpe_lexicon, op10_fingerprints, op11_periodic_runs, op12_line_dedup, op13_filter_interactions)}
+ORACLES = {"op2_substring_dedup": substrings.ORACLE, "op4_secret_scan": secrets.ORACLE, "op7_minhash_near_dedup": chosen_path.ORACLE, "op12_line_dedup": lines.ORACLE, "op13_filter_interactions": interactions.ORACLE}
