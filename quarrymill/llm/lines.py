@@ -2,8 +2,9 @@
 
 Lines are normalised, hashed to 128 bits, and the distinct documents of each hash are counted. A document sends each of its keys
 once, with the place where it first has it. Keys over the threshold are written, and joined with the places; the places come back
-to their documents, which drop those lines and the equal ones. Only hashes, ids and places are moved, and the texts of documents
-that lose a line.
+to their documents, which drop those lines and the equal ones. The joins are merges of plain tables at every size, so that what is
+moved grows as the input does: a text once, a line by its hashes, ids and place; and Spark can split a line that very many
+documents hold.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import BROADCAST_IDS, dropped, small_batches, written
+from .common import dropped, small_batches, written
 from .tokens import slices
 
 _TAIL = re.compile(rb"[\x80-\xbf]")
@@ -81,10 +82,9 @@ def line_dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> D
     rows = _rows(docs)
     found = written(keys(rows, least_chars), "line-keys")
     shared = written(shared_keys(found, least_docs), "shared-lines")
-    gone = found.join(shared, ["a", "b"]).where("doc != last")
+    gone = found.join(shared.hint("merge"), ["a", "b"]).where("doc != last")
     places = written(gone.groupBy("o").agg(F.sort_array(F.collect_set("at")).alias("places")), "line-places")
     dropped(found, shared)
-    few = places.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
     def run(batches):
         for batch in batches:
@@ -100,12 +100,7 @@ def line_dedup(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> D
                         col.append(x)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary()).cast(pa.string())], names=OUT.names)
 
-    none = F.lit(None).cast(places.schema["places"].dataType).alias("places")
-    if few:  # only texts that lose a line are moved
-        hit = F.broadcast(places.select("o"))
-        marked = rows.join(hit, "o", "left_semi").join(places, "o").select("doc", "text", "places").unionByName(rows.join(hit, "o", "left_anti").select("doc", "text", none))
-    else:
-        marked = rows.join(places, "o", "left").select("doc", "text", "places")
+    marked = rows.join(places.hint("merge"), "o", "left").select("doc", "text", "places")
     return marked.mapInArrow(run, OUT)
 
 
