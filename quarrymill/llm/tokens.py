@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
 from .common import set_env, trim
 
-#: Bytes of the pieces that a worker keeps, about.
-CACHE = 200 << 20
+#: Bytes of the pieces that a worker keeps, about, in two generations; pieces that are counted before the most frequent ones are
+#: told, and how many of these are kept apart.
+CACHE, COUNTED, FREQUENT = 128 << 20, 1_000_000, 1 << 15
 _MARKS = ".,;:!?"
+#: Letters whose runs are one word for the pre-tokenizer, whatever its Unicode version: Latin ones.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Of pieces joined by spaces: an empty one, or one that ends in white space or begins with other than a line feed and a letter.
 _TOUCHING = re.compile(r"\s | [^\S\n]|\n\s")
 
@@ -28,8 +33,10 @@ class ByteEncoder:
 
     The pre-tokenizer of a byte-level BPE file starts a new token at each space that stands between two characters which
     are not white space, and before such a line feed, and never looks behind; so a text may be cut there, and each piece (with
-    its leading space or line feed) has its ids whatever its neighbours are. Pieces are encoded by the library once and then remembered. A text in which
-    a space or line feed touches other white space, or which may hold a special token, goes to the library as a whole.
+    its leading space or line feed) has its ids whatever its neighbours are. Pieces are encoded by the library and then remembered,
+    in two generations: a piece that is met again moves to the young one, and when that is full it becomes the old one, whose
+    pieces are forgotten. The most frequent pieces are kept in a small table of their own. A text in which a space or line feed
+    touches other white space, or which may hold a special token, goes to the library as a whole.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -43,7 +50,12 @@ class ByteEncoder:
         if self.library.normalizer or how != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
             raise ValueError("a byte-level BPE file without a normalizer is needed")
         self.special = tuple({t.content[:2] for t in self.library.get_added_tokens_decoder().values()})
-        self.most, self.known, self.held = cache, {}, 0
+        self.most, self.known, self.old, self.held = cache // 2, {}, {}, 0
+        self.hot, self.counts, self.counted = {}, Counter(), 0
+        # how the library writes bytes as characters: the printable ones of Latin-1 as they are, the others from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letter = dict(zip([b for b in range(256) if b not in plain], range(256, 512)))
+        self.word = self.library.model.tokenize
         letters = sorted(self.library.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])
         self.spaced = np.zeros(self.library.get_vocab_size() + 1, bool)  # ids whose token begins with a space
         self.mark = {c: np.array(self.library.encode(c).ids, "<u4").tobytes() for c in _MARKS}
@@ -56,34 +68,55 @@ class ByteEncoder:
     def _encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
 
+    def _get(self, piece: str) -> bytes | None:
+        """The ids of a piece of either generation, which is of the young one from then on."""
+        ids = self.known.get(piece)
+        if ids is None and (ids := self.old.pop(piece, None)) is not None:
+            self._put(piece, ids)
+        return ids
+
+    def _put(self, piece: str, ids: bytes) -> None:
+        self.known[piece] = ids
+        self.held += 150 + len(piece) + len(ids)
+
     def _learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of pieces. Pieces are joined for the library: a token that begins with a space (or, among pieces that
-        begin with one, a line feed) begins a piece, since no piece holds another. A mark after a letter is a token of its own, so
-        such a piece is made of what is before and the mark."""
+        """Remembers the ids of pieces. A mark after a letter is a token of its own, so such a piece is made of what is before and
+        the mark. A run of letters is one word for the library's model; other pieces go to the whole library, joined: a token that
+        begins with a space (or, among pieces that begin with one, a line feed) begins a piece, since no piece holds another."""
         ends = {p: p[:-1] for p in pieces if p[-1] in _MARKS and len(p) > 1 and p[-2].isalpha()}
-        new = [p for p in {ends.get(p, p) for p in pieces} if p not in self.known]
-        lines = [p for p in new if p[0] == "\n"]
-        for own, before, starts in (([p for p in new if p[0] != "\n"], " ", self.spaced), (lines, "", self.line)):
+        rest, word, letter = [], self.word, self.letter
+        for p in {ends.get(p, p) for p in pieces}:
+            if self._get(p) is None:
+                if _LETTERS.fullmatch(p):
+                    own = p if p.isascii() else p.encode().decode("latin-1").translate(letter)
+                    self._put(p, array("I", [t.id for t in word("Ġ" + own)]).tobytes())
+                else:
+                    rest.append(p)
+        lines = [p for p in rest if p[0] == "\n"]
+        for own, before, starts in (([p for p in rest if p[0] != "\n"], " ", self.spaced), (lines, "", self.line)):
             groups = [own[at : at + 128] for at in range(0, len(own), 128)]
             for at in range(0, len(groups), 64):
                 found = self.library.encode_batch_fast([before + before.join(g) for g in groups[at : at + 64]], add_special_tokens=False)
                 for group, e in zip(groups[at : at + 64], found):
                     ids = np.array(e.ids, "<u4")
                     cuts = [*(4 * np.flatnonzero(starts[ids])).tolist(), 4 * len(ids)]
-                    if len(cuts) != len(group) + 1:
-                        self.known.update(zip(group, self._encode([before + p for p in group])))
-                    else:
-                        data = ids.tobytes()
-                        self.known.update(zip(group, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
+                    data = ids.tobytes()
+                    told = [data[a:b] for a, b in zip(cuts, cuts[1:])] if len(cuts) == len(group) + 1 else self._encode([before + p for p in group])
+                    for p, x in zip(group, told):
+                        self._put(p, x)
         for p, stem in ends.items():
-            self.known[p] = self.known[stem] + self.mark[p[-1]]
-        self.held += sum(190 * len(own) + 6 * sum(map(len, own)) for own in (new, ends))  # the ids have up to 4 bytes a letter, mostly
+            self._put(p, self.known[stem] + self.mark[p[-1]])
+
+    def _keep_frequent(self) -> None:
+        self.hot = {p: ids for p, _ in self.counts.most_common(FREQUENT) if len(p) < 64 and (ids := self._get(p)) is not None}
+        self.counts = None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, out, open_, new, whole = self.known, [b""] * len(texts), [], set(), []
+        if self.counts is not None and self.counted >= COUNTED:
+            self._keep_frequent()
         if self.held > self.most:
-            known.clear()
-            self.held = 0
+            self.known, self.old, self.held = {}, self.known, 0
+        hot, get, out, open_, new, whole = self.hot, self._get, [b""] * len(texts), [], set(), []
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -91,20 +124,30 @@ class ByteEncoder:
                 whole.append(i)
                 continue
             pieces = text.replace("\n", " \n").split(" ")
-            got = list(map(known.get, pieces))  # hashed and looked up once
-            unseen = [p for p, ids in zip(pieces, got) if ids is None]
+            got = list(map(hot.get, pieces))
+            if self.counts is not None:
+                self.counts.update(pieces)
+                self.counted += len(pieces)
+            unseen = []
+            for k in [k for k, ids in enumerate(got) if ids is None]:
+                got[k] = ids = get(pieces[k])
+                if ids is None:
+                    unseen.append(k)
             if unseen:
-                if _TOUCHING.search(f" {' '.join(unseen)} "):
+                if _TOUCHING.search(f" {' '.join([pieces[k] for k in unseen])} "):
                     whole.append(i)
                     continue
-                new.update(unseen)
+                new.update([pieces[k] for k in unseen])
             open_.append((i, pieces, got, unseen))
         if new:
             self._learn(list(new))
         if open_:
+            known = self.known
             for (i, pieces, got, unseen), first in zip(open_, self._encode([p[0] for _, p, _, _ in open_])):
+                for k in unseen:
+                    got[k] = known[pieces[k]]
                 got[0] = first
-                out[i] = b"".join([known[p] if ids is None else ids for p, ids in zip(pieces, got)] if unseen else got)
+                out[i] = b"".join(got)
         for at in range(0, len(whole), 256):
             for i, ids in zip(whole[at : at + 256], self._encode([texts[i] for i in whole[at : at + 256]])):
                 out[i] = ids
