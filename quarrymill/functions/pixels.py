@@ -59,7 +59,7 @@ def dihedral(x: np.ndarray) -> list[np.ndarray]:
     return [np.rot90(y, k) for y in (x, f) for k in range(4)]
 
 
-#: What oriented() gives, in its order.
+#: What oriented() gives, in its order. Reasons of duplicates hold them.
 LABELS = ("original", "rotated_90", "rotated_180", "rotated_270", "flip_vertical", "flip_horizontal", "rotated_90_flip_vertical", "rotated_90_flip_horizontal")
 
 
@@ -92,13 +92,63 @@ def perceptual_hash(x: np.ndarray, side: int = 8) -> np.ndarray:
     return (low > np.median(low)).ravel()
 
 
+def turned_hashes(x: np.ndarray, side: int = 8) -> list[np.ndarray]:
+    """perceptual_hash() of the six orientations of LABELS that don't both turn and flip, each from the picture as it is then."""
+    return [perceptual_hash(y, side) for y in oriented(x)[:6]]
+
+
+def box_blurred(x: np.ndarray, width: int) -> np.ndarray:
+    """The mean of `width` neighbours along the last axis, of which (width + 2) // 2 - 1 come after a place; at the ends of those that
+    are there."""
+    n = x.shape[-1]
+    ahead = (width + 2) // 2
+    stop = np.minimum(np.arange(n) + ahead, n)
+    start = np.maximum(np.arange(n) + ahead - width, 0)
+    sums = np.concatenate([np.zeros((*x.shape[:-1], 1)), np.cumsum(x, axis=-1, dtype=np.float64)], axis=-1)
+    return (sums[..., stop] - sums[..., start]) / (stop - start)
+
+
+def blurred_small(x: np.ndarray, side: int = 64, passes: int = 2) -> np.ndarray:
+    """side x side pixels of a gray picture: blurred by boxes twice along rows and columns (about a tent as wide as what a place stands
+    for), then taken at the middle of each place."""
+    for _ in range(passes):
+        x = box_blurred(x, -(-x.shape[1] // (2 * side)))
+        x = box_blurred(x.T, -(-x.shape[0] // (2 * side))).T
+    row, column = (((np.arange(side) + 0.5) * n / side).astype(int) for n in x.shape)
+    return x[np.ix_(row, column)]
+
+
+def wide_transform(small: np.ndarray) -> np.ndarray:
+    """Frequencies 1 to 16 of both axes of a 64 x 64 picture; what rounding leaves of a zero is none."""
+    d = cosine_transform(64)[1:17] * np.sqrt(2 / 64)
+    return np.round(d @ small @ d.T, 6)
+
+
+def wide_quality(small: np.ndarray) -> int:
+    """0 to 100: how much neighbours of a 64 x 64 picture differ, in hundredths of the range, whole ones, added up over 90."""
+    steps = sum(int(np.abs(np.trunc(np.diff(small, axis=k) * 100 / 255)).sum()) for k in (0, 1))
+    return min(100, steps // 90)
+
+
+def turned_transforms(f: np.ndarray) -> list[np.ndarray]:
+    """The transforms of the eight orientations of LABELS from that of the first: to mirror a picture changes the sign of its odd
+    frequencies along that axis, to turn it transposes and mirrors."""
+    sign = np.where(np.arange(1, len(f) + 1) % 2, -1.0, 1.0)
+    down, across, t = sign[:, None], sign[None, :], f.T
+    return [f, t * down, f * down * across, t * across, f * down, f * across, t, t * down * across]
+
+
+def wide_hashes(x: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """256 bits for each orientation of LABELS, and the quality, of a gray picture: the published PDQ steps. A bit tells whether a
+    frequency is above the median of all 256."""
+    small = blurred_small(x)
+    return [(f > np.median(f)).ravel() for f in turned_transforms(wide_transform(small))], wide_quality(small)
+
+
 def wide_hash(x: np.ndarray) -> tuple[np.ndarray, int]:
-    """256 bits and a quality of 0-100: a 64 x 64 image, frequencies 1-16 of both axes above their median; quality by gradients."""
-    y = resized(x, 64)
-    d = cosine_transform(64)[1:17]
-    f = np.round(d @ y @ d.T, 6)  # what rounding leaves of a zero is no bit
-    quality = min(100, int((np.abs(np.diff(y, axis=0)) * 100 / 255).astype(int).sum() + (np.abs(np.diff(y, axis=1)) * 100 / 255).astype(int).sum()) // 90)
-    return (f > np.median(f)).ravel(), quality
+    """The 256 bits of the picture as it is, and the quality."""
+    hashes, quality = wide_hashes(x)
+    return hashes[0], quality
 
 
 def difference(a: np.ndarray, b: np.ndarray) -> float:

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.values import dot, doubles, hamming, representativeness, unit
 
@@ -23,15 +23,20 @@ def _own_folder() -> str:
     return "file://" + found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df by way of Parquet files in the shared folder (spark.checkpoint.dir; on one machine a temporary one)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new name in the shared folder (spark.checkpoint.dir; on one machine a temporary one)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own_folder()
-    df.write.parquet(path := f"{base.rstrip('/')}/quarrymill-{uuid.uuid4().hex}")
+    return f"{base.rstrip('/')}/quarrymill-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df by way of Parquet files in the shared folder."""
+    spark = df.sparkSession
+    df.write.parquet(path := shared_path(spark))
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import boxes as geo, values as val
-from ..operators import annotations as ann, groups, rounds
+from ..operators import annotations as ann, groups, near, rounds
 from ..sources import files
 from ..streaming import progress as runs
 
@@ -169,8 +169,7 @@ def unit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d9_cosine_leaders", f"WITH RECURSIVE u AS ({UNIT}), e AS (SELECT a.id AS i, b.id AS j FROM u a JOIN u b ON a.id < b.id WHERE list_dot_product(a.v, b.v) >= 0.35), {LEADERS}")
 def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = unit(spark, sf_dir)
-    return groups.leaders(groups.cosine_edges(v.select("id", "v"), 0.35), v.select("id"))
+    return near.cosine_leaders(unit(spark, sf_dir).select("id", "v"), 0.35)
 
 
 @query("d10_neighbour_leaders", f"""WITH RECURSIVE u AS ({UNIT}), s AS (SELECT a.id AS i, b.id AS j, round(list_dot_product(a.v, b.v), 9) AS sim FROM u a JOIN u b ON a.id != b.id),
@@ -185,7 +184,18 @@ BITS = "SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS h FRO
 @query("d8_hash_leaders", f"WITH RECURSIVE u AS ({BITS}), e AS (SELECT a.id AS i, b.id AS j FROM u a JOIN u b ON a.id < b.id WHERE len(list_filter(list_zip(a.h, b.h), lambda p: p[1] != p[2])) <= 17), {LEADERS}")
 def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "SELECT vec_id AS id, embedding FROM embeddings", "embeddings").select("id", val.sign_bits(F.col("embedding")).alias("h"))
-    return groups.leaders(groups.hash_edges(rows, 17), rows.select("id"))
+    return near.hash_leaders(rows, 17)
+
+
+@query("d8_hash_classes", f"""WITH u AS ({BITS}), c AS (SELECT h, min(id) AS id, count(*) AS links FROM u GROUP BY h),
+e AS (SELECT least(a.id, b.id) AS i, greatest(a.id, b.id) AS j FROM c a JOIN c b ON a.id < b.id WHERE len(list_filter(list_zip(a.h, b.h), lambda p: p[1] != p[2])) <= 16)
+SELECT u.id, c.id AS class, c.links, (SELECT count(*) FROM e WHERE e.i = c.id OR e.j = c.id) AS near_classes FROM u JOIN c ON c.h = u.h""")
+def d8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "SELECT vec_id AS id, embedding FROM embeddings", "embeddings").select("id", val.sign_bits(F.col("embedding")).alias("h"))
+    pairs, members = near.hash_pairs(rows, 16)
+    ends = groups.written(pairs).select(F.explode(F.array("i", "j")).alias("class")).groupBy("class").agg(F.count("*").alias("near_classes"))
+    links = members.groupBy("class").agg(F.count("*").alias("links"))
+    return members.join(links, "class").join(ends, "class", "left").select("id", "class", "links", F.coalesce("near_classes", F.lit(0)).cast("long").alias("near_classes"))
 
 
 @query("e9_medoids", f"WITH u AS ({UNIT}), s AS (SELECT a.label AS cluster, a.id, round(avg(list_dot_product(a.v, b.v)), 9) AS s FROM u a JOIN u b ON a.label = b.label GROUP BY ALL) SELECT cluster, arg_max(id, s * 1000000 - id / 1e12) AS medoid, round(max(s), 6) AS score FROM s GROUP BY cluster")
@@ -427,6 +437,13 @@ def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.neighbours(unit(spark, sf_dir).select("id", "v"), 50).withColumn("sim", F.round("sim", 6))
 
 
+@query("d10_index_neighbours")
+def d10_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate: tests/test_near.py measures its recall against d10's exact neighbours."""
+    v = unit(spark, sf_dir).select("id", "v")
+    return near.CellIndex(v, 10).neighbours(v.where("id % 100 = 0")).withColumn("sim", F.round("sim", 6))
+
+
 @query("m4_cluster_counts")
 def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.cluster_counts(unit(spark, sf_dir).select("id", "v"), [0.1, 0.2, 0.3, 0.4, 0.5])

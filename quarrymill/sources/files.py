@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.boxes import coco_to_yolo, corners_to_centre, corners_to_yolo, yolo_to_corners, yolo_to_rect
 from ..functions.pixels import exif_orientation, upright
 from ..functions.values import basename, stem
 from ..operators.annotations import accepted, class_union
-from ..operators.groups import numbered
+from ..operators.groups import numbered, written
+from . import cocofile, filesets
 
 EXTENSIONS = ("jpg", "png", "jpeg")
 COCO = "categories array<struct<id:long,name:string>>, images array<struct<id:long,file_name:string,width:double,height:double>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,area:double,iscrowd:int>>"
@@ -67,12 +70,17 @@ def pixels(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("image").option("recursiveFileLookup", "true").load(folder).select("image.*")
 
 
+def plain_uri(uri: Column) -> Column:
+    """A file's address with one slash after its scheme, as all of Spark's sources can be compared."""
+    return F.regexp_replace(uri, "^([A-Za-z][A-Za-z0-9+.-]*:)/+", "$1/")
+
+
 def upright_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """pixels(), turned and mirrored as the files' EXIF orientation asks; those without one, or that can't be read, as they are."""
-    heads = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("_metadata.file_path").alias("uri"), F.substring("content", 1, 1 << 16).alias("head"))
+    """pixels(), turned and mirrored as the files' EXIF orientation asks, wherever in a file it stands; those without one, or that can't
+    be read, as they are."""
+    heads = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("_metadata.file_path").alias("uri"), "content")
     decoded = pixels(spark, folder)
-    plain = lambda c: F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.-]*:)/+", "$1/")
-    told = heads.select(plain("uri").alias("__uri"), F.pandas_udf(lambda s: s.map(lambda b: exif_orientation(bytes(b))).astype("int32"), "int")("head").alias("__o")).where("__o > 1")
+    told = heads.select(plain_uri(F.col("uri")).alias("__uri"), F.pandas_udf(lambda s: s.map(lambda b: exif_orientation(bytes(b))).astype("int32"), "int")("content").alias("__o")).where("__o > 1")
 
     def turn(parts):
         import numpy as np
@@ -85,7 +93,7 @@ def upright_pixels(spark: SparkSession, folder: str) -> DataFrame:
                     pdf.at[k, "data"], pdf.at[k, "height"], pdf.at[k, "width"] = x.tobytes(), x.shape[0], x.shape[1]
             yield pdf
 
-    return decoded.withColumn("__uri", plain("origin")).join(told, "__uri", "left").drop("__uri").mapInPandas(turn, decoded.schema)
+    return decoded.withColumn("__uri", plain_uri(F.col("origin"))).join(told, "__uri", "left").drop("__uri").mapInPandas(turn, decoded.schema)
 
 
 def label_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,17 +163,26 @@ def imported(annotations: DataFrame, classes: DataFrame, key: str = "file_name",
     return yolo_lines(boxes), every, bad.distinct()
 
 
-def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """images, categories, annotations (in YOLO form, those of unknown images or categories left out) of a COCO file."""
-    doc = spark.read.schema(COCO).option("multiLine", "true").json(path)
-    imgs = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), basename(F.col("i.file_name")).alias("file_name"), "i.width", "i.height")
-    cats = doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), "c.name")
-    ann = doc.select(F.explode("annotations").alias("a")).select("a.*").join(imgs, "image_id").join(cats, "category_id")
+def coco(spark: SparkSession, path: str, step: int = cocofile.RANGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """images, categories, annotations (in YOLO form, those of unknown images or categories left out) of a COCO file, which is read once,
+    in byte ranges."""
+    found = written(cocofile.elements(spark, path, step))
+    kind = {f.name: f.dataType.elementType for f in T._parse_datatype_string(COCO).fields}
+    of = lambda name: found.where(F.col("key") == name).select(F.from_json("body", kind[name]).alias("x")).select("x.*")
+    imgs = of("images").select(F.col("id").alias("image_id"), basename(F.col("file_name")).alias("file_name"), "width", "height")
+    cats = of("categories").select(F.col("id").alias("category_id"), "name")
+    ann = of("annotations").join(imgs, "image_id").join(cats, "category_id")
     x, y, w, h = (F.col("bbox")[k] for k in range(4))
     cols = coco_to_yolo(x, y, w, h, F.col("width"), F.col("height"))
     return imgs, cats, ann.select("file_name", "name", F.col("id").alias("ord"), *[c.alias(n) for c, n in zip(cols, ("cx", "cy", "w", "h"))])
 
 
+def save_coco(imgs: DataFrame, boxes: DataFrame, classes: DataFrame, path: str) -> None:
+    """Writes coco_tables() as one document of any size."""
+    i, a, c = coco_tables(imgs, boxes, classes)
+    cocofile.save({"images": i, "annotations": a, "categories": c}, path)
+
+
 def voc(spark: SparkSession, folder: str) -> DataFrame:
     """img, ord (within a file), name, cx, cy, w, h of Pascal VOC files with a size; names are not checked here, but by imported()."""
     docs = spark.read.format("xml").option("rowTag", "annotation").schema(VOC).load(folder).where("size.width > 0 and size.height > 0")
@@ -220,9 +237,14 @@ def save_json(rows: DataFrame, path: str, many: bool = False) -> None:
         raise ValueError("one row makes an object, up to 100,000 a list")
     spark = rows.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    disk, temp = where.getFileSystem(spark._jsc.hadoopConfiguration()), where.suffix(f".{uuid.uuid4().hex}.new")
+    out = disk.create(temp, True)
     out.write(bytearray(("[" + ",\n".join(found) + "]" if many else found[0]).encode()))
     out.close()
+    # readers see the old document or the new one; where the file system renames over nothing only, there is none in between
+    if not disk.rename(temp, where):
+        disk.delete(where, False)
+        disk.rename(temp, where)
 
 
 def clusters(spark: SparkSession, path: str) -> DataFrame:
@@ -292,20 +314,9 @@ def coco_document(imgs: DataFrame, boxes: DataFrame, classes: DataFrame, most: i
     return i.join(a).join(c).select(F.to_json(F.struct("images", "annotations", "categories")).alias("body"))
 
 
-def save_files(rows: DataFrame, folder: str, key: str = "img", ending: str = ".txt") -> None:
-    """Writes each row's body to its own file, from the tasks, through Arrow's file systems; by a temporary name and a rename, so a
-    task that runs twice leaves whole files."""
-
-    def run(part):
-        import uuid
-
-        from pyarrow import fs
-
-        disk, to = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        disk.create_dir(to, recursive=True)
-        for r in part:
-            with disk.open_output_stream(temp := f"{to}/.{uuid.uuid4().hex}") as out:
-                out.write(r[1].encode())
-            disk.move(temp, f"{to}/{r[0]}{ending}")
-
-    rows.select(key, "body").foreachPartition(run)
+def save_files(rows: DataFrame, folder: str, key: str = "img", ending: str = ".txt", whole: bool = False) -> None:
+    """Writes each row's body to its own file, by the file set's commit: all files appear once every task is done, and none before.
+    Other files of the folder stay; whole: the new files take the place of all."""
+    filesets.registered(rows.sparkSession)
+    own = rows.select(F.col(key).cast("string").alias("name"), "body")
+    own.write.format("file_set").mode("overwrite" if whole else "append").option("path", folder).option("ending", ending).save()

@@ -86,6 +86,9 @@ def test_exif(spark, tmp_path):
             block = b"Exif\0\0" + tiff
             data = plain[:2] + b"\xff\xe1" + struct.pack(">H", len(block) + 2) + block + plain[2:]
             assert pixels.exif_orientation(data) == o
+            other = b"\xff\xe2" + struct.pack(">H", 60_002) + bytes(60_000)
+            data = data[:2] + 2 * other + data[2:]  # far behind the file's beginning
+            assert pixels.exif_orientation(data) == o
         (tmp_path / f"o{o}.jpg").write_bytes(data)
     assert pixels.exif_orientation(plain) == pixels.exif_orientation(b"") == pixels.exif_orientation(b"\x89PNG") == 1
     (tmp_path / "bad.jpg").write_bytes(b"no")
