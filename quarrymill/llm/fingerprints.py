@@ -109,8 +109,10 @@ def collisions(docs: DataFrame, table: DataFrame, hashed: Callable[[Column], tup
     read again, and copies of one text meet in the map side of the aggregation."""
     c = F.col
     rows = table.select("o", "t", "next_o", "next_t", F.explode(F.array(F.struct(F.lit("own").alias("kind"), c("h0").alias("a"), c("h1").alias("b")), F.struct(F.lit("edited").alias("kind"), c("e0").alias("a"), c("e1").alias("b")))).alias("r")).select("o", "t", "next_o", "next_t", "r.*")
-    shared = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    # written first, so that both sides of the join are plain and Spark can split a digest that very many rows have
+    shared = written(rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "shared")
     suspects = written(rows.join(shared, ["a", "b"]), "suspects")
+    dropped(shared, release=False)
     texts = _split(docs).withColumn("t", F.xxhash64("text"))
     own = keep_ids(texts, suspects.where("kind = 'own'").select("o").distinct(), "o").select(F.lit("own").alias("kind"), "o", "t", F.lit(0).cast("long").alias("next_o"), F.lit(0).cast("long").alias("next_t"), canonical(c("text")).alias("canon"))
     pairs = suspects.where("kind = 'edited'").select("o", "t", "next_o", "next_t").distinct()

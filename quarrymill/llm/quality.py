@@ -132,7 +132,7 @@ def cutoffs(docs: DataFrame, labels: DataFrame, limit: float = 0.005, delta: flo
     strata = rows.select("stratum").distinct().count()
     tops = {r[0]: r[4] for r in RULES}
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         good, bad = np.zeros(tops[key[1]] + 1, np.int64), np.zeros(tops[key[1]] + 1, np.int64)
         good[pdf.step], bad[pdf.step] = pdf.good, pdf.bad
         return pd.DataFrame({"stratum": [key[0]], "rule": [key[1]], "cutoff": pd.array([choose(good, bad, limit, delta / (max(1, strata) * len(RULES)))], dtype="Int32")})
