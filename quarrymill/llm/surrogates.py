@@ -63,7 +63,7 @@ _JOIN = rf"[ \xa0-](?:(?:{'|'.join(PARTICLES)})[ \xa0])*(?:[dl]['’])?"
 _PERSON = re.compile(rf"\b({_TITLE})(\.?[ \xa0])({_PART}(?:{_JOIN}{_PART})*)")
 _PARTS = re.compile(_PART)
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_LOCAL, _DOMAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}")
+_LOCAL, _DOMAIN = frozenset("._%+-'’"), re.compile(r"@(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)*\.[^\W\d_]{2,24}")
 _NUMBERS = (
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])")),
@@ -91,10 +91,14 @@ def mentions(text: str) -> list[tuple[int, int, str, list[tuple]]]:
     while at >= 0:
         if right := _DOMAIN.match(text, at):
             start = at
-            while start and text[start - 1] in _LOCAL:
-                start -= 1
-            while start < at and text[start] in "._%+-":  # the first is a letter or digit
-                start += 1
+            quoted = text.rfind('"', max(0, text.rfind("\n", 0, at) + 1), at - 1) if text[at - 1 : at] == '"' else -1
+            if quoted >= 0:
+                start = quoted
+            else:
+                while start and (text[start - 1] in _LOCAL or text[start - 1].isalnum()):
+                    start -= 1
+                while start < at and not text[start].isalnum():  # the first is a letter or digit
+                    start += 1
             if start < at:
                 add(start, right.end(), "email")
         at = text.find("@", at + 1)
@@ -153,7 +157,8 @@ class Stream:
 
 def _like(text: str, s: Stream) -> str:
     """Other letters and digits in the places of letters and digits."""
-    return "".join(str(s.below(10)) if c.isdigit() else "abcdefghijklmnopqrstuvwxyz"[s.below(26)] if c.isalpha() else c for c in text)
+    letters = lambda c: "abcdefghijklmnopqrstuvwxyz" if c.isascii() else _letters(c) or c
+    return "".join(str(s.below(10)) if c.isdigit() else letters(c)[s.below(len(letters(c)))] if c.isalpha() else c for c in text)
 
 
 def luhn(digits: str) -> int:
@@ -278,30 +283,40 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def settled(found: DataFrame, key: bytes) -> DataFrame:
-    """kind, value, gender, attempt: the first attempts (each row's least) that leave all surrogates distinct and none an entity."""
+    """kind, value, gender, attempt: the first attempts (each row's least) that leave all surrogates distinct and none an entity.
+
+    Each round has the rows that are still open alone. Of those that get one surrogate the first value keeps it, unless it is an
+    entity or a settled row has it; that first one is found by an aggregation, so a surrogate that very many rows get in the first
+    round (the lists of given names are short) is one row a task, and the joins are of written tables, which Spark can split."""
 
     @F.pandas_udf("string")
     def made(kind: pd.Series, value: pd.Series, attempt: pd.Series, gender: pd.Series) -> pd.Series:
         return pd.Series([surrogate(key, k, v, int(a), g) for k, v, a, g in zip(kind, value, attempt, gender)], dtype=object)
 
-    names = ("kind", "value", "gender", "attempt")
-    table = written(found.select("kind", "value", F.col("gender") if "gender" in found.columns else F.lit("").alias("gender"), F.lit(0).alias("attempt")), "entities")
+    open_ = written(found.select("kind", "value", F.col("gender") if "gender" in found.columns else F.lit("").alias("gender")), "entities")
+    real, done, attempt = open_.select("kind", F.col("value").alias("new")), None, 0
     while True:
-        rows = table.withColumn("new", made("kind", "value", "attempt", "gender"))
-        real = table.select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
-        order = Window.partitionBy("kind", "new").orderBy("attempt", "value")
-        rows = rows.join(real, ["kind", "new"], "left").withColumn("bad", (F.row_number().over(order) > 1) | F.col("real").isNotNull())
-        after = written(rows.select("kind", "value", "gender", (F.col("attempt") + F.col("bad").cast("int")).alias("attempt"), "bad"), "entities")
-        dropped(table, release=False)
-        if not after.where("bad").limit(1).count():
-            return after.select(*names)
-        table = after.select(*names)
-        table.written_to = after.written_to
+        rows = written(open_.withColumn("attempt", F.lit(attempt)).withColumn("new", made("kind", "value", "attempt", "gender")), "surrogates")
+        first = rows.groupBy("kind", "new").agg(F.min("value").alias("first")).join(real, ["kind", "new"], "left_anti")
+        if done is not None:
+            first = first.join(done.select("kind", "new"), ["kind", "new"], "left_anti")
+        first = written(first, "surrogates")
+        judged = written(rows.join(first, ["kind", "new"], "left").withColumn("good", F.coalesce(F.col("first") == F.col("value"), F.lit(False))).drop("first"), "surrogates")
+        dropped(rows, first, release=False)
+        good = judged.where("good").drop("good")
+        done = good if done is None else done.unionByName(good)
+        if not judged.where("not good").limit(1).count():
+            return done.select("kind", "value", "gender", "attempt")
+        open_, attempt = judged.where("not good").select("kind", "value", "gender"), attempt + 1
 
 
 def pseudonymised(docs: DataFrame, key: bytes | str) -> DataFrame:
     """doc_id, n_entities, kinds (each found kind:start:end in the original, comma-joined) and text with surrogates.
 
+    Mailboxes: letters and digits of any script, the signs . _ % + - and apostrophes, or a quoted string, before @ and a domain of any
+    script. A title before Han characters takes the whole run of them for the name. Numbers that stand together without a sign
+    or a country code are no phones. A text's work grows with its length times the number of its titled names.
+
     Null text: stays null, no entities. Null doc_id and repeated rows: each has its row. Equal entities have equal surrogates
     in all documents, different ones different. key: the caller's secret; whoever has it can find which surrogate an entity has."""
     key = key.encode() if isinstance(key, str) else key

@@ -223,3 +223,29 @@ def test_new_queries_equal_their_sql(spark):
         names = [c[0] for c in want.description]
         assert sorted(got.columns) == sorted(names)
         assert key(tuple(r) for r in got.select(*names).collect()) == key(want.fetchall())
+
+
+def test_op5_whole_mailboxes_and_names():
+    from quarrymill.llm import surrogates
+
+    texts = {"Dr 王小明欧阳修好人": "王小明欧阳修好人", "to müller@example.com now": "müller", "(o'brien@example.com)": "o'brien", "<иван@пример.рф>": "иван", 'by "john doe"@example.org.': "john doe", "'anna@example.com'": "anna", "email=karl@example.com": "karl"}
+    for text, secret in texts.items():
+        found, new = surrogates.replaced(text, b"k", {})
+        assert len(found) == 1 and secret not in new and not any(part in new for part in secret.split() if len(part) > 3), (text, new)
+    assert surrogates.replaced("email=karl@example.com, karl@example.com", b"k", {})[1].count(surrogates.replaced("karl@example.com", b"k", {})[1]) == 2
+    new = surrogates.replaced("<иван@пример.рф>", b"k", {})[1]
+    assert new.endswith(".рф>") and all(surrogates.unicodedata.name(c).startswith("CYRILLIC") for c in new if c.isalpha())
+
+
+def test_op5_names_of_one_surrogate(spark):
+    """Hundreds of given names that get one of twenty at first: all distinct in the end, none an entity, the first of each kept."""
+    from quarrymill.llm import surrogates
+
+    names = [f"x{surrogates.SYLLABLES['latin'][k % 20]}{surrogates.SYLLABLES['latin'][k // 20]}o" for k in range(400)] + ["anna", "karl"]
+    got = surrogates.settled(spark.createDataFrame([("given", n, "") for n in names], "kind string, value string, gender string"), b"key").collect()
+    made = {r.value: surrogates.surrogate(b"key", "given", r.value, r.attempt, r.gender) for r in got}
+    assert len(made) == len(names) == len(set(made.values())) and not set(made.values()) & set(names)
+    first = {}
+    for n in sorted(names):
+        first.setdefault(surrogates.surrogate(b"key", "given", n, 0), n)
+    assert {r.value for r in got if r.attempt == 0} == {n for new, n in first.items() if new not in names}
