@@ -10,9 +10,9 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import fresh_dir
+from .common import fresh_dir, written
 
 #: kind, pattern, group whose length counts (0: the match), least length. The first three are the base rules.
 #: A run of 24 or more is what is left of `[0-9a-f]+` when shorter ones are dropped, and so with AKIA; the value of an
@@ -28,6 +28,8 @@ RULES = (
 BASE = 3
 #: Found blobs up to this number are broadcast to redact texts; more are joined by a shuffle.
 BROADCAST_BLOBS = 20_000
+#: Code points of the parts in which texts with secrets are read.
+PART = 1024
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
 
@@ -35,20 +37,24 @@ def rule_version(rules=RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
-def spans_of(text: Column, number: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans in code points of one rule's matches: what lies between matches and the matches themselves, added up."""
+def matches_of(text: Column, number: int, kind: str, pattern: str, group: int, least: int) -> Column:
+    """One rule's matches in order: the code points between each and the one before, its own, and whether it is long enough."""
     gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"))), own, lambda x, o: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), F.length(o).alias("own")))
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    sized = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len")))
+    rows = F.zip_with(sized, own, lambda x, o: F.struct(F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), x["gap"].alias("gap"), x["len"].alias("len"), (F.length(o) >= least).alias("counts")))
+    return F.when(text.rlike(pattern), rows).otherwise(F.array().cast("array<struct<kind_no:int,kind:string,gap:int,len:int,counts:boolean>>"))
 
-    def step(acc, x):
-        begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["len"]
-        span = F.array(F.struct(begin.alias("start"), F.lit(number).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(x["own"] >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(none)
+def found_spans(blobs: DataFrame, rules=RULES) -> DataFrame:
+    """blob, spans (sorted by start, then rule) of blobs (blob, content: unique, dealt by blob). Places are running sums over a blob's
+    matches of a rule, so a text with many secrets takes time that grows with their number; only matches are sorted, not texts."""
+    every = F.concat(*[matches_of(F.col("content"), k, *rule) for k, rule in enumerate(rules)])
+    rows = blobs.select("blob", F.posexplode_outer(every).alias("at", "m")).select("blob", "at", "m.*")
+    end = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("blob", "kind_no").orderBy("at")).cast("int")
+    placed = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
+    spans = F.collect_list(F.when(F.col("counts"), F.struct("start", "kind_no", "end", "kind")))
+    return placed.groupBy("blob").agg(F.array_sort(spans).cast(SPAN).alias("spans"))
 
 
 def written_spans(spans: Column) -> Column:
@@ -88,9 +94,8 @@ class BlobLedger:
         blobs = contents.select(F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("content")).groupBy("blob").agg(F.first("content").alias("content"))
         if self._runs():
             blobs = blobs.join(self.entries().select("blob"), "blob", "left_anti")
-        found = [spans_of(F.col("content"), k, *rule) for k, rule in enumerate(self.rules)]
         path = f"{self.folder}/run-{uuid.uuid4().hex}"
-        blobs.select("blob", F.array_sort(F.concat(*found)).alias("spans")).write.parquet(path)
+        found_spans(blobs, self.rules).write.parquet(path)
         return path
 
     def scan(self, versions: DataFrame) -> DataFrame:
@@ -117,26 +122,35 @@ def secret_scan(docs: DataFrame, folder: str | None = None, rules=RULES) -> Data
     return found.select("doc_id", *counts, F.sha2(written_spans(base).cast("binary"), 256).alias("base_sha256"), written_spans(F.col("spans")).alias("spans"))
 
 
+def between(parts: Column, begin: Column, end: Column) -> Column:
+    """Code points begin to end (exclusive) of a text that is cut into parts of PART: reads these parts alone."""
+    first, last = F.floor(begin / PART).cast("int"), F.floor((end - 1) / PART).cast("int")
+    one = F.substring(F.get(parts, first), begin - first * PART + 1, end - begin)
+    more = F.concat(F.substring(F.get(parts, first), begin - first * PART + 1, F.lit(PART)), F.array_join(F.slice(parts, first + 2, last - first - 1), ""), F.substring(F.get(parts, last), F.lit(1), end - last * PART))
+    return F.when(end <= begin, "").when(first == last, one).otherwise(more)
+
+
 def redacted(docs: DataFrame, folder: str | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """docs, with each found span (overlapping ones together) replaced by the mark and n_chars counted anew."""
+    """docs, with each found span (overlapping ones together) replaced by the mark and n_chars counted anew.
+
+    Null texts and repeated rows stay as they are; time grows with a text's length and its number of secrets, not with their product."""
     spark = docs.sparkSession
     ledger = BlobLedger(spark, folder or fresh_dir(spark, "ledger"))
     ledger.add(docs.select(F.col("text").alias("content")))
-    found = ledger.entries().where(F.size("spans") > 0)
+    b, s = "b" + uuid.uuid4().hex, "s" + uuid.uuid4().hex
+    spans = ledger.entries().select("blob", F.inline("spans"))
+    passed = F.coalesce(F.max("end").over(Window.partitionBy("blob").orderBy("start", "kind_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gaps = F.collect_list(F.when(F.col("start") >= F.col("passed"), F.struct("passed", "start")))  # of text before each mark
+    found = written(spans.withColumn("passed", passed).groupBy(F.col("blob").alias(b + "f")).agg(F.array_sort(gaps).alias(s), F.max("end").alias(s + "e")), "redactions")
     if found.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS:
         found = F.broadcast(found)
-    b, s = "b" + uuid.uuid4().hex, "s" + uuid.uuid4().hex
-    found = found.select(F.col("blob").alias(b + "f"), F.col("spans").alias(s))
-    out = docs.withColumn(b, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).join(found, F.col(b) == F.col(b + "f"), "left")
-    text = F.col("text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        before = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), before.alias("out"))
-
-    new = F.when(F.col(s).isNull(), text).otherwise(F.aggregate(F.col(s), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
-    cols = [new.alias("text") if c == "text" else F.when(F.col(s).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    text, parts = F.col("text"), F.col(s + "p")
+    cut = F.when(F.col(s).isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)))
+    out = docs.withColumn(b, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).join(found, F.col(b) == F.col(b + "f"), "left").withColumn(s + "p", cut)
+    marked = F.transform(F.col(s), lambda g: F.concat(between(parts, g["passed"], g["start"]), F.lit(mark)))
+    new = F.when(F.col(s).isNull(), text).otherwise(F.concat(F.array_join(marked, ""), between(parts, F.col(s + "e"), F.length(text))))
+    out = out.withColumn(s + "t", new)
+    cols = [F.col(s + "t").alias("text") if c == "text" else F.when(F.col(s).isNull(), F.col("n_chars")).otherwise(F.length(s + "t")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*cols)
 
 
