@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.boxes import iou
@@ -62,6 +66,31 @@ def overlap(names: DataFrame, vocabulary: DataFrame, synonyms: DataFrame) -> Dat
     return out.withColumn("ratio", F.when(F.col("total") > 0, F.col("matched") / F.col("total")).otherwise(0.0)).withColumn("recommended", (F.col("matched") >= 1) & (F.col("ratio") >= 0.5))
 
 
+def overlapping(boxes: DataFrame, key: str, threshold: float) -> DataFrame:
+    """a < b, the keys (unique within an image) of boxes (img, x1, y1, x2, y2, key) of one image whose IoU exceeds the threshold, which
+    must be above 0. Boxes without area overlap nothing.
+
+    Grids have cells of 2^g; a box lies in at most four cells of the grid just above its longer side, and of each coarser one. Sides of
+    two boxes that overlap so much differ by less than a factor 1 / threshold, so a few grids are enough. A pair meets in the grid
+    of its larger box, and is kept in the cell that holds the first corner of what both cover: once."""
+    if threshold <= 0:
+        raise ValueError("overlapping() needs a threshold above 0")
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    own = F.ceil(F.log2(side)).cast("int")
+    rows = boxes.where("x2 > x1 and y2 > y1").select("img", "x1", "y1", "x2", "y2", key, own.alias("own"))
+    rows = rows.withColumn("grid", F.explode(F.sequence(F.col("own"), F.col("own") + (math.ceil(-math.log2(threshold)) + 1 if threshold < 1 else 1))))
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("grid"))).cast("long")
+    rows = rows.withColumn("cx", F.explode(F.sequence(cell("x1"), cell("x2")))).withColumn("cy", F.explode(F.sequence(cell("y1"), cell("y2"))))
+    rows = written(rows)  # a crowded cell's join can be split
+    a, b = rows.alias("a"), rows.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("img", "grid", "cx", "cy")]
+    corners = lambda t: [F.col(f"{t}.{c}") for c in ("x1", "y1", "x2", "y2")]
+    at = lambda c: F.floor(F.greatest(f"a.{c}", f"b.{c}") / F.pow(F.lit(2.0), F.col("a.grid"))).cast("long")
+    once = (F.col("a.grid") == F.greatest("a.own", "b.own")) & (F.col("a.cx") == at("x1")) & (F.col("a.cy") == at("y1"))
+    met = a.join(b, functools.reduce(operator.and_, same) & (F.col(f"a.{key}") < F.col(f"b.{key}"))).where(once)
+    return met.where(iou(corners("a"), corners("b")) > threshold).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+
+
 #: Boxes of an image up to which one task suppresses them; those of larger images are settled in rounds over all tasks.
 IMAGE_BOXES = 10_000
 
@@ -102,11 +131,8 @@ def suppressed(predictions: DataFrame, confidence: float = 0.25, threshold: floa
     if not large.limit(1).count():
         return out
     crowd = rows.join(F.broadcast(large) if few else large, "img", "left_semi").select(*names, F.struct("img", (-F.col("conf")).alias("c"), "ord").alias("__id"))
-    a, b = crowd.alias("a"), crowd.alias("b")
-    corners = lambda t: [F.col(f"{t}.{c}") for c in ("x1", "y1", "x2", "y2")]
-    near = a.join(b, (F.col("a.img") == F.col("b.img")) & (F.col("a.__id") < F.col("b.__id"))).where(iou(corners("a"), corners("b")) > threshold)
     ids = numbered(crowd.select("__id"), "n", "__id")
-    edges = near.select(F.col("a.__id").alias("a"), F.col("b.__id").alias("b")).join(ids.select(F.col("__id").alias("a"), F.col("n").alias("i")), "a").join(ids.select(F.col("__id").alias("b"), F.col("n").alias("j")), "b")
+    edges = overlapping(crowd, "__id", threshold).join(ids.select(F.col("__id").alias("a"), F.col("n").alias("i")), "a").join(ids.select(F.col("__id").alias("b"), F.col("n").alias("j")), "b")
     lead = leaders(edges.select("i", "j"), ids.select(F.col("n").alias("id"))).where("id = leader")
     stay = ids.join(lead.select(F.col("id").alias("n")), "n", "left_semi").select("__id")
     return out.unionByName(crowd.join(stay, "__id", "left_semi").drop("__id"))

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions.values import dot, doubles, hamming, representativeness, unit
 
@@ -270,9 +271,48 @@ def survivors(items: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     return items.join(removed.select(key).distinct(), key, "left_anti")
 
 
+#: Groups whose sums a task holds at once in mean_vector (a vector each).
+OPEN_SUMS = 10_000
+
+
 def mean_vector(vectors: DataFrame, *by: str) -> DataFrame:
-    """The mean vector of each group, by positions: no group is collected."""
-    flat = vectors.select(*by, F.posexplode("v").alias("k", "x")).groupBy(*by, "k").agg(F.avg("x").alias("m"))
+    """The mean vector of each group: tasks add up what they read, so a group is one row a task; rows without a vector don't count."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = vectors.where("v is not null").select(*by, doubles(F.col("v")).alias("v"))
+    keys = [rows.schema[c] for c in by]
+
+    def sums(batches):
+        open_sums, kinds, schema = {}, {}, None
+
+        def closed():
+            cols = [pa.array([k[i] for k in open_sums], kinds[c]) for i, c in enumerate(by)]
+            out = pa.RecordBatch.from_arrays([*cols, pa.array([s.tolist() for s, _ in open_sums.values()], pa.list_(pa.float64())), pa.array([n for _, n in open_sums.values()], pa.int64())], schema=schema)
+            open_sums.clear()
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = {c: batch.schema.field(c).type for c in by}
+            schema = pa.schema([*[(c, kinds[c]) for c in by], ("v", pa.list_(pa.float64())), ("n", pa.int64())])
+            v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            own = list(zip(*[batch.column(c).to_pylist() for c in by])) if by else [()] * batch.num_rows
+            code = {k: n for n, k in enumerate(dict.fromkeys(own))}
+            at = np.array([code[k] for k in own])
+            order = np.argsort(at, kind="stable")
+            first = np.searchsorted(at[order], np.arange(len(code)))
+            for key, s, n in zip(code, np.add.reduceat(v[order], first, axis=0), np.bincount(at)):
+                before = open_sums.get(key)
+                open_sums[key] = (s, int(n)) if before is None else (before[0] + s, before[1] + int(n))
+            if len(open_sums) > OPEN_SUMS:
+                yield closed()
+        if open_sums:
+            yield closed()
+
+    partial = rows.mapInArrow(sums, StructType([*keys, StructField("v", ArrayType(DoubleType())), StructField("n", LongType())]))
+    flat = partial.select(*by, "n", F.posexplode("v").alias("k", "x")).groupBy(*by, "k").agg((F.sum("x") / F.sum("n")).alias("m"))
     return flat.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("mu"))
 
 
@@ -341,11 +381,57 @@ def coreset(vectors: DataFrame, k: int, size: int = 4000, fold: int = 32) -> Dat
     return spark.createDataFrame(chosen, "rank int, id long")
 
 
-def select_diverse(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """k farthest points as a report. selected: rank, id. members: id, centre (the rank of the nearest selected one), distance,
-    representativeness (1 / (1 + distance)), redundancy (mean similarity to all). metrics: one row, k, diversity (mean over the
-    selected of 1 - the greatest similarity to another; 1 where there is one). vectors: id, v (unit)."""
-    selected = coreset(vectors, k)
+def farthest_first(v, k: int, first: int = 0):
+    """Places of k farthest points of the unit vectors v (all, if there are fewer), from `first` on; the first of equals."""
+    import numpy as np
+
+    chosen, d = [], np.full(len(v), np.inf)
+    at = first
+    while len(chosen) < min(k, len(v)):
+        chosen.append(at)
+        d = np.minimum(d, np.round(1 - v @ v[at], 12))
+        d[at] = -np.inf
+        at = int(np.argmax(d))
+    return chosen
+
+
+def composed_coreset(vectors: DataFrame, k: int, fan: int = 4, last: int = 20_000) -> DataFrame:
+    """rank, id of k points that cover the rest, in a number of jobs that doesn't grow with k. vectors: id, v (unit).
+
+    Rows are dealt by hash into blocks of about fan * k; each block gives k farthest points of its own. This is repeated on what
+    the blocks gave until at most max(last, fan * k) are left, of which one task takes the k farthest, starting at the least id.
+    After r rounds of blocks no row's chord (the metric of unit vectors, sqrt(2 * cosine distance)) to its nearest point is more than
+    2 (r + 1) times that of the best k points. A task holds fan * k vectors, and its work grows with the square of k."""
+    import numpy as np
+    import pandas as pd
+
+    live, n = vectors.select("id", "v"), vectors.count()
+    most, turn, before = max(last, fan * k), 0, None
+
+    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        return pdf.iloc[farthest_first(np.stack(pdf["v"].to_list()).astype(float), k)][["id", "v"]]
+
+    def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = chosen(pdf)["id"].to_numpy()
+        return pd.DataFrame({"rank": np.arange(len(ids), dtype="int32"), "id": ids})
+
+    while n > most:
+        dealt = live.withColumn("b", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(-(-n // most))))
+        live = written(dealt.groupBy("b").applyInPandas(chosen, live.schema))
+        if before is not None:
+            dropped(before)
+        before, turn, n, passed = live, turn + 1, live.count(), n
+        if n > passed * 0.9:  # blocks that hardly shrink: k is too near the number of rows
+            raise ValueError(f"{k} points of {passed} rows: blocks of {most} hardly shrink, raise `fan`")
+    return live.withColumn("b", F.lit(0)).groupBy("b").applyInPandas(ranked, f"rank int, id {live.schema['id'].dataType.simpleString()}")
+
+
+def select_diverse(vectors: DataFrame, k: int, composed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """k farthest points as a report (composed: by composed_coreset). selected: rank, id. members: id, centre (the rank of the nearest
+    selected one), distance, representativeness (1 / (1 + distance)), redundancy (mean similarity to all). metrics: one row, k,
+    diversity (mean over the selected of 1 - the greatest similarity to another; 1 where there is one). vectors: id, v (unit)."""
+    selected = written(composed_coreset(vectors, k)) if composed else coreset(vectors, k)
     centres = written(vectors.join(selected, "id").select("rank", "v"))
     near = nearest(vectors, centres).withColumn("representativeness", representativeness(F.col("distance")))
     redundancy = vectors.join(mean_vector(vectors)).select("id", F.round(dot(F.col("v"), F.col("mu")), 9).alias("redundancy"))
@@ -355,12 +441,41 @@ def select_diverse(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, Da
 
 
 def nearest(vectors: DataFrame, centres: DataFrame, most: int = 10_000) -> DataFrame:
-    """id, centre (least cosine distance, the first of equals), distance. centres (rank, v) are few: checked, and broadcast."""
-    if centres.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} centres")
-    table = F.broadcast(centres.agg(F.array_sort(F.collect_list(F.struct("rank", F.col("v").alias("c")))).alias("cs")))
-    far = F.transform("cs", lambda s: F.struct(F.round(1 - dot(F.col("v"), s["c"]), 9).alias("d"), s["rank"].alias("rank")))
-    return vectors.join(table, F.lit(True)).select("id", F.array_min(far).alias("m")).select("id", F.col("m.rank").alias("centre"), F.col("m.d").alias("distance"))
+    """id, centre (a whole number: least cosine distance, the first of equals), distance: matrix products of batches of rows with the centres (rank, v).
+    Centres meet the rows in slices of at most `most`, as one row each, broadcast; a row's best of all slices stays."""
+    import numpy as np
+    import pyarrow as pa
+
+    slices = block_count(centres, most)
+    dealt = centres.select(F.pmod(F.xxhash64("rank"), F.lit(slices)).alias("slice"), F.struct("rank", doubles(F.col("v")).alias("c")).alias("s"))
+    tables = written(dealt.groupBy("slice").agg(F.array_sort(F.collect_list("s")).alias("cs")).select("slice", F.col("cs.rank").alias("ranks"), F.flatten("cs.c").alias("flat")))
+    kind, rank = vectors.schema["id"], centres.schema["rank"]
+    out = StructType([StructField("id", kind.dataType), StructField("centre", LongType()), StructField("distance", DoubleType())])
+    best = None
+    for number in range(slices):
+        held = tables.where(F.col("slice") == number).first()
+        if held is None:
+            continue
+        centre = vectors.sparkSession.sparkContext.broadcast((np.array(held.ranks), np.array(held.flat).reshape(len(held.ranks), -1)))
+
+        def products(batches, centre=centre):
+            ranks, c = centre.value
+            for batch in batches:
+                v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, c.shape[1]))
+                at, far = np.empty(len(v), int), np.empty(len(v))
+                for k in range(0, len(v), 512):  # a product holds 512 rows
+                    d = np.round(1 - v[k : k + 512] @ c.T, 9)
+                    at[k : k + 512] = d.argmin(axis=1)
+                    far[k : k + 512] = d.min(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ranks[at].astype("int64")), pa.array(far)], names=["id", "centre", "distance"])
+
+        found = vectors.where("v is not null").select("id", doubles(F.col("v")).alias("v")).mapInArrow(products, out).withColumn("centre", F.col("centre").cast(rank.dataType))
+        best = found if best is None else best.unionByName(found)
+    if best is None:
+        raise ValueError("no centres")
+    if slices == 1:
+        return best
+    return best.groupBy("id").agg(F.min(F.struct("distance", "centre")).alias("m")).select("id", "m.centre", "m.distance")
 
 
 def merges(v):
@@ -387,9 +502,10 @@ def merges(v):
     return out
 
 
-def coreset_clusters(vectors: DataFrame, threshold: float) -> DataFrame:
-    """id, cluster (rank of the nearest): the way without a clustering, by max(2, n (1 - threshold)) farthest points."""
-    return select_diverse(vectors, max(2, int(vectors.count() * (1 - threshold))))[1].select("id", F.col("centre").alias("cluster"))
+def coreset_clusters(vectors: DataFrame, threshold: float, composed: bool = False) -> DataFrame:
+    """id, cluster (rank of the nearest): the way without a clustering, by max(2, n (1 - threshold)) farthest points. These are found one
+    a job, or (composed) within a factor of the best in a number of jobs that doesn't grow with them."""
+    return select_diverse(vectors, max(2, int(vectors.count() * (1 - threshold))), composed)[1].select("id", F.col("centre").alias("cluster"))
 
 
 def reclustered(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:

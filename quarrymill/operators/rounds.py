@@ -143,6 +143,16 @@ def recommended_backend(has_gpu: bool, memory_gb: float) -> str:
     return "resnet50" if has_gpu else "efficientnet_b0" if memory_gb >= 16 else "mobilenet_v3"
 
 
+def training_settings(machines: DataFrame) -> DataFrame:
+    """machines (gpu, gb, strategy) with what a training on each takes: epochs, frozen, backend, dims. Strategies that aren't known have
+    null epochs and frozen layers; a machine of unknown memory gets the smallest backend."""
+    pairs = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    backend = F.when(F.col("gpu"), recommended_backend(True, 0)).when(F.col("gb") >= 16, recommended_backend(False, 16)).otherwise(recommended_backend(False, 0))
+    out = machines.withColumn("epochs", F.try_element_at(pairs({k: e for k, (e, _) in STRATEGIES.items()}), F.col("strategy")))
+    out = out.withColumn("frozen", F.try_element_at(pairs({k: f for k, (_, f) in STRATEGIES.items()}), F.col("strategy")))
+    return out.withColumn("backend", backend).withColumn("dims", F.try_element_at(pairs(BACKENDS), F.col("backend")))
+
+
 def cluster_map(members: DataFrame, medoids: DataFrame) -> DataFrame:
     """cluster_id, colour (of ten, by number), representative, members (of a cluster without any the representative), status. members:
     cluster, id; medoids: cluster, medoid."""

@@ -773,6 +773,16 @@ def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.coreset_clusters(unit(spark, sf_dir).select("id", "v"), 0.98)
 
 
+@query("m7_composed_coreset")
+def m7_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.composed_coreset(unit(spark, sf_dir).select("id", "v"), 20, last=200)
+
+
+@query("m2_composed_clusters")
+def m2_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.coreset_clusters(unit(spark, sf_dir).select("id", "v"), 0.98, composed=True)
+
+
 @query("m8_b6_reclustered_map")
 def m8(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, found = groups.reclustered(unit(spark, sf_dir).select("id", "v"), 0.2)
@@ -822,7 +832,9 @@ def zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return val.prompt(view(spark, sf_dir, CLASSES, "nation"))
 
 
-@query("l14_l4_l11_settings", """SELECT * FROM (VALUES ('transfer', 40, 10), ('recursive', 30, 0), ('scratch', 100, 0), ('mobilenet_v3', 576, 0), ('efficientnet_b0', 1280, 0), ('resnet50', 2048, 0)) AS t(name, a, b)""")
+@query("l14_l4_l11_settings", """SELECT s_suppkey, strategy, CASE strategy WHEN 'transfer' THEN 40 WHEN 'recursive' THEN 30 ELSE 100 END AS epochs, CASE strategy WHEN 'transfer' THEN 10 ELSE 0 END AS frozen,
+ CASE WHEN gpu THEN 'resnet50' WHEN gb >= 16 THEN 'efficientnet_b0' ELSE 'mobilenet_v3' END AS backend, CASE WHEN gpu THEN 2048 WHEN gb >= 16 THEN 1280 ELSE 576 END AS dims
+ FROM (SELECT s_suppkey, s_nationkey % 3 = 0 AS gpu, s_suppkey % 32 AS gb, CASE s_nationkey % 4 WHEN 0 THEN 'transfer' WHEN 1 THEN 'recursive' ELSE 'scratch' END AS strategy FROM supplier)""")
 def settings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, *v) for k, v in rounds.STRATEGIES.items()] + [(rounds.recommended_backend(gpu, gb), rounds.BACKENDS[rounds.recommended_backend(gpu, gb)], 0) for gpu, gb in ((False, 8), (False, 16), (True, 0))]
-    return spark.createDataFrame(rows, "name string, a int, b int")
+    machines = view(spark, sf_dir, "SELECT s_suppkey, s_nationkey % 3 = 0 AS gpu, s_suppkey % 32 AS gb, CASE s_nationkey % 4 WHEN 0 THEN 'transfer' WHEN 1 THEN 'recursive' ELSE 'scratch' END AS strategy FROM supplier", "supplier")
+    return rounds.training_settings(machines).select("s_suppkey", "strategy", "epochs", "frozen", "backend", "dims")
