@@ -19,8 +19,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column, floor: float = 1e-8) -> Column:
-    norm = F.greatest(F.sqrt(dot(v, v)), F.lit(floor))
-    return F.transform(v, lambda x: x / norm)
+    """v over its norm. Both are named by a transform of one element each, so that they are evaluated once a row, and not for every
+    element; a unit of a unit was the fourth power of the length in work before."""
+    named = lambda x, f: F.transform(F.array(x), f)[0]
+    return named(v, lambda w: named(F.greatest(F.sqrt(dot(w, w)), F.lit(floor)), lambda norm: F.transform(w, lambda x: x / norm)))
 
 
 def hamming(a: Column, b: Column) -> Column:
