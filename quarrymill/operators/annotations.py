@@ -7,10 +7,11 @@ import math
 import operator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.boxes import iou
 from ..functions.values import basename, class_name_ok, stem
-from .groups import cumulative, leaders, numbered, written
+from .groups import dropped, leaders, numbered, written
 
 
 def class_union(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -147,17 +148,64 @@ def per_class(boxes: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def average_precision(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """cls_id, ap at an IoU threshold, by all points of the precision-recall curve. predictions: img, cls_id, box corners, conf, ord;
-    truth: img, cls_id, corners, ord. A prediction is right if its best box of the truth reaches the threshold and no better
-    prediction has that box."""
-    p, t = predictions.alias("p"), truth.alias("t")
-    corners = lambda a: [F.col(f"{a}.{c}") for c in ("x1", "y1", "x2", "y2")]
-    best = p.join(t, (F.col("p.img") == F.col("t.img")) & (F.col("p.cls_id") == F.col("t.cls_id")), "left").groupBy(*[F.col(f"p.{c}") for c in ("img", "cls_id", "ord", "conf")]).agg(F.max(F.struct(F.coalesce(iou(corners("p"), corners("t")), F.lit(0.0)).alias("iou"), (-F.col("t.ord")).alias("box"))).alias("m"))
-    hit = best.withColumn("first", F.row_number().over(Window.partitionBy("img", "cls_id", "m.box").orderBy(F.desc("conf"), "ord"))).withColumn("tp", ((F.col("m.iou") >= threshold) & (F.col("first") == 1)).cast("int"))
-    precision = {"precision": F.col("tps") / F.col("k")}  # and its running maximum from the end
-    curve = cumulative(hit.select("cls_id", "conf", "img", "ord", "tp"), "cls_id", {"tps": F.col("tp"), "k": F.lit(1)}, precision, F.desc("conf"), F.col("img"), F.col("ord"))
-    n = truth.groupBy("cls_id").agg(F.count("*").alias("n"))
-    return n.join(curve.where("tp = 1").groupBy("cls_id").agg(F.sum("precision").alias("s")), "cls_id", "left").select("cls_id", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("ap"))
+    """cls_id, ap at an IoU threshold, by all points of the precision-recall curve. predictions: img, cls_id, box corners, conf, ord
+    (unique within an image); truth: img, cls_id, corners, ord. A prediction is right if its best box of the truth reaches the
+    threshold and no better prediction has that box."""
+    p = predictions.select("img", "cls_id", F.struct("x1", "y1", "x2", "y2", "conf", "ord").alias("prediction"))
+    t = truth.select("img", "cls_id", F.struct("x1", "y1", "x2", "y2", "ord").alias("truth"))
+    return precision_of_rows(p.unionByName(t, allowMissingColumns=True), threshold)
+
+
+def precision_of_rows(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """average_precision() of rows (img, cls_id, prediction, truth), each with a prediction (a struct of corners, conf, ord), a box of the
+    truth (corners, ord) or both, else null there: a table that both come from is shuffled once, by image.
+
+    Of a prediction only its class, place in the order and whether it is right go on. These are sorted in ranges and folded into
+    blocks, which keep the places of the right ones; between blocks only a few numbers of each are passed on, so a class that holds
+    most rows is no task's alone. Precision falls at wrong ones, so its maxima are at right ones."""
+    corners = lambda s: [s[c] for c in ("x1", "y1", "x2", "y2")]
+    p, known = F.col("prediction"), F.col("img").isNotNull() & F.col("cls_id").isNotNull()
+    boxes = F.collect_list(F.when(known, F.col("truth"))).over(Window.partitionBy("img", "cls_id"))
+    met = F.transform("boxes", lambda t: F.struct(F.coalesce(iou(corners(p), corners(t)), F.lit(0.0)).alias("iou"), (-t["ord"]).alias("box")))
+    best = rows.withColumn("boxes", boxes).select("img", "cls_id", p["conf"].alias("conf"), p["ord"].alias("ord"), p.isNotNull().alias("asked"), F.col("truth").isNotNull().alias("true"), F.when(p.isNotNull(), F.array_max(met)).alias("m"))
+    first = F.row_number().over(Window.partitionBy("img", "cls_id", "m.box").orderBy(F.desc("conf"), "ord")) == 1
+    right = F.col("asked") & (F.coalesce("m.iou", F.lit(0.0)) >= threshold) & first
+    flags = F.col("asked").cast("int") + 2 * F.col("true").cast("int") + 4 * right.cast("int")
+    order = ["cls_id", F.desc("conf"), "img", "ord"]
+    hits = written(best.withColumn("flags", flags).select("cls_id", "conf", "img", "ord", "flags"))  # ranges are found by a pass of its own
+    sorted_rows = hits.repartitionByRange(*order).sortWithinPartitions(*order).select("cls_id", "flags", F.spark_partition_id().alias("part"))
+
+    def folded(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        block = 0
+        for batch in batches:
+            classes, flags = batch.column("cls_id"), batch.column("flags").to_numpy()
+            codes = classes.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            bounds = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1], True]) if len(codes) else np.zeros(1, np.int64)
+            runs = [flags[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+            right = [np.cumsum(f & 1, dtype=np.int32)[f & 4 > 0] for f in runs]
+            ints = lambda values: pa.array(values, pa.int64())
+            numbers = [ints(range(block, block + len(runs))), ints([int((f & 1).sum()) for f in runs]), ints([int((f & 2 > 0).sum()) for f in runs]), ints([len(r) for r in right])]
+            block += len(runs)
+            yield pa.RecordBatch.from_arrays([classes.take(pa.array(bounds[:-1])), batch.column("part").take(pa.array(bounds[:-1])), *numbers, pa.array(right, pa.list_(pa.int32()))], ["cls_id", "part", "block", "asked", "true", "right", "at"])
+
+    schema = sorted_rows.drop("flags").schema.add("block", "long").add("asked", "long").add("true", "long").add("right", "long").add("at", ArrayType(IntegerType()))
+    blocks = written(sorted_rows.mapInArrow(folded, schema))
+    dropped(hits)
+    few = blocks.limit(1_000_001).count() <= 1_000_000  # a block is one row, so their numbers are small beside the places in them
+    with_numbers = lambda rows, numbers: rows.join(F.broadcast(numbers) if few else numbers, ["part", "block"])
+    earlier = Window.partitionBy("cls_id").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("part", "block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("asked", "right")])
+    placed = with_numbers(blocks, before)
+    precision = F.transform("at", lambda k, i: (F.col("right_before") + i + 1) / (F.col("asked_before") + k))
+    later = Window.partitionBy("cls_id").orderBy(F.desc("part"), F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    after = placed.select("cls_id", "part", "block", F.array_max(precision).alias("top")).select("part", "block", F.max("top").over(later).alias("most"))
+    start = F.struct(F.coalesce("most", F.lit(0.0)).alias("most"), F.lit(0.0).alias("sum"))
+    step = lambda a, x: F.struct(F.greatest(a["most"], x).alias("most"), (a["sum"] + F.greatest(a["most"], x)).alias("sum"))
+    sums = with_numbers(placed, after).select("cls_id", "true", F.aggregate(F.reverse(precision), start, step)["sum"].alias("sum"))
+    return sums.groupBy("cls_id").agg(F.sum("true").alias("n"), F.sum("sum").alias("s")).where("n > 0").select("cls_id", (F.col("s") / F.col("n")).alias("ap"))
 
 
 def mean_average_precision(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
