@@ -210,7 +210,12 @@ def precision_of_rows(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def mean_average_precision(predictions: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row, map: the mean of average_precision() over the classes of the truth."""
-    return average_precision(predictions, truth, threshold).agg(F.avg("ap").alias("map"))
+    return mean_of_classes(average_precision(predictions, truth, threshold))
+
+
+def mean_of_classes(precisions: DataFrame) -> DataFrame:
+    """One row, map: the mean of average_precision() or precision_of_rows()."""
+    return precisions.agg(F.avg("ap").alias("map"))
 
 
 #: The 80 class names of the COCO detection set, in the order of their ids, and other words for some of them.
