@@ -166,11 +166,16 @@ def precision_of_rows(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     corners = lambda s: [s[c] for c in ("x1", "y1", "x2", "y2")]
     p, known = F.col("prediction"), F.col("img").isNotNull() & F.col("cls_id").isNotNull()
     boxes = F.collect_list(F.when(known, F.col("truth"))).over(Window.partitionBy("img", "cls_id"))
-    met = F.transform("boxes", lambda t: F.struct(F.coalesce(iou(corners(p), corners(t)), F.lit(0.0)).alias("iou"), (-t["ord"]).alias("box")))
-    best = rows.withColumn("boxes", boxes).select("img", "cls_id", p["conf"].alias("conf"), p["ord"].alias("ord"), p.isNotNull().alias("asked"), F.col("truth").isNotNull().alias("true"), F.when(p.isNotNull(), F.array_max(met)).alias("m"))
-    first = F.row_number().over(Window.partitionBy("img", "cls_id", "m.box").orderBy(F.desc("conf"), "ord")) == 1
-    right = F.col("asked") & (F.coalesce("m.iou", F.lit(0.0)) >= threshold) & first
-    flags = F.col("asked").cast("int") + 2 * F.col("true").cast("int") + 4 * right.cast("int")
+    asked = p.isNotNull().cast("int").alias("asked")
+    # a pair is a row, and its first carries the count of the row's own box of the truth
+    pairs = rows.withColumn("boxes", boxes).select("img", "cls_id", "prediction", "truth", asked, F.posexplode_outer(F.when(p.isNotNull(), F.col("boxes"))).alias("at", "box"))
+    true = (F.col("truth").isNotNull() & (F.coalesce("at", F.lit(0)) == 0)).cast("int").alias("true")
+    met = F.struct(F.coalesce(iou(corners(p), corners(F.col("box"))), F.lit(0.0)).alias("iou"), (-F.col("box.ord")).alias("box"))
+    narrow = pairs.select("img", "cls_id", p["ord"].alias("ord"), p["conf"].alias("conf"), "asked", met.alias("m"), true)
+    best = narrow.groupBy("img", "cls_id", "ord", "conf", "asked").agg(F.max("m").alias("m"), F.sum("true").alias("true"))
+    first = F.row_number().over(Window.partitionBy("img", "cls_id", "m.box").orderBy(F.desc("asked"), F.desc("conf"), "ord")) == 1
+    right = (F.col("asked") == 1) & (F.col("m.iou") >= threshold) & first
+    flags = F.col("asked") + 2 * right.cast("int") + 4 * F.col("true")  # the last is a count
     order = ["cls_id", F.desc("conf"), "img", "ord"]
     hits = written(best.withColumn("flags", flags).select("cls_id", "conf", "img", "ord", "flags"))  # ranges are found by a pass of its own
     sorted_rows = hits.repartitionByRange(*order).sortWithinPartitions(*order).select("cls_id", "flags", F.spark_partition_id().alias("part"))
@@ -185,9 +190,9 @@ def precision_of_rows(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
             codes = classes.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             bounds = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1], True]) if len(codes) else np.zeros(1, np.int64)
             runs = [flags[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-            right = [np.cumsum(f & 1, dtype=np.int32)[f & 4 > 0] for f in runs]
+            right = [np.cumsum(f & 1, dtype=np.int32)[f & 2 > 0] for f in runs]
             ints = lambda values: pa.array(values, pa.int64())
-            numbers = [ints(range(block, block + len(runs))), ints([int((f & 1).sum()) for f in runs]), ints([int((f & 2 > 0).sum()) for f in runs]), ints([len(r) for r in right])]
+            numbers = [ints(range(block, block + len(runs))), ints([int((f & 1).sum()) for f in runs]), ints([int((f >> 2).sum()) for f in runs]), ints([len(r) for r in right])]
             block += len(runs)
             yield pa.RecordBatch.from_arrays([classes.take(pa.array(bounds[:-1])), batch.column("part").take(pa.array(bounds[:-1])), *numbers, pa.array(right, pa.list_(pa.int32()))], ["cls_id", "part", "block", "asked", "true", "right", "at"])
 
