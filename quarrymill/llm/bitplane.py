@@ -198,7 +198,7 @@ def write_ids(docs: DataFrame, folder: str, vocab: str, end_id: int = 0, block:
 
         for batch in batches:
             for own in slices(batch):
-                for doc, ids in zip(own.column(0).to_pylist(), encoder.encode(own.column(1).to_pylist())):
+                for doc, ids in zip(own.column(0).to_pylist(), encoder.encode(own.column(1))):
                     if writer is None:
                         disk.create_dir(to, recursive=True)
                         temp = f"{to}/.{part:06d}-{uuid.uuid4().hex}"

@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, wi
         for batch in batches:
             for part in slices(batch):
                 rows = [[] for _ in range(6)]
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     ids += end
                     for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                         own = ids[4 * s : 4 * (s + n)]

@@ -542,6 +542,52 @@ def test_pieces_of_two_generations(docs, odd, monkeypatch):
     assert enc.hot and enc.old and enc.counts is None
 
 
+def test_new_words_are_merged_together(monkeypatch):
+    """Words of Latin letters, with a mark or after a line feed, have the library's ids and are not encoded and remembered one by one."""
+    random.seed(3)
+    letters = "etaoinshrdluETAIßéèüöäÿÀ"
+    words = ["".join(random.choice(letters) for _ in range(random.choice([1, 2, 3, 5, 9, 14, 60, 70]))) for _ in range(6000)]
+    words += ["aaaaaaa", "thethethe", "nnnn", "x" * 64, "x" * 65, "é" * 32, "é" * 33]
+    pieces = [random.choice(["", "", "\n"]) + w + random.choice(["", "", *".,;:!?", "?!", "%%%", "1"]) for w in words]
+    texts = ["one " + " ".join(pieces[k : k + 50]).replace(" \n", "\n") for k in range(0, len(pieces), 50)]
+    enc, learned = tokens.ByteEncoder(tokens.vocabulary("byte_bpe_50k.json")), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda new: learned.extend(new) or learn(new))
+    want = [np.array(e.ids, "<u4").tobytes() for e in enc.library.encode_batch(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == want == [x for t in texts for x in enc.encode([t])]
+    assert enc.encode(packing.pa.array([None, "", *texts])[1:]) == [b"", *want]
+    short = re.compile("\n?[A-Za-zÀ-ÖØ-öø-ÿ]{1,32}[.,;:!?]?")
+    assert learned and not [p for p in learned if short.fullmatch(p) and len(p.encode()) <= 64]
+
+
+def test_merges_in_order():
+    """Random merges against a plain loop: the least rank first, of equal ones the leftmost; a pair listed twice has its later rank."""
+    rng = random.Random(5)
+    letter = {b: chr(0x100 + b) for b in range(256)}
+    vocab = {c: b for b, c in letter.items()}
+    some, merges = [letter[b] for b in b" abcd"], []
+    for _ in range(60):
+        a, b = rng.choice([x for x in some if len(x) < 5]), rng.choice([x for x in some if len(x) < 5])
+        vocab.setdefault(a + b, len(vocab))
+        some.append(a + b)
+        merges.append((a, b))
+    rank = {m: k for k, m in enumerate(merges)}
+    assert len(rank) < len(merges)
+    own = tokens.Merges(vocab, merges, letter)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+
+    def plain(word):
+        parts = [letter[b] for b in f" {word}".encode()]
+        while found := [(rank[p], k) for k, p in enumerate(zip(parts, parts[1:])) if p in rank]:
+            k = min(found)[1]
+            parts[k : k + 2] = ["".join(parts[k : k + 2])]
+        return [vocab[p] for p in parts]
+
+    order, ids, counts = own.words(packing.pa.array(words, packing.pa.large_string()))
+    ends = np.cumsum(counts)
+    assert {int(k): ids[e - n : e].tolist() for k, n, e in zip(order, counts, ends)} == {k: plain(w) for k, w in enumerate(words)}
+
+
 def test_op9(odd, docs):
     from tokenizers import Tokenizer
 
